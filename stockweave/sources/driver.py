@@ -84,6 +84,23 @@ FROM (VALUES (1, 'admin', 'Administrator'), (2, 'technologist', 'Technologist'),
              (3, 'warehouse_worker', 'Warehouse Worker'), (4, 'quality_control', 'Quality Control'),
              (5, 'client', 'Client')) AS v(role_id, role_code, role_name)"""
 
+BINDINGS["role_permissions"] = """
+SELECT CAST(permission_id AS BIGINT) AS permission_id, CAST(role_id AS BIGINT) AS role_id, object_name,
+       can_select, can_insert, can_update, can_delete
+FROM (VALUES (1, 1, 'users', TRUE, TRUE, TRUE, TRUE),
+             (2, 1, 'audit_log', TRUE, FALSE, FALSE, FALSE),
+             (3, 2, 'tech_cards', TRUE, TRUE, TRUE, FALSE),
+             (4, 2, 'recipe_items', TRUE, TRUE, TRUE, FALSE),
+             (5, 2, 'production_batches', TRUE, TRUE, TRUE, FALSE),
+             (6, 3, 'raw_material_deliveries', TRUE, TRUE, TRUE, FALSE),
+             (7, 3, 'raw_material_stock', TRUE, TRUE, TRUE, FALSE),
+             (8, 3, 'shipments', TRUE, TRUE, TRUE, FALSE),
+             (9, 4, 'quality_checks', TRUE, TRUE, TRUE, FALSE),
+             (10, 5, 'customer_orders', TRUE, FALSE, FALSE, FALSE),
+             (11, 5, 'invoices', TRUE, FALSE, FALSE, FALSE),
+             (12, 5, 'shipments', TRUE, FALSE, FALSE, FALSE))
+     AS v(permission_id, role_id, object_name, can_select, can_insert, can_update, can_delete)"""
+
 BINDINGS["users"] = """
 SELECT user_id,
        'User' || CAST(user_id AS STRING) AS username,

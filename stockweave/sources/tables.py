@@ -34,14 +34,16 @@ class Tables(Mapping):
         return Tables({**self._builders, **{n: (lambda f=f: f) for n, f in frames.items()}})
 
 
-def read_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> Tables:
-    """Tables stored as one Parquet folder each, with their declared layout."""
-    return Tables(
-        {
-            name: (lambda name=name: spark.read.schema(layout(name)).parquet(f"{folder}/{name}"))
-            for name in (names or LOAD_ORDER)
-        }
-    )
+def read_tables(
+    spark: SparkSession, folder: str, names: list[str] | None = None, declared: bool = True
+) -> Tables:
+    """Tables stored as one Parquet folder each, with their declared or their stored layout."""
+
+    def reader(name: str):
+        source = spark.read.schema(layout(name)) if declared else spark.read
+        return lambda: source.parquet(f"{folder}/{name}")
+
+    return Tables({name: reader(name) for name in (names or LOAD_ORDER)})
 
 
 def scan_table(tables: Mapping[str, DataFrame], name: str, columns: list[str] | None = None) -> DataFrame:
