@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 QUANTILES = (0.0, 0.001, 0.01, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 0.99, 0.999, 1.0)
 
 #: Equal-width chunks per piece.
-CUTS = 32
+CUTS = 128
 
 
 def order_number(df: DataFrame, column: str) -> Column:

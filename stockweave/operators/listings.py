@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.functions.joins import left_lookup
 from stockweave.functions.ordering import asc, desc, desc_nulls_last
 from stockweave.functions.scalars import days_left, display_name, in_days, label
 from stockweave.operators.reports import _materials_with_stock, quality_checks_named
@@ -260,7 +261,7 @@ def audit_search(
         day=day,
     )
     return (
-        rows.join(t["users"].select("user_id", "username"), "user_id", "left")
+        left_lookup(rows, t["users"].select("user_id", "username"), "user_id", "audit_id")
         .select(
             "audit_id",
             "changed_at",

@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.functions.joins import left_lookup
 from stockweave.functions.scalars import clean_text, document_number, line_amount
 from stockweave.functions.scan import numbered
 from stockweave.operators.admission import admit
@@ -283,12 +284,10 @@ def judge_ship_lines(
         .when(F.col("is_approved").isNull(), "lot_not_approved")
         .when(F.col("quantity") > remaining, "exceeds_order")
     )
+    lots = lots.join(approved, "production_batch_id", "left").drop("production_batch_id")
+    judged = requests.join(headers, "shipment_id", "left").join(paid, "shipment_order", "left")
     return (
-        requests.join(headers, "shipment_id", "left")
-        .join(paid, "shipment_order", "left")
-        .join(lines, "order_item_id", "left")
-        .join(lots, "finished_stock_id", "left")
-        .join(approved, "production_batch_id", "left")
+        left_lookup(judged.join(lines, "order_item_id", "left"), lots, "finished_stock_id", "request_id")
         .join(shipped_so_far(shipment_items), "order_item_id", "left")
         .select(
             "request_id",

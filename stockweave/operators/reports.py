@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockweave.functions.joins import left_lookup
 from stockweave.functions.ordering import asc, desc, desc_nulls_last
 from stockweave.functions.scalars import display_name, expiry_class, in_days
 from stockweave.schemas import ACTIVE_ORDER_STATUSES, PAYABLE_INVOICE_STATUSES
@@ -201,19 +202,16 @@ def quality_checks_named(t: TableSet, checks: DataFrame) -> DataFrame:
     """Checks with the name of the material or product they are about.
 
     A check points to a delivery line or to a batch; both sides are looked up and
-    the name that exists is taken.
+    the name that exists is taken. Each side gets its name first, so the checks
+    pass two lookups, and the half without a key on a side is spread out.
     """
-    lines = t["delivery_items"].select("delivery_item_id", "material_id")
-    batches = t["production_batches"].select("production_batch_id", "product_id")
     materials = t["raw_materials"].select("material_id", F.col("name").alias("material_name"))
     products = t["products"].select("product_id", F.col("name").alias("product_name"))
-    return (
-        checks.join(lines, "delivery_item_id", "left")
-        .join(materials, "material_id", "left")
-        .join(batches, "production_batch_id", "left")
-        .join(products, "product_id", "left")
-        .withColumn("object_name", F.coalesce("material_name", "product_name"))
-    )
+    lines = t["delivery_items"].select("delivery_item_id", "material_id").join(materials, "material_id")
+    batches = t["production_batches"].select("production_batch_id", "product_id").join(products, "product_id")
+    named = left_lookup(checks, lines.drop("material_id"), "delivery_item_id", "quality_check_id")
+    named = left_lookup(named, batches.drop("product_id"), "production_batch_id", "quality_check_id")
+    return named.withColumn("object_name", F.coalesce("material_name", "product_name"))
 
 
 def quality_in_period(t: TableSet, start: date, end: date) -> DataFrame:
@@ -402,11 +400,13 @@ def shipment_report(t: TableSet) -> DataFrame:
     )
     employees = t["users"].select(F.col("user_id").alias("created_by_user_id"), F.col("full_name").alias("employee_name"))
     customers = t["customers"].select("customer_id", display_name().alias("customer_name"))
-    return (
+    headers = (
         t["shipments"]
         .join(t["customer_orders"].select("order_id", "order_number", "customer_id"), "order_id")
         .join(customers, "customer_id")
-        .join(employees, "created_by_user_id", "left")
+    )
+    return (
+        left_lookup(headers, employees, "created_by_user_id", "shipment_id")
         .join(lines, "shipment_id", "left")
         .select(
             "shipment_id",
@@ -430,9 +430,7 @@ def shipment_report_lines(t: TableSet) -> DataFrame:
     lots = t["finished_goods_stock"].select("finished_stock_id", "batch_number", "expiry_date")
     products = t["products"].select("product_id", F.col("name").alias("product_name"), "unit")
     return (
-        t["shipment_items"]
-        .join(products, "product_id")
-        .join(lots, "finished_stock_id", "left")
+        left_lookup(t["shipment_items"].join(products, "product_id"), lots, "finished_stock_id", "shipment_item_id")
         .select(
             "shipment_id",
             "shipment_item_id",

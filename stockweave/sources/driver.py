@@ -39,8 +39,8 @@ BINDINGS["customers"] = """
 SELECT c_custkey AS customer_id,
        CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'individual' ELSE 'company' END AS customer_type,
        CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_name END AS full_name,
-       CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN c_name END AS company_name,
-       '+7-900-' || CAST(c_custkey AS STRING) AS phone,
+       CASE WHEN c_mktsegment <> 'HOUSEHOLD' AND c_acctbal < 9900 THEN c_name END AS company_name,
+       CASE WHEN c_acctbal >= -950 THEN '+7-900-' || CAST(c_custkey AS STRING) END AS phone,
        CASE WHEN c_custkey % 3 <> 0 THEN lower(c_name) || '@Example.com' END AS email,
        CASE WHEN c_acctbal < -900 THEN '  '
             ELSE 'Nation ' || CAST(c_nationkey AS STRING) || ', house ' || CAST(c_custkey AS STRING)
@@ -296,7 +296,7 @@ SELECT 'B' || line_id, 'finished_product', CAST(NULL AS STRING),
 FROM (SELECT {_LINE_ID} AS line_id, * FROM {{lineitem}}) AS b
 UNION ALL
 SELECT 'R' || line_id, 'raw_material', line_id,
-       CAST(NULL AS BIGINT), l_shipdate, l_suppkey % 150,
+       CASE WHEN l_tax = 0 AND l_discount = 0 THEN l_orderkey END, l_shipdate, l_suppkey % 150,
        CASE WHEN l_tax >= 0.02 THEN 'passed' ELSE 'failed' END,
        CAST(NULL AS STRING)
 FROM (SELECT {_LINE_ID} AS line_id, * FROM {{lineitem}}) AS c
@@ -309,7 +309,7 @@ SELECT o_orderkey * 2 AS invoice_id,
        o_orderkey AS order_id,
        CAST(o_orderdate AS DATE) AS issue_date,
        CAST(o_orderdate AS DATE) + 14 AS due_date,
-       CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL '3' DAY END AS paid_at,
+       CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice < 480000 THEN o_orderdate + INTERVAL '3' DAY END AS paid_at,
        CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'paid' WHEN '2-HIGH' THEN 'cancelled'
                             WHEN '5-LOW' THEN 'overdue' ELSE 'issued' END AS status_code
