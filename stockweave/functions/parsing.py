@@ -34,13 +34,12 @@ def _decimal(text: Column) -> Column:
 
 
 def _date(text: Column) -> Column:
-    shaped = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text)
-    return F.to_date(F.try_to_timestamp(shaped, F.lit("yyyy-M-d")))
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text).try_cast("date")
 
 
 def _datetime(text: Column) -> Column:
     shaped = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}$"), text)
-    return F.try_to_timestamp(F.replace(shaped, F.lit("T"), F.lit(" ")), F.lit("yyyy-M-d H:m")).cast("timestamp_ntz")
+    return shaped.try_cast("timestamp_ntz")
 
 
 _PARSERS = {"int": _int, "decimal": _decimal, "date": _date, "datetime": _datetime}
@@ -52,18 +51,26 @@ def parse_form_batch(forms: DataFrame, fields: list[FormField]) -> DataFrame:
 
     A blank value is an error only where it is required.
     """
-    typed: dict[str, Column] = {}
-    errors = []
-    for field in fields:
-        text = clean_text(F.col(field.name))
+    names = {field.name for field in fields}
+    cleaned = forms.select(
+        *[c for c in forms.columns if c not in names],
+        *[(F.col(f.name) if f.kind == "bool" else clean_text(F.col(f.name))).alias(f"_{f.name}") for f in fields],
+    )
+
+    def value(field: FormField) -> Column:
+        text = F.col(f"_{field.name}")
         if field.kind == "bool":
-            typed[field.name] = parse_bool(F.col(field.name))
-            continue
-        value = _PARSERS[field.kind](text) if field.kind in _PARSERS else text
-        typed[field.name] = value
-        problem = F.when(F.lit(field.required) & text.isNull(), F.lit(f"{field.name}:required"))
+            return parse_bool(text)
+        return _PARSERS[field.kind](text) if field.kind in _PARSERS else text
+
+    def problem(field: FormField) -> Column:
+        text = F.col(f"_{field.name}")
+        found = F.when(F.lit(field.required) & text.isNull(), F.lit(f"{field.name}:required"))
         if field.kind in _PARSERS:
-            problem = problem.when(text.isNotNull() & value.isNull(), F.lit(f"{field.name}:{_ERRORS[field.kind]}"))
-        errors.append(problem)
-    columns = [typed[c].alias(c) if c in typed else F.col(c) for c in forms.columns]
-    return forms.select(*columns, F.array_compact(F.array(*errors)).alias("errors"))
+            unread = text.isNotNull() & F.col(field.name).isNull()
+            found = found.when(unread, F.lit(f"{field.name}:{_ERRORS[field.kind]}"))
+        return found
+
+    typed = cleaned.select("*", *[value(f).alias(f.name) for f in fields])
+    problems = F.array_compact(F.array(*[problem(f) for f in fields if f.kind != "bool"]))
+    return typed.select(*forms.columns, problems.alias("errors"))

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from stockweave.schemas import MONEY
 
-#: Fixed value: what Python's str.strip removes that is reachable in form text.
-WHITESPACE = r"^[\s\u001c-\u001f\u0085 ]+|[\s\u001c-\u001f\u0085 ]+$"
+#: The characters that count as blank at the ends of form text.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def clean_text(text: Column) -> Column:
     """Text without surrounding whitespace; NULL when nothing is left."""
-    return F.nullif(F.regexp_replace(text, WHITESPACE, ""), F.lit(""))
+    return F.nullif(F.trim(text, F.lit(BLANKS)), F.lit(""))
 
 
 def display_name() -> Column:
