@@ -36,19 +36,22 @@ def with_chunk(df: DataFrame, column: str, chunk: str = "_chunk") -> DataFrame:
     """Adds a chunk number that never falls as ``column`` rises.
 
     Estimated quantiles keep the chunks of similar size even if ids are unevenly
-    spread. They steer only the spread of work, never a result.
+    spread. They steer only the spread of work, never a result. An estimate can
+    differ from run to run, so it is taken once, as a dozen numbers that become
+    part of the plan: every use and every repeated task sees the same chunks.
     """
     number = order_number(df, column)
-    bounds = df.agg(F.percentile_approx(number, list(QUANTILES), 10_000).alias("bounds")).scalar()
-    marked = df.select("*", bounds.alias("_bounds"), number.alias("_number"))
-    inner = range(2, len(QUANTILES))
-    piece = sum((F.when(F.col("_number") > F.element_at("_bounds", F.lit(i)), 1).otherwise(0) for i in inner), F.lit(0))
-    placed = marked.withColumn("_piece", piece)
-    low = F.element_at("_bounds", F.col("_piece") + 1)
-    width = F.element_at("_bounds", F.col("_piece") + 2) - low
-    inside = F.when(width > 0, F.floor((F.col("_number") - low) / width * CUTS)).otherwise(0)
-    number_of_chunk = F.col("_piece") * CUTS + F.greatest(F.lit(0), F.least(F.lit(CUTS - 1), inside))
-    return placed.withColumn(chunk, number_of_chunk.cast("int")).drop("_bounds", "_number", "_piece")
+    bounds = df.agg(F.percentile_approx(number, list(QUANTILES), 10_000)).first()[0]
+    if not bounds:
+        return df.withColumn(chunk, F.lit(0))
+    place = F.lit(0)
+    pieces = list(zip(bounds, bounds[1:]))
+    for i, (low, high) in enumerate(pieces):
+        width = max(high - low, 1)
+        inside = F.floor((F.col("_number") - F.lit(low)) / F.lit(float(width)) * CUTS)
+        here = F.lit(i * CUTS) + F.greatest(F.lit(0), F.least(F.lit(CUTS - 1), inside))
+        place = here if i == 0 else F.when(F.col("_number") > low, here).otherwise(place)
+    return df.withColumn("_number", number).withColumn(chunk, place.cast("int")).drop("_number")
 
 
 def running_total(

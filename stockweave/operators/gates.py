@@ -134,20 +134,14 @@ def invoiceable_orders(orders: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def pickable_lots(
-    stock: DataFrame, checks: DataFrame, order_items: DataFrame, products: DataFrame, as_of: date
+    order_id: int, stock: DataFrame, checks: DataFrame, order_items: DataFrame, products: DataFrame, as_of: date
 ) -> DataFrame:
-    """Per order, the usable lots of its products, earliest expiry first.
-
-    Bulk form of the per-order pick list. The (order, product) pairs are made
-    distinct first, so repeated lines do not multiply lots.
-    """
-    wanted = order_items.select("order_id", "product_id").distinct()
-    lots = usable_finished_lots(stock, checks, as_of)
+    """The usable lots of one order's products, earliest expiry first."""
+    wanted = order_items.filter(F.col("order_id") == order_id).select("product_id")
+    lots = usable_finished_lots(stock, checks, as_of).join(wanted, "product_id", "left_semi")
     return (
-        wanted.join(lots, "product_id")
-        .join(products.select("product_id", "name"), "product_id")
+        lots.join(products.select("product_id", "name"), "product_id")
         .select(
-            "order_id",
             "finished_stock_id",
             "product_id",
             "batch_number",
@@ -163,7 +157,32 @@ def pickable_lots(
                 F.col("expiry_date").cast("string"),
             ).alias("display_name"),
         )
-        .orderBy(asc("order_id"), asc("expiry_date"), asc("finished_stock_id"))
+        .orderBy(asc("expiry_date"), asc("finished_stock_id"))
+    )
+
+
+def pickable_by_order(stock: DataFrame, checks: DataFrame, order_items: DataFrame, as_of: date) -> DataFrame:
+    """For every order and product: the lots that can be picked, summed up, and the first to pick.
+
+    Lots are summed per product before they meet the orders, so the result grows
+    with the order lines, not with orders times lots.
+    """
+    first = F.min(F.struct("expiry_date", "finished_stock_id"))
+    lots = (
+        usable_finished_lots(stock, checks, as_of)
+        .groupBy("product_id")
+        .agg(F.count("*").alias("lot_count"), F.sum("quantity_current").alias("pickable_quantity"), first.alias("first"))
+        .select(
+            "product_id",
+            "lot_count",
+            "pickable_quantity",
+            F.col("first.finished_stock_id").alias("first_lot_id"),
+            F.col("first.expiry_date").alias("first_expiry"),
+        )
+    )
+    wanted = order_items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("ordered_quantity"))
+    return wanted.join(lots, "product_id").select(
+        "order_id", "product_id", "ordered_quantity", "lot_count", "pickable_quantity", "first_lot_id", "first_expiry"
     )
 
 

@@ -19,6 +19,7 @@ from stockweave.operators.gates import (
     without_active_invoice,
 )
 from stockweave.schemas import INVOICEABLE_ORDER_STATUSES, MONEY, QUANTITY, STOCKED_DELIVERY_STATUSES
+from stockweave.session import cut_lineage
 
 
 def apply_consumption(lots: DataFrame, takes: DataFrame, key: str, now: datetime) -> tuple[DataFrame, DataFrame]:
@@ -145,8 +146,15 @@ def price_delivery_lines(requests: DataFrame, deliveries: DataFrame, supplier_ma
     )
 
 
-def number_documents(new: DataFrame, existing: DataFrame, id_column: str, number_column: str, prefix: str, order: str) -> DataFrame:
-    """New documents with the next free ids, in the order of a unique column, and their numbers."""
+def number_documents(
+    new: DataFrame, existing: DataFrame, id_column: str, number_column: str, prefix: str, order: str
+) -> DataFrame:
+    """New documents with the next free ids, in the order of a unique column, and their numbers.
+
+    The new rows are written once to the shared folder, as numbering passes over
+    them more than once.
+    """
+    new = cut_lineage(new)
     last = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("last")).scalar()
     return (
         numbered(new, order, id_column, start=last)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockweave.functions.literals import literal_rows
 from stockweave.schemas import LAYOUTS, STATUSES
 
 TableSet = Mapping[str, DataFrame]
@@ -209,7 +210,7 @@ def own_rows(rows: DataFrame, customer_id: int | None) -> DataFrame:
 
 def _rules(spark: SparkSession, rules: dict[str, tuple[str, ...]], name: str) -> DataFrame:
     pairs = [(rule, role) for rule, roles in rules.items() for role in sorted({*roles, "admin"})]
-    return spark.createDataFrame(pairs, f"{name} string, role_code string")
+    return literal_rows(spark, pairs, [name, "role_code"])
 
 
 def _role_codes(t: TableSet) -> DataFrame:
@@ -260,10 +261,8 @@ def grants(spark: SparkSession) -> DataFrame:
         writable = WRITE_GRANTS.get(role, ())
         for table in dict.fromkeys((*readable, *writable)):
             rows.append((role, table, table in readable, table in writable, table in writable, False))
-    return spark.createDataFrame(
-        rows,
-        "role_code string, object_name string, can_select boolean, can_insert boolean, can_update boolean, "
-        "can_delete boolean",
+    return literal_rows(
+        spark, rows, ["role_code", "object_name", "can_select", "can_insert", "can_update", "can_delete"]
     )
 
 

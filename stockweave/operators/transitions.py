@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.functions.literals import literal_rows
 from stockweave.operators.gates import payment_status, shipment_coverage
 from stockweave.schemas import EDGES, ORDER_ROLE_EDGES, PAYABLE_INVOICE_STATUSES
 
@@ -184,7 +185,7 @@ def next_statuses(documents: DataFrame, key: str, kind: str, dictionary: DataFra
 
     The edge list is a handful of literals, so the documents are not shuffled.
     """
-    edges = documents.sparkSession.createDataFrame(EDGES[kind], "status_code string, new_status string")
+    edges = literal_rows(documents.sparkSession, EDGES[kind], ["status_code", "new_status"])
     named = edges.join(
         dictionary.select(F.col("status_code").alias("new_status"), F.col("name").alias("new_name")), "new_status"
     )

@@ -92,20 +92,32 @@ WHERE o.status_code IN ('confirmed', 'in_production', 'ready', 'shipped', 'compl
 query(
     "g6_pickable_lots",
     f"""
-SELECT w.order_id, f.finished_stock_id, f.product_id, f.batch_number, f.quantity_current, f.expiry_date,
+SELECT f.finished_stock_id, f.product_id, f.batch_number, f.quantity_current, f.expiry_date,
        p.name || ' / ' || f.batch_number || ' / остаток ' || CAST(f.quantity_current AS VARCHAR)
          || ' / годен до ' || CAST(f.expiry_date AS VARCHAR) AS display_name
-FROM (SELECT DISTINCT order_id, product_id FROM {{order_items}}) AS w
-JOIN {{finished_goods_stock}} AS f ON f.product_id = w.product_id
-JOIN {{products}} AS p ON p.product_id = f.product_id
-WHERE {_USABLE}""",
+FROM {{finished_goods_stock}} AS f JOIN {{products}} AS p ON p.product_id = f.product_id
+WHERE f.product_id IN (SELECT product_id FROM {{order_items}} WHERE order_id = 42) AND {_USABLE}""",
     decimals="quantity_current",
 )(
     lambda t: gates.pickable_lots(
-        t["finished_goods_stock"], t["quality_checks"], t["order_items"], t["products"], AS_OF
+        42, t["finished_goods_stock"], t["quality_checks"], t["order_items"], t["products"], AS_OF
     )
 )
 
+query(
+    "g6_pickable_by_order",
+    f"""
+SELECT w.order_id, w.product_id, w.ordered_quantity, l.lot_count, l.pickable_quantity, l.first_lot_id, l.first_expiry
+FROM (SELECT order_id, product_id, sum(quantity) AS ordered_quantity FROM {{order_items}} GROUP BY order_id, product_id) AS w
+JOIN (SELECT f.product_id, count(*) AS lot_count, sum(f.quantity_current) AS pickable_quantity,
+             first(f.finished_stock_id ORDER BY f.expiry_date, f.finished_stock_id) AS first_lot_id,
+             min(f.expiry_date) AS first_expiry
+      FROM {{finished_goods_stock}} AS f WHERE {_USABLE} GROUP BY f.product_id) AS l ON l.product_id = w.product_id""",
+    decimals="ordered_quantity pickable_quantity",
+)(
+    lambda t: gates.pickable_by_order(t["finished_goods_stock"], t["quality_checks"], t["order_items"], AS_OF)
+)
+
 _LINES = """
 SELECT i.order_id, i.order_item_id, i.quantity AS ordered_quantity,
        coalesce(sum(CASE WHEN s.shipment_id IS NOT NULL THEN si.quantity ELSE 0 END), 0) AS shipped_quantity

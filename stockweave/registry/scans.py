@@ -20,7 +20,9 @@ from stockweave.functions.scalars import (
     label,
     line_amount,
     markup,
+    same_text,
 )
+from stockweave.operators.reports import low_stock
 from stockweave.registry.base import AS_OF, NOW, query
 from stockweave.session import shared_folder
 from stockweave.sources.sinks import append, insert_ignore, load_in_order, with_defaults
@@ -279,8 +281,6 @@ FROM (SELECT m.material_id FROM {raw_materials} AS m
       HAVING coalesce(sum(s.quantity_current), 0) < m.min_stock_qty) AS low""",
 )
 def low_stock_count(t):
-    from stockweave.operators.reports import low_stock
-
     return low_stock(t).agg(F.count("*").alias("low_stock_material_count"))
 
 
@@ -311,23 +311,10 @@ def january_orders(t):
 @query(
     "f8_same_stage",
     """
-SELECT a.recipe_item_id, b.recipe_item_id AS other_id
-FROM {recipe_items} AS a JOIN {recipe_items} AS b
-  ON a.tech_card_id = b.tech_card_id AND a.material_id = b.material_id
- AND coalesce(a.stage, '') = coalesce(b.stage, '')""",
+SELECT recipe_item_id, stage FROM {recipe_items} WHERE coalesce(stage, '') = coalesce(NULL, '')""",
 )
-def recipe_lines_of_same_stage(t):
-    from stockweave.functions.scalars import same_text
-
-    a = t["recipe_items"].select("tech_card_id", "material_id", "recipe_item_id", "stage")
-    b = t["recipe_items"].select(
-        "tech_card_id", "material_id", F.col("recipe_item_id").alias("other_id"), F.col("stage").alias("other_stage")
-    )
-    return (
-        a.join(b, ["tech_card_id", "material_id"])
-        .filter(same_text(F.col("stage"), F.col("other_stage")))
-        .select("recipe_item_id", "other_id")
-    )
+def recipe_lines_without_stage(t):
+    return t["recipe_items"].filter(same_text(F.col("stage"), F.lit(None))).select("recipe_item_id", "stage")
 
 
 @query(
