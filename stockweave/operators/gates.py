@@ -271,6 +271,25 @@ def valid_tech_cards(uses: DataFrame, cards: DataFrame, products: DataFrame) ->
     )
 
 
+def cards_in_force(uses: DataFrame, cards: DataFrame) -> DataFrame:
+    """(production_batch_id, tech_card_id): the active cards of the product that are effective on the day.
+
+    The product is the join key; the days only filter inside it, and a product
+    has few cards.
+    """
+    active = cards.filter(F.col("status_code") == "active").select(
+        F.col("product_id").alias("card_product_id"), "tech_card_id", "effective_from", "effective_to"
+    )
+    in_force = (F.col("effective_from") <= F.col("day")) & (
+        F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("day"))
+    )
+    return (
+        uses.select("production_batch_id", "product_id", "day")
+        .join(active, (F.col("product_id") == F.col("card_product_id")) & in_force)
+        .select("production_batch_id", "tech_card_id")
+    )
+
+
 def editable_recipes(cards: DataFrame, batches: DataFrame) -> DataFrame:
     """Draft cards that no production batch uses."""
     return cards.filter(F.col("status_code") == "draft").join(

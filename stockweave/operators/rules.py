@@ -150,10 +150,10 @@ def shipment_dates(t: TableSet) -> DataFrame:
     )
 
 
-def role_holder_check(
+def rows_with_unfit_user(
     t: TableSet, table: str, column: str, role_codes: tuple[str, ...], required: bool = False
 ) -> DataFrame:
-    """Rows whose user in ``column`` is not an active holder of one of the roles.
+    """Rows of ``table`` whose user in ``column`` is not an active holder of one of the roles.
 
     A missing user passes unless ``required``.
     """
@@ -165,7 +165,14 @@ def role_holder_check(
         .select(F.col("user_id").alias(column))
     )
     named = t[table] if required else t[table].filter(F.col(column).isNotNull())
-    return named.join(fit, column, "left_anti").select(
+    return named.join(fit, column, "left_anti")
+
+
+def role_holder_check(
+    t: TableSet, table: str, column: str, role_codes: tuple[str, ...], required: bool = False
+) -> DataFrame:
+    """The rows of ``rows_with_unfit_user`` as rule violations."""
+    return rows_with_unfit_user(t, table, column, role_codes, required).select(
         F.lit(table).alias("table_name"),
         record_id(*PRIMARY_KEYS[table]).alias("record_id"),
         F.lit(column).alias("user_column"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stockweave.operators.fefo import batch_demand, fefo_allocate, gated_lots, production_feasibility, recipe_requirement
 from stockweave.operators.gates import valid_tech_cards
 from stockweave.operators.movements import apply_consumption, finalize_batches
-from stockweave.operators.rules import role_holder_check
+from stockweave.operators.rules import rows_with_unfit_user
 from stockweave.operators.transitions import validate_transitions
 from stockweave.session import cut_lineage
 
@@ -39,9 +39,8 @@ def judge_production_requests(t, requests: DataFrame) -> DataFrame:
     cards = valid_tech_cards(uses, t["tech_cards"], t["products"]).select(
         "production_batch_id", F.col("reject_reason").alias("card_reason")
     )
-    unfit = role_holder_check(t, "production_batches", "responsible_user_id", ("technologist",)).select(
-        F.regexp_extract("record_id", r"=(.*)$", 1).cast("bigint").alias("production_batch_id"),
-        F.lit(True).alias("is_unfit"),
+    unfit = rows_with_unfit_user(t, "production_batches", "responsible_user_id", ("technologist",)).select(
+        "production_batch_id", F.lit(True).alias("is_unfit")
     )
     starting = edges.filter(F.col("reject_reason").isNull() & (F.col("new_status") == "in_progress"))
     asked = batches.join(starting, "production_batch_id", "left_semi")

@@ -844,10 +844,8 @@ SELECT CAST(new_id AS BIGINT) AS supplier_invoice_id, delivery_id, round(amount,
     )
 )
 
-query(
-    "t6_production_guards",
-    f"""
-WITH demand AS (
+_T6_PARTS = f"""
+demand AS (
   SELECT x.production_batch_id, x.day, x.material_id, sum(x.required_qty) AS quantity
   FROM ({_REQUIREMENT}) AS x GROUP BY x.production_batch_id, x.day, x.material_id),
 lots AS ({_GATED}),
@@ -858,32 +856,93 @@ judged AS (
 verdicts AS (
   SELECT production_batch_id,
          min_by(CASE WHEN ungated > 0 AND gated = 0 THEN 'not_quality_approved' ELSE 'insufficient' END, material_id) AS verdict
-  FROM judged WHERE gated < quantity OR (ungated > 0 AND gated = 0) GROUP BY production_batch_id)
-SELECT r.production_batch_id, b.status_code AS current_status, r.new_status,
-  CASE WHEN b.production_batch_id IS NULL THEN 'document_missing'
-       WHEN (b.status_code, r.new_status) NOT IN (('planned', 'in_progress'), ('planned', 'cancelled'),
-            ('in_progress', 'completed'), ('in_progress', 'cancelled')) THEN 'transition_not_allowed'
-       WHEN b.responsible_user_id IS NOT NULL AND NOT EXISTS (
-            SELECT 1 FROM {{users}} AS u JOIN {{user_roles}} AS ur ON ur.user_id = u.user_id JOIN {{roles}} AS ro ON ro.role_id = ur.role_id
-            WHERE u.user_id = b.responsible_user_id AND u.status_code = 'active' AND ro.role_code = 'technologist')
-            THEN 'responsible_not_technologist'
-       WHEN tc.status_code <> 'active' THEN 'card_not_active'
-       WHEN tc.effective_from > CAST(b.production_date AS DATE) THEN 'card_not_yet_effective'
-       WHEN tc.effective_to < CAST(b.production_date AS DATE) THEN 'card_expired'
-       WHEN r.new_status = 'in_progress' THEN v.verdict
-       WHEN r.new_status = 'completed' AND EXISTS (SELECT 1 FROM {{finished_goods_stock}} AS f
-            WHERE f.production_batch_id = b.production_batch_id) THEN 'already_stocked'
-       WHEN r.new_status NOT IN (SELECT status_code FROM {{production_statuses}}) THEN 'status_unknown' END AS reject_reason
-FROM {{production_status_requests}} AS r
-LEFT JOIN {{production_batches}} AS b ON b.production_batch_id = r.production_batch_id
-LEFT JOIN {{tech_cards}} AS tc ON tc.tech_card_id = b.tech_card_id
-LEFT JOIN verdicts AS v ON v.production_batch_id = r.production_batch_id""",
-)(lambda t: judge_production_requests(t, t["production_status_requests"]))
-
-query("t6_production_wave")(
+  FROM judged WHERE gated < quantity OR (ungated > 0 AND gated = 0) GROUP BY production_batch_id),
+guarded AS (
+  SELECT r.production_batch_id, b.status_code AS current_status, r.new_status,
+    CASE WHEN b.production_batch_id IS NULL THEN 'document_missing'
+         WHEN (b.status_code, r.new_status) NOT IN (('planned', 'in_progress'), ('planned', 'cancelled'),
+              ('in_progress', 'completed'), ('in_progress', 'cancelled')) THEN 'transition_not_allowed'
+         WHEN b.responsible_user_id IS NOT NULL AND NOT EXISTS (
+              SELECT 1 FROM {{users}} AS u JOIN {{user_roles}} AS ur ON ur.user_id = u.user_id JOIN {{roles}} AS ro ON ro.role_id = ur.role_id
+              WHERE u.user_id = b.responsible_user_id AND u.status_code = 'active' AND ro.role_code = 'technologist')
+              THEN 'responsible_not_technologist'
+         WHEN tc.status_code <> 'active' THEN 'card_not_active'
+         WHEN tc.effective_from > CAST(b.production_date AS DATE) THEN 'card_not_yet_effective'
+         WHEN tc.effective_to < CAST(b.production_date AS DATE) THEN 'card_expired'
+         WHEN r.new_status = 'in_progress' THEN v.verdict
+         WHEN r.new_status = 'completed' AND EXISTS (SELECT 1 FROM {{finished_goods_stock}} AS f
+              WHERE f.production_batch_id = b.production_batch_id) THEN 'already_stocked'
+         WHEN r.new_status NOT IN (SELECT status_code FROM {{production_statuses}}) THEN 'status_unknown' END AS reject_reason
+  FROM {{production_status_requests}} AS r
+  LEFT JOIN {{production_batches}} AS b ON b.production_batch_id = r.production_batch_id
+  LEFT JOIN {{tech_cards}} AS tc ON tc.tech_card_id = b.tech_card_id
+  LEFT JOIN verdicts AS v ON v.production_batch_id = r.production_batch_id)"""
+
+query("t6_production_guards", f"WITH {_T6_PARTS.strip()} SELECT * FROM guarded")(
+    lambda t: judge_production_requests(t, t["production_status_requests"])
+)
+
+_T6_WAVE = f"""
+WITH RECURSIVE {_T6_PARTS.strip()},
+supply AS (SELECT material_id, sum(gated) AS cap FROM lots GROUP BY material_id),
+asked AS (
+  SELECT d.* FROM demand AS d JOIN guarded AS g ON g.production_batch_id = d.production_batch_id
+  WHERE g.reject_reason IS NULL AND g.new_status = 'completed' AND d.quantity > 0),
+skipped AS (
+  SELECT d.material_id, d.day, sum(l.gated) AS e FROM (SELECT DISTINCT material_id, day FROM asked) AS d
+  JOIN lots AS l ON l.material_id = d.material_id AND l.expiry_date < d.day GROUP BY d.material_id, d.day),
+{_admission_sql('''
+  SELECT d.production_batch_id AS request_id, d.material_id AS resource_id, d.day, d.quantity AS q,
+         coalesce(k.e, 0) AS e, coalesce(s.cap, 0) AS cap
+  FROM asked AS d LEFT JOIN supply AS s ON s.material_id = d.material_id
+  LEFT JOIN skipped AS k ON k.material_id = d.material_id AND k.day = d.day''')},
+outcome AS (
+  SELECT production_batch_id, current_status, new_status,
+         coalesce(reject_reason, CASE WHEN production_batch_id IN (SELECT request_id FROM decided WHERE status = 'no')
+                                      THEN 'insufficient' END) AS reject_reason
+  FROM guarded)"""
+
+query("t6_production_wave", f"{_T6_WAVE} SELECT * FROM outcome")(
     lambda t: run_production_wave(t, t["production_status_requests"], NOW).judged
 )
 
+query(
+    "t6_production_wave_lots",
+    f"""{_T6_WAVE}
+SELECT b.product_id, b.production_batch_id, b.batch_number, b.quantity_produced - b.quantity_defective AS quantity_current,
+       CAST(b.production_date AS DATE) AS production_date, CAST(b.production_date AS DATE) + p.shelf_life_days AS expiry_date
+FROM outcome AS o
+JOIN {{production_batches}} AS b ON b.production_batch_id = o.production_batch_id
+JOIN {{products}} AS p ON p.product_id = b.product_id
+WHERE o.reject_reason IS NULL AND o.new_status = 'completed' AND b.quantity_produced > b.quantity_defective""",
+    decimals="quantity_current",
+)(lambda t: run_production_wave(t, t["production_status_requests"], NOW).new_lots)
+
+query(
+    "t6_production_wave_stock",
+    f"""{_T6_WAVE},
+taken AS (
+  SELECT *, c + max(e - c + q) OVER w AS end_at FROM (
+    SELECT *, sum(q) OVER w AS c FROM decided WHERE status = 'yes'
+    WINDOW w AS (PARTITION BY resource_id ORDER BY day, request_id)) AS y
+  WINDOW w AS (PARTITION BY resource_id ORDER BY day, request_id)),
+shelves AS (
+  SELECT *, CAST(sum(gated) OVER (PARTITION BY material_id ORDER BY expiry_date, stock_id) AS DECIMAL(38,10)) AS end_at
+  FROM lots WHERE gated > 0),
+used AS (
+  SELECT s.stock_id, sum(least(t.end_at, s.end_at) - greatest(t.end_at - t.q, s.end_at - s.gated)) AS qty
+  FROM taken AS t JOIN shelves AS s ON s.material_id = t.resource_id
+   AND s.end_at > t.end_at - t.q AND s.end_at - s.gated < t.end_at
+  GROUP BY s.stock_id)
+SELECT r.stock_id, r.material_id, round(r.quantity_current - coalesce(u.qty, 0), 3) AS quantity_current
+FROM {{raw_material_stock}} AS r LEFT JOIN used AS u ON u.stock_id = r.stock_id""",
+    decimals="quantity_current",
+)(
+    lambda t: run_production_wave(t, t["production_status_requests"], NOW).material_stock.select(
+        "stock_id", "material_id", "quantity_current"
+    )
+)
+
 query(
     "t7_invoice_payments",
     """

@@ -181,6 +181,21 @@ LEFT JOIN {products} AS p ON p.product_id = tc.product_id""",
     )
 )
 
+query(
+    "j13_cards_in_force",
+    """
+SELECT b.production_batch_id, tc.tech_card_id
+FROM {production_batches} AS b
+JOIN {tech_cards} AS tc ON tc.product_id = b.product_id AND tc.status_code = 'active'
+ AND tc.effective_from <= CAST(b.production_date AS DATE)
+ AND (tc.effective_to IS NULL OR tc.effective_to >= CAST(b.production_date AS DATE))""",
+)(
+    lambda t: gates.cards_in_force(
+        t["production_batches"].select("production_batch_id", "product_id", F.to_date("production_date").alias("day")),
+        t["tech_cards"],
+    )
+)
+
 query(
     "g12_editable_recipes",
     """
