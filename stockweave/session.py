@@ -27,6 +27,7 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config("spark.default.parallelism", str(shuffle_partitions))
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

@@ -13,7 +13,7 @@ DATA = "/root/testdata"
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cpus=8, shuffle_partitions=8, memory="8g")
+    return local_session(cpus=8, shuffle_partitions=3, memory="8g")
 
 
 @pytest.fixture(scope="session")
