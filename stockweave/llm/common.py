@@ -26,6 +26,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def n_words(text: Column) -> Column:
+    """Number of words, from the spaces left after runs of white space become one."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " "))
+    spaces = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit("")))
+    return F.when(plain == "", F.lit(0).cast("long")).otherwise((spaces + 1).cast("long"))
+
+
 def text_key(text: Column) -> Column:
     """Tells rows with one doc_id and different texts apart; null differs from empty."""
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))

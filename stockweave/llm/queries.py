@@ -8,14 +8,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stockweave.llm import quality_rules
+from stockweave.llm import bag_minhash, bpe, exact_dedup, mixing, quality_rules
 from stockweave.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def vocabulary() -> tuple[str, str]:
+    """Rank file and pattern that the contract of the tokenizer query names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -70,3 +78,39 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left_words >= 0.5 * n_words AS kept
 FROM m
 """
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_exact_dedup"] = op3_exact_dedup
+CHECKS["op3_exact_dedup"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER same_text AS keep_id, count(*) OVER same_text AS group_size,
+       doc_id = max(doc_id) OVER same_text AS kept, sha256(text) AS text_sha256
+FROM d WINDOW same_text AS (PARTITION BY text)
+"""
+
+
+def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
+
+
+QUERIES["op5_bag_minhash"] = op5_bag_minhash
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "passes"
+    )
+
+
+QUERIES["op7_mixing"] = op7_mixing
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"), *vocabulary())
+
+
+QUERIES["op10_byte_bpe"] = op10_byte_bpe
