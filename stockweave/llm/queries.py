@@ -5,13 +5,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.llm import bag_minhash, bpe, exact_dedup, mixing, quality_rules
+from stockweave.llm import (
+    attention_quality,
+    bag_minhash,
+    bpe,
+    exact_dedup,
+    html_text,
+    mixing,
+    quality_rules,
+    secrets,
+    sentence_spans,
+    warc,
+)
 from stockweave.llm.common import read
+from stockweave.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -114,3 +127,65 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_byte_bpe"] = op10_byte_bpe
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op1_attention_quality"] = op1_attention_quality
+
+
+def op4_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    archives = warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read_records(spark, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+QUERIES["op4_warc_chunks"] = op4_warc_chunks
+CHECKS["op4_warc_chunks"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), m AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest,
+         min(page_id) OVER (PARTITION BY html) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM m
+"""
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter(F.split("base", ","), lambda x: x.startswith(kind))).cast("long")
+
+    return secrets.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        count("assign:").alias("n_assign"),
+        count("access:").alias("n_access"),
+        count("hex:").alias("n_hex"),
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
+QUERIES["op6_secret_scan"] = op6_secret_scan
+
+
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.deduplicate(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_sentence_spans"] = op8_sentence_spans
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES["op9_html_text"] = op9_html_text
