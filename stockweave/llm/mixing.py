@@ -141,7 +141,7 @@ def plan(
     )
     quotas = dealt.groupBy("source_key", "shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
     quotas = apportion(quotas, "source_key", "shard", "shard_size", "source_blocks").withColumn(
-        "line", F.ceil(F.col("shard_size") / block).cast("long")
+        "line", F.greatest(F.lit(1), F.ceil(F.col("shard_size") / block)).cast("long")
     )
     quotas = cut_lineage(
         quotas.select(
@@ -197,7 +197,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         .groupBy(F.col("doc_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source"))
         .agg(
             F.sum("passes").alias("_passes"),
-            F.flatten(F.collect_list("ranges")).alias("_ranges"),
+            F.filter(F.collect_list("ranges"), lambda r: F.size(r) > 0).alias("_parts"),
             F.count(F.lit(1)).alias("_rows"),
         )
     )
@@ -205,23 +205,25 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     joined = join_same(keyed, share, key)
     # Equal rows put what they take together on one of them.
     once = joined.where("_rows = 1").unionAll(joined.where("_rows > 1").dropDuplicates(key))
-    part = let(
+    parts = let(
         F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
-        lambda tokens: F.array_join(
-            F.flatten(
-                F.transform(
-                    "_ranges",
-                    lambda r: F.slice(tokens, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")),
-                )
+        lambda tokens: F.transform(
+            "_parts",
+            lambda ranges: F.array_join(
+                F.flatten(
+                    F.transform(
+                        ranges,
+                        lambda r: F.slice(tokens, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")),
+                    )
+                ),
+                "",
             ),
-            "",
         ),
     )
     whole = F.when(F.col("_passes") > 0, F.array_repeat(F.col("text"), F.col("_passes").cast("int"))).otherwise(
         F.array().cast("array<string>")
     )
-    partial = F.when(F.size("_ranges") > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
-    out = once.withColumn("text", F.explode(F.concat(whole, partial)))
+    out = once.withColumn("text", F.explode(F.concat(whole, parts)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
