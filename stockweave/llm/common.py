@@ -38,6 +38,11 @@ def text_key(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(text))
 
 
+def md5_number(text: Column) -> Column:
+    """60 bits of the MD5 of a text, as a number that other engines can make too."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Equi join on columns of one name, null equal to null; the keys of ``right`` are dropped."""
     renamed = right.withColumnsRenamed({name: f"_right_{name}" for name in names})

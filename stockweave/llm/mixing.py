@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import join_same, let, n_words, text_key
+from stockweave.llm.common import join_same, let, md5_number, n_words, text_key
 from stockweave.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -34,6 +34,11 @@ SEED = 17
 STEP = 2654435761
 
 
+def seeded(*parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of the parts, joined by colons; null parts are empty."""
+    return md5_number(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+
+
 def source_key(source: Column) -> Column:
     """The source as a key that is never null and sorts by code point, null last."""
     return F.when(source.isNull(), F.lit(">")).otherwise(F.concat(F.lit("="), source))
@@ -114,6 +119,7 @@ def plan(
             text_key(F.col("text")).alias("text_key"),
             source_key(F.col("source")).alias("source_key"),
             n_words(F.col("text")).alias("size"),
+            seeded(F.lit(seed), F.col("doc_id"), F.md5("text")).alias("place"),
         )
     )
     sources = cut_lineage(
@@ -133,11 +139,8 @@ def plan(
         F.lit(1), F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words).cast("int"))
     )
     blocks = cut_lineage(blocks.withColumn("shards", shards))
-    mixed = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_key"))
     dealt = cut_lineage(
-        sizes.withColumn("place", mixed)
-        .join(blocks, "source_key")
-        .withColumn("shard", F.pmod(F.xxhash64("place", F.lit(seed)), F.col("shards")))
+        sizes.join(blocks, "source_key").withColumn("shard", F.col("place") % F.col("shards"))
     )
     quotas = dealt.groupBy("source_key", "shard", "source_blocks").agg(F.sum("size").alias("shard_size"))
     quotas = apportion(quotas, "source_key", "shard", "shard_size", "source_blocks").withColumn(
@@ -156,7 +159,7 @@ def plan(
     placed = dealt.withColumn("end", F.sum("size").over(here)).join(quotas, ["source_key", "shard"])
     start = F.col("end") - F.col("size")
     rest = F.pmod(F.col("quota"), F.col("line"))
-    offset = F.pmod(F.xxhash64(F.lit(seed), "source_key", "shard"), F.col("line"))
+    offset = seeded(F.lit(seed), F.col("source_key"), F.col("shard")) % F.col("line")
     taken_blocks = F.filter(
         F.sequence(F.floor(start / block), F.floor((F.col("end") - 1) / block)),
         lambda b: F.pmod(b * F.lit(STEP) + F.col("offset"), F.col("line")) < F.col("rest"),

@@ -1,9 +1,10 @@
 """Quality rules: lines that many documents of a host share are removed, depleted documents rejected.
 
 Lines are normalised and hashed; for each host the distinct documents of a line
-are counted, where documents with one text count once, so copies of a document
-do not turn its lines into boilerplate. A line is removed above
-``max(min_docs, share * documents of the host)``. As the limit is a share of the
+are counted. Documents count as one if the least hash of their other lines is
+one, as that of copies and mostly that of near copies is: a group of them does not turn its own
+lines into boilerplate. A line is removed above
+``max(min_docs, share * texts of the host)``. As the limit is a share of the
 host, a host has at most (lines per document / share) removed lines at any size.
 
 Cases: null text has no words and fails the base rules; a null host is a host of
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import WORD, join_same, let, text_key
+from stockweave.llm.common import WORD, join_same, let, md5_number, text_key
 from stockweave.session import cut_lineage
 
 MIN_DOCS = 25
@@ -38,7 +39,7 @@ def plain_lines(text: Column) -> Column:
 
 def line_hash(line: Column) -> Column:
     """Hash of a plain line in lower case with digits as 0."""
-    return F.xxhash64(F.regexp_replace(F.lower(line), "[0-9]", "0"))
+    return md5_number(F.regexp_replace(F.lower(line), "[0-9]", "0"))
 
 
 def n_repeat_words(w: Column) -> Column:
@@ -109,11 +110,15 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def frequent_lines(measured: DataFrame, min_docs: int, host_share: float) -> DataFrame:
     """(host, line) of the lines to remove. Counts are pre-aggregated below each shuffle."""
-    texts = measured.select("host", "text_key", F.array_distinct(F.col("lines.line")).alias("seen"))
     hosts = measured.groupBy("host").agg(F.countDistinct("text_key").alias("host_docs"))
+    least, second = F.get("seen", F.lit(0)), F.get("seen", F.lit(1))
     counts = (
-        texts.select("host", "text_key", F.explode("seen").alias("line"))
-        .groupBy("host", "line", "text_key")
+        measured.select("host", F.array_sort(F.array_distinct(F.col("lines.line"))).alias("seen"))
+        .select("host", least.alias("least"), second.alias("second"), F.explode("seen").alias("line"))
+        .withColumn(
+            "others", F.when(F.col("line") == F.col("least"), F.coalesce("second", F.lit(-1))).otherwise(F.col("least"))
+        )
+        .groupBy("host", "line", "others")
         .agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n_docs"))

@@ -66,10 +66,16 @@ WITH d AS (
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), hosts AS (
   SELECT host, count(DISTINCT key) AS host_docs FROM d GROUP BY host
+), hashed AS (
+  SELECT DISTINCT host, doc_id, key, plain, CAST('0x' || substr(md5(plain), 1, 15) AS BIGINT) AS h FROM lines
+), ends AS (
+  SELECT host, doc_id, key, list_sort(list(h)) AS hs FROM hashed GROUP BY host, doc_id, key
 ), frequent AS (
-  SELECT l.host, l.plain FROM lines l JOIN hosts h ON l.host = h.host
+  SELECT l.host, l.plain FROM hashed l
+  JOIN ends e ON l.host = e.host AND l.doc_id = e.doc_id AND l.key = e.key JOIN hosts h ON l.host = h.host
   GROUP BY l.host, l.plain, h.host_docs
-  HAVING count(DISTINCT l.key) > 25 AND count(DISTINCT l.key) > 0.01 * h.host_docs
+  HAVING count(DISTINCT CASE WHEN l.h = e.hs[1] THEN coalesce(e.hs[2], -1) ELSE e.hs[1] END)
+         > greatest(25, 0.01 * h.host_docs)
 ), removed AS (
   SELECT l.doc_id, sum(l.words) AS words FROM lines l JOIN frequent f ON l.host = f.host AND l.plain = f.plain GROUP BY l.doc_id
 ), dups AS (
@@ -120,6 +126,74 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_mixing"] = op7_mixing
+CHECKS["op7_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '>' ELSE '=' || source END AS sk,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 15)
+              AS BIGINT) AS place
+  FROM documents
+), s AS (
+  SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY sk
+), w AS (
+  SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY sk) - 1) % 3 + 1] AS DOUBLE) AS weight,
+         CAST(sum(source_size) OVER () AS BIGINT) AS total, count(*) OVER () AS n FROM s
+), l AS (
+  SELECT *, source_size * CAST(3 AS DOUBLE) AS lim, source_size * CAST(3 AS DOUBLE) / weight AS level FROM w
+), f AS (
+  SELECT *, sum(lim) OVER up + level * (sum(weight) OVER () - sum(weight) OVER up) <= CAST(total AS DOUBLE) AS stops
+  FROM l WINDOW up AS (ORDER BY level, sk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), t AS (
+  SELECT *, CASE WHEN stops THEN lim ELSE
+           (CAST(total AS DOUBLE) - coalesce(sum(CASE WHEN stops THEN lim END) OVER (), CAST(0 AS DOUBLE))) * weight
+           / sum(CASE WHEN NOT stops THEN weight END) OVER () END AS target,
+         greatest(1, least(64, total // (2000 * n))) AS block,
+         greatest(1, least(4096, CAST(ceil(source_size / CAST(1048576 AS DOUBLE)) AS BIGINT))) AS shards
+  FROM f
+), seats AS (
+  SELECT sk, total // block AS free, target, unnest(range(1, CAST(3 * source_size // block + n + 3 AS BIGINT))) AS k
+  FROM t WHERE target > 0
+), won AS (
+  SELECT sk, count(*) AS blocks
+  FROM (SELECT sk, free, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, sk, k) AS place FROM seats) AS r
+  WHERE place <= free GROUP BY sk
+), dealt AS (
+  SELECT d.*, source_size, target, block, coalesce(blocks, 0) AS blocks, place % shards AS shard
+  FROM d JOIN t ON d.sk = t.sk LEFT JOIN won ON d.sk = won.sk
+), sh AS (
+  SELECT sk, shard, block, blocks, CAST(sum(size) AS BIGINT) AS shard_size, count(*) OVER (PARTITION BY sk) AS n,
+         greatest(1, CAST(ceil(sum(size) / CAST(block AS DOUBLE)) AS BIGINT)) AS line
+  FROM dealt GROUP BY sk, shard, block, blocks
+), sh_seats AS (
+  SELECT sk, shard, shard_size, blocks, unnest(range(1, CAST(3 * line + n + 3 AS BIGINT))) AS k FROM sh WHERE shard_size > 0
+), sh_won AS (
+  SELECT sk, shard, count(*) AS quota
+  FROM (SELECT sk, shard, blocks,
+               row_number() OVER (PARTITION BY sk ORDER BY shard_size / CAST(2 * k - 1 AS DOUBLE) DESC, shard, k) AS place
+        FROM sh_seats) AS r
+  WHERE place <= blocks GROUP BY sk, shard
+), q AS (
+  SELECT sh.sk, sh.shard, line, least(coalesce(quota, 0), 3 * line) AS quota,
+         CAST('0x' || substr(md5('17:' || sh.sk || ':' || CAST(sh.shard AS VARCHAR)), 1, 15) AS BIGINT) % line AS skip
+  FROM sh LEFT JOIN sh_won ON sh.sk = sh_won.sk AND sh.shard = sh_won.shard
+), p AS (
+  SELECT dealt.*, line, quota, skip,
+         CAST(sum(size) OVER (PARTITION BY dealt.sk, dealt.shard ORDER BY place, doc_id
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS stop
+  FROM dealt JOIN q ON dealt.sk = q.sk AND dealt.shard = q.shard
+), b AS (
+  SELECT doc_id, size, source_size, target, stop - size AS start, stop, line, quota, skip, block,
+         unnest(range((stop - size) // block, (stop - 1) // block + 1)) AS b
+  FROM p WHERE size > 0
+), part AS (
+  SELECT doc_id, CAST(sum(least((b + 1) * block, stop) - greatest(b * block, start)) AS BIGINT) AS words
+  FROM b WHERE (b * 2654435761 + skip) % line < quota % line GROUP BY doc_id
+)
+SELECT p.doc_id, size, source_size, target,
+       CAST((CASE WHEN size = 0 THEN 0 ELSE quota // line END) * size + coalesce(words, 0) AS BIGINT) AS taken,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE quota // line END AS BIGINT) AS passes
+FROM p LEFT JOIN part ON p.doc_id = part.doc_id
+"""
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

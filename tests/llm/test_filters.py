@@ -1,5 +1,6 @@
 """Quality rules, quality classifier, secret scan, page text: small cases and brute force."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -44,9 +45,9 @@ def rules_by_hand(rows, min_docs, share, left_share):
     seen, texts = defaultdict(set), defaultdict(set)
     for _, text, source in rows:
         texts[source].add(text)
-        for line in (text or "").split("\n"):
-            if WORD.search(line):
-                seen[source, plain(line)].add(text)
+        hashes = {x: hashlib.md5(x.encode()).hexdigest()[:15] for x in map(plain, (text or "").split("\n")) if x}
+        for line in hashes:
+            seen[source, line].add(min((h for x, h in hashes.items() if x != line), default=""))
     bad = {k for k, v in seen.items() if len(v) > min_docs and len(v) > share * len(texts[k[0]])}
     out = []
     for _, text, source in rows:
@@ -89,9 +90,12 @@ def test_quality_rules_by_hand(spark):
 
 
 def test_quality_rules_keep_groups_of_copies(spark):
-    """Copies count once for the limit, so a large group of copies is not boilerplate."""
-    rows = [(i, prose(1, 80), "a") for i in range(40)]
-    assert quality_rules.judge(table(spark, rows), min_docs=4).where("kept").count() == 40
+    """Copies and near copies hardly count for the limit, so a large group of them is not boilerplate."""
+    lines = [prose(i, 20) for i in range(12)]
+    rows = [(i, "\n".join(lines), "a") for i in range(40)]
+    for i in range(12):  # near copies: another line changed in each
+        rows.append((100 + i, "\n".join([*lines[:i], prose(50 + i, 20), *lines[i + 1 :]]), "a"))
+    assert quality_rules.judge(table(spark, rows), min_docs=6).where("kept").count() == 52
 
 
 def test_quality_rules_empty(spark):
