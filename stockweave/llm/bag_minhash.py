@@ -10,10 +10,13 @@ a register with the probability of their weighted Jaccard similarity.
 
 Search. Registers are cut into bands; documents that agree in a band are
 candidates. Texts stand once, by SHA-256. In each bucket the members are
-compared with one representative, similar ones are joined to components, and
-this repeats with other representatives; then every pair of a bucket that is
-still in different components is compared, so no link of a bucket is missed and
-most pairs of a group are never formed. Every link is verified on the whole multisets.
+compared with the most central one, similar ones are joined to components.
+The members of buckets that still hold several components then meet in an exact
+prefix join: two multisets can only overlap enough if they share one of their
+rarest shingles, early enough in both. Each such shingle first compares its nodes
+with the most central of them, and then all that are still in different components. So no
+link of a bucket is missed, and the pairs of a group are never all formed.
+Every link is verified on the whole multisets.
 
 At similarity 0.8, 24 bands of 4 registers miss a pair with probability 3e-6.
 
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from stockweave.llm.batches import slices
 from stockweave.llm.common import join_same
-from stockweave.llm.graph import components
+from stockweave.llm.graph import compact, components
 from stockweave.session import cut_lineage
 
 WORDS = 5
@@ -47,6 +50,8 @@ REGISTERS = BANDS * ROWS
 AGREE = 0.5
 SEED = 0x5EED
 SLICE_BYTES = 2_000_000
+#: Bags per file of the table of multisets.
+FILE_BAGS = 5_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -241,48 +246,94 @@ def _verified(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, star_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+def _early(open_nodes: DataFrame, bag: DataFrame) -> DataFrame:
+    """(node, met, n, at, item): the rarest shingles of each node, of those that another node has too.
+
+    With shingles in order of frequency, two multisets of n and m that overlap by the similarity s share
+    one at places i and j with min(n - i, m - j) >= s / (1 + s) * (n + m), and both places lie in the
+    first n - ceil(s n) + 1.
+    """
+    entries = bag.join(open_nodes, "node").select(
+        "node", "met", F.size("bag").alias("n"), F.explode("bag").alias("item")
+    )
+    often = cut_lineage(entries.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    ranked = (
+        entries.join(often, "item", "left")
+        .groupBy("node", "met", "n")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "item"))).alias("items"))
+    )
+    length = (F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-6) + 1).cast("int")
+    return cut_lineage(
+        ranked.select("node", "met", "n", F.posexplode(F.slice("items", F.lit(1), length)).alias("at", "x"))
+        .where("x.df > 1")
+        .select("node", "met", "n", "at", "x.item")
+    )
+
+
+def _open_early(early: DataFrame, label: DataFrame) -> DataFrame:
+    """``early`` with components, of the shingles whose nodes are in different components."""
+    labelled = early.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("item").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    return cut_lineage(labelled.join(cut_lineage(mixed.select("item")), "item"))
+
+
+def _meeting(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that share an early shingle and can overlap enough."""
+    other = right.select(
+        "item",
+        F.col("node").alias("b"),
+        F.col("n").alias("m"),
+        F.col("at").alias("place"),
+        F.col("component").alias("other"),
+    )
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) >= F.lit(SIMILARITY / (1 + SIMILARITY)) * (
+        F.col("n") + F.col("m")
+    ) - F.lit(1e-6)
+    return left.join(other, "item").where(enough & F.expr("component != other")).select(F.col("node").alias("a"), "b")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed, component): all documents with their node, and (node, component) of nodes that have a near copy."""
     keyed = _keyed(docs)
     signed = cut_lineage(sign(keyed))
     nodes = cut_lineage(signed.where("weight > 0").drop("doc_id").dropDuplicates(["node"]))
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = cut_lineage(
-        members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1").drop("n")
-    )
-    buckets = cut_lineage(members.join(shared, "key"))
-    candidates = buckets.select("node").distinct()
+    shared = cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("in_bucket")).where("in_bucket > 1"))
+    rows = shared.agg(F.sum("in_bucket")).first()[0] or 0
+    buckets = compact(members.join(shared, "key"), rows)
+    # Texts in the middle of a group meet most others, so they make the best representatives.
+    central = compact(buckets.groupBy("node").agg(F.sum("in_bucket").alias("met")), rows)
+    buckets = compact(buckets.join(central, "node").select("key", "node", "met"), rows)
+    first = compact(buckets.groupBy("key").agg(F.max(F.struct("met", "node")).alias("first")), rows)
+    candidates = compact(buckets.select("node").distinct(), rows)
+    files = 1 + candidates.count() // FILE_BAGS
     texts = keyed.select("node", "text").join(candidates, "node").dropDuplicates(["node"])
-    bag = cut_lineage(bags(texts))
-    edges = None
-    for turn in range(star_rounds + 1):
-        if turn == 0:
-            pairs = buckets.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-        else:
-            label = cut_lineage(components(edges))
-            labelled = buckets.join(label, "node", "left").select(
-                "key", "node", F.coalesce("component", "node").alias("component")
-            )
-            open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-            open_keys = cut_lineage(open_keys.where("x != y").select("key"))
-            open_rows = cut_lineage(labelled.join(open_keys, "key"))
-            if turn < star_rounds:
-                # Another representative for each round: the least in an order by a seeded hash.
-                order = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("h"), "node", "component")
-                chosen = cut_lineage(open_rows.groupBy("key").agg(F.min(order).alias("c")))
-                pairs = open_rows.join(chosen, "key").where("component != c.component").select(
-                    F.col("c.node").alias("a"), F.col("node").alias("b")
-                )
-            else:
-                other = open_rows.withColumnsRenamed({"node": "b", "component": "other"})
-                pairs = open_rows.withColumnsRenamed({"node": "a"}).join(
-                    other, "key"
-                ).where("a < b AND component != other").select("a", "b")
+    bag = cut_lineage(bags(texts).coalesce(files))
+    near = cut_lineage(nodes.join(candidates, "node").select("node", "weight", "registers").coalesce(files))
+
+    def joined(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
+        """The components with the links among ``pairs``; what is known goes on as stars and settles at once."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        promising = cut_lineage(_promising(pairs, nodes))
-        found = _verified(promising, bag)
-        edges = cut_lineage(found if edges is None else edges.unionAll(found))
-    return signed, cut_lineage(components(edges))
+        found = _verified(compact(_promising(pairs, near), rows), bag)
+        if label is not None:
+            found = found.unionAll(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return compact(components(found), rows)
+
+    # Members of a bucket against the most central of it.
+    pairs = buckets.join(first, "key").where("node != first.node")
+    label = joined(pairs.select(F.col("first.node").alias("a"), F.col("node").alias("b")), None)
+    # Buckets that still hold several components: members that share an early shingle, first against the
+    # most central of its nodes, then against all of other components.
+    labelled = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    open_nodes = compact(buckets.join(compact(split.select("key"), rows), "key").select("node").distinct(), rows)
+    early = _early(open_nodes.join(central, "node"), bag)
+    entries = _open_early(early, label)
+    order = F.struct("met", "node", "n", "at", "component")
+    stars = cut_lineage(entries.groupBy("item").agg(F.max(order).alias("x"))).select("item", "x.*")
+    label = joined(_meeting(entries, stars), label)
+    entries = _open_early(early, label)
+    return signed, joined(_meeting(entries, entries).where("a < b"), label)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each round is a pre-aggregated minimum per node and a join; labels stay in
 tables. A hub with many neighbours is one key of the join, which adaptive
-execution splits as both sides are shuffled from tables.
+execution splits as both sides are shuffled from tables. Tables get a file per
+``FILE_ROWS`` rows, so a graph that shrinks does not keep its many small files.
 """
 
 from __future__ import annotations
@@ -12,41 +13,47 @@ from pyspark.sql import functions as F
 
 from stockweave.session import cut_lineage
 
+FILE_ROWS = 250_000
 
-def _stars(edges: DataFrame, larger: bool) -> DataFrame:
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` as a table with files for about ``rows`` rows."""
+    return cut_lineage(df.coalesce(1 + rows // FILE_ROWS))
+
+
+def _stars(edges: DataFrame, larger: bool, rows: int) -> DataFrame:
     """One star step over edges a > b: every node points its larger (or smaller) neighbours to its least one."""
+    both = edges.select("a", "b")
     if larger:
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges
-    least = cut_lineage(
-        both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    )
-    pointed = both.join(least, "a").select(F.col("a"), F.col("b"), F.col("m"))
+        both = both.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = compact(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), rows)
+    pointed = both.join(least, "a")
     if larger:
         out = pointed.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = pointed.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
             least.select(F.col("a"), F.col("m").alias("b"))
         )
-    return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    out = out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return compact(out, rows)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one root, and no root points on."""
+    ends = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node")).distinct())
+    return ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of (a, b); the component is its least node.
 
-    Ends when a round changes no edge. Self-links are ignored; an empty table gives an empty one.
+    Self-links are ignored; an empty table gives an empty one.
     """
-    edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = cut_lineage(edges)
-    seen = None
-    while True:
-        state = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max(F.lit(0))
-        ).first()
-        if state[0] == 0 or state == seen:
-            break
-        seen = state
-        edges = cut_lineage(_stars(cut_lineage(_stars(edges, True)), False))
+    edges = cut_lineage(
+        edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    )
+    rows = edges.count()
+    while not _settled(edges):
+        edges = _stars(_stars(edges, True, rows), False, rows)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
