@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; sentences above ``LONG`` words are cut further at
-every ``LONG`` words from their start. Every run of ``RUN`` consecutive sentences is
+A text is cut into sentences; sentences above ``LONG`` words are cut further
+behind every word whose hash is a multiple of ``CUT``, and ``LONG`` words after the last cut. Every run of ``RUN`` consecutive sentences is
 hashed and joined over the whole corpus. The first occurrence of a run, by doc_id
 and place, stays; the sentences of all others are covered. Covered sentences
 that follow each other form a span, and spans of ``LEAST`` words or more are removed; shorter ones are
@@ -32,6 +32,7 @@ from stockweave.session import cut_lineage
 
 RUN = 3
 LONG = 16
+CUT = 6
 LEAST = 25
 SLICE_CHARS = 2_000_000
 #: A sentence with the white space after it: up to an end mark that white space follows, or to a line end.
@@ -41,16 +42,24 @@ WORD = re.compile(r"\s*+\S++")
 
 def sentences(text: str, long: int = LONG) -> list[str]:
     """The pieces of a text in order; joined they give the text again."""
+    from xxhash import xxh32_intdigest
+
     found = []
     for piece in SENTENCE.findall(text):
         if not piece:
             continue
-        if len(piece) <= 2 * long or len(piece.split()) <= long:
+        if len(piece) <= 2 * long or len(words := WORD.findall(piece)) <= long:
             found.append(piece)
             continue
-        ends = [m.end() for m in WORD.finditer(piece)]
-        cuts = [0, *ends[long - 1 : -1 : long], len(piece)]
-        found += [piece[a:b] for a, b in zip(cuts, cuts[1:])]
+        # The words themselves say where to cut, so a passage is cut alike wherever its sentence begins.
+        start = end = since = 0
+        for word in words[:-1]:
+            end += len(word)
+            since += 1
+            if since == long or xxh32_intdigest(word.strip().lower()) % CUT == 0:
+                found.append(piece[start:end])
+                start, since = end, 0
+        found.append(piece[start:])
     return found
 
 
