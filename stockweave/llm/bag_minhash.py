@@ -52,6 +52,8 @@ SEED = 0x5EED
 SLICE_BYTES = 2_000_000
 #: Bags per file of the table of multisets.
 FILE_BAGS = 5_000
+#: Size of the table that keeps texts without candidates from the shuffle.
+SLOTS = 1 << 18
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -148,7 +150,7 @@ def bands(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for r in range(ROWS):
         keys = mix(keys + grouped[:, :, r])
     keys = mix(keys + np.arange(BANDS, dtype=np.uint64) * GOLD)
-    return keys.view(np.int64), (bits >> np.uint64(48)).astype(np.int32)
+    return keys.view(np.int64), (bits >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _texts(part: pa.RecordBatch) -> list[bytes]:
@@ -177,14 +179,14 @@ def sign(texts: DataFrame) -> DataFrame:
                         part.column("node"),
                         pa.array(total),
                         _lists(n, keys, pa.int64()),
-                        _lists(n, registers, pa.int32()),
+                        _lists(n, registers, pa.int16()),
                     ],
                     names=["doc_id", "node", "weight", "keys", "registers"],
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "node", "text").mapInArrow(
-        run, f"doc_id {kind}, node binary, weight long, keys array<long>, registers array<int>"
+        run, f"doc_id {kind}, node binary, weight long, keys array<long>, registers array<short>"
     )
 
 
@@ -307,9 +309,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = compact(buckets.groupBy("key").agg(F.max(F.struct("met", "node")).alias("first")), rows)
     candidates = compact(buckets.select("node").distinct(), rows)
     files = 1 + candidates.count() // FILE_BAGS
-    texts = keyed.select("node", "text").join(candidates, "node").dropDuplicates(["node"])
+    # Most texts are no candidates. A table of at most SLOTS numbers keeps them from being shuffled; what passes
+    # by chance falls to the join behind it, which is never broadcast, as candidates grow with the corpus.
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS))
+    slots = compact(candidates.select(slot.alias("slot")).distinct(), rows)
+    exactly = candidates.hint("merge")
+
+    def of_candidates(df: DataFrame) -> DataFrame:
+        return df.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(exactly, "node")
+
+    texts = of_candidates(keyed.select("node", "text")).dropDuplicates(["node"])
     bag = cut_lineage(bags(texts).coalesce(files))
-    near = cut_lineage(nodes.join(candidates, "node").select("node", "weight", "registers").coalesce(files))
+    near = cut_lineage(of_candidates(nodes.select("node", "weight", "registers")).coalesce(files))
 
     def joined(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
         """The components with the links among ``pairs``; what is known goes on as stars and settles at once."""
