@@ -369,12 +369,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "n_texts",
         F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"),
         "node",
+        "component",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, with the columns of ``docs``."""
-    kept = near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.min("node").alias("_node"))
+    kept = (
+        near_duplicates(docs)
+        .where("kept")
+        .groupBy("doc_id", "component", "node")
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .groupBy("doc_id", "component")
+        .agg(F.min(F.struct("node", "_rows")).alias("x"))
+        .select("doc_id", F.col("x.node").alias("_node"), "x._rows")
+    )
     keyed = docs.withColumn("_node", F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16))
-    joined = join_same(keyed, kept.withColumn("_rows", F.lit(1)), ["doc_id", "_node"])
-    return joined.select(*docs.columns)
+    joined = join_same(keyed, kept, ["doc_id", "_node"])
+    once = joined.where("_rows = 1").select(*docs.columns)
+    # Rows that repeat doc_id and text: the first of the other columns stays.
+    again = joined.where("_rows > 1").dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
+    return once.unionAll(again)

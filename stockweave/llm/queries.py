@@ -113,7 +113,7 @@ FROM d WINDOW same_text AS (PARTITION BY text)
 
 
 def op5_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bag_minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("node")
+    return bag_minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("node", "component")
 
 
 QUERIES["op5_bag_minhash"] = op5_bag_minhash
