@@ -98,6 +98,32 @@ def test_quality_rules_keep_groups_of_copies(spark):
     assert quality_rules.judge(table(spark, rows), min_docs=6).where("kept").count() == 52
 
 
+def test_quality_rules_count_unrelated_documents(spark):
+    """Unrelated documents that share several header and footer lines each count, however few lines of their own they have."""
+
+    def letters(seed, n):
+        return prose(seed, n).translate(str.maketrans("0123456789", "abcdefghij"))
+
+    shared = [letters(900 + i, 9 + i) for i in range(10)]
+    rows = [(i, "\n".join([*shared[:5], letters(i, 10), letters(3000 + i, 11), *shared[5:]]), "a") for i in range(100)]
+    rows += [(200 + i, "\n".join([*shared[:5], letters(6000 + i, 6), *shared[5:]]), "b") for i in range(100)]
+    rows += [(1000 + i, letters(10000 + i, 60), "ab"[i % 2]) for i in range(1800)]
+    got = quality_rules.judge(table(spark, rows)).collect()
+    assert all(g.n_left_words == (21 if g.doc_id < 200 else 6 if g.doc_id < 1000 else 60) for g in got)
+    assert {g.doc_id for g in got if g.kept} == {d for d, _, _ in rows if d >= 1000}
+
+
+def test_quality_rules_keep_word_edits(spark):
+    """Near copies that differ by words of their lines stay whole, whichever lines these are."""
+    lines = [prose(i, 30).split() for i in range(5)]
+    rows = []
+    for i in range(200):
+        mine = [list(x) for x in lines]
+        mine[i % 5][(i * 7) % 30] = f"edit{i}é"
+        rows.append((i, "\n".join(map(" ".join, mine)), "a"))
+    assert quality_rules.judge(table(spark, rows)).where("kept and n_left_words = n_words").count() == 200
+
+
 def test_quality_rules_empty(spark):
     assert quality_rules.judge(table(spark, [])).count() == 0
     assert quality_rules.clean(table(spark, [])).count() == 0
