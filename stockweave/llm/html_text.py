@@ -3,8 +3,10 @@
 The events of the standard library's streaming parser become lines, one per
 block. A line's ratio is its characters per tag; the ratios of a page, in page
 order, are smoothed by a Gaussian, and lines above the threshold (the standard
-deviation of the smoothed ratios) are content. The content region is the deepest
-element that holds most of the characters of these lines; its other lines come
+deviation of the smoothed ratios) are content. The content region is the article
+or main element that holds most of the characters of these lines, taken whole; on pages
+without one, it is the deepest layout element that holds most of them and has no
+headings, paragraphs, lists or sections of the content beside it. Its other lines come
 along, as a short paragraph between long ones has a low ratio, except those of
 page furniture: elements whose tag, role or name says menu, header, footer,
 sidebar, notice, advert, form or comments, and lists made of links.
@@ -56,6 +58,10 @@ NAMES = frozenset(
 #: A first word that turns the rest into a remark about the layout, or into a part of the article.
 NOT_FURNITURE = frozenset("no has with without article entry post content main page story".split())
 KEEP = frozenset("html body article main".split())
+ARTICLE = frozenset("article main".split())
+#: Elements that place parts of a page; all others are parts of a text.
+LAYOUT = frozenset("html body div center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIGMA = 2.0
 SHARE = 0.6
 
@@ -86,7 +92,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container, hidden, furniture
         self.open: Counter[str] = Counter()
-        self.parent, self.last = [0], [0]
+        self.parent, self.last, self.kind = [0], [0], ["html"]
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.links = 0
@@ -157,6 +163,7 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.parent.append(container)
             self.last.append(0)
+            self.kind.append(tag)
             container = len(self.parent) - 1
         self.open[tag] += 1
         self.stack.append((tag, container, hidden, furniture))
@@ -200,6 +207,35 @@ def smooth(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return full / np.convolve(np.ones(len(ratios)), kernel)[radius : radius + len(ratios)]
 
 
+def content_region(parser: Lines, lines: list, able: list[int], content: set[int], share: float) -> int:
+    """The container of the article; nothing of a text is left outside for a part of it."""
+    kind, parent = parser.kind, parser.parent
+    weight, blocks, beside = ([0] * len(parent) for _ in range(3))
+    for i in able:
+        text, _, _, container, _ = lines[i]
+        weight[container] += len(text) * (i in content)
+        if i in content or kind[container] in HEADINGS:
+            blocks[container] += 1
+            beside[container] += 1
+    holds = set()  # containers of other containers with content
+    for node in range(len(weight) - 1, 0, -1):
+        if weight[node]:
+            holds.add(parent[node])
+        weight[parent[node]] += weight[node]
+        blocks[parent[node]] += blocks[node]
+        if kind[node] not in LAYOUT:
+            beside[parent[node]] += blocks[node]
+    # Numbers rise with depth: the first that holds enough is the outermost, and on the way down parents come first.
+    enough = [n for n in range(1, len(weight)) if weight[n] >= share * weight[0]]
+    region = next((n for n in enough if kind[n] in ARTICLE), 0)
+    if not region:
+        for node in enough:
+            if node not in holds or parent[node] != region or kind[node] not in LAYOUT or beside[region]:
+                break
+            region = node
+    return region
+
+
 def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     """The blocks of the content region in page order, joined by an empty line."""
     parser = Lines()
@@ -214,16 +250,7 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     smoothed = smooth(ratios, sigma)
     threshold = min(float(smoothed.std()), float(smoothed[able].max()))
     content = [i for i in able if smoothed[i] >= threshold]
-    weight = [0] * len(parser.parent)
-    for i in content:
-        weight[lines[i][3]] += len(lines[i][0])
-    holds = set()  # containers of other containers with content
-    for node in range(len(weight) - 1, 0, -1):
-        if weight[node]:
-            weight[parser.parent[node]] += weight[node]
-            holds.add(parser.parent[node])
-    # Numbers rise with depth, so the last container that holds enough is the deepest.
-    region = max((n for n in holds if weight[n] >= share * weight[0]), default=0)
+    region = content_region(parser, lines, able, set(content), share)
     chosen = []
     for i in able:
         text, _, links, container, _ = lines[i]

@@ -248,6 +248,33 @@ def test_html_region():
     )
 
 
+LONG_ITEMS = [f"Item {i} of the list says a lot about the matter at hand, in one rather long sentence of text." for i in range(9)]
+PARTS = {
+    "ul": "<ul>" + "".join(f"<li>{x}</li>" for x in LONG_ITEMS) + "</ul>",
+    "table": "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in LONG_ITEMS) + "</table>",
+    "blockquote": "<blockquote>" + "".join(f"<p>{x}</p>" for x in LONG_ITEMS) + "</blockquote>",
+    "section": "<section><div>" + "".join(f"<p>{x}</p>" for x in LONG_ITEMS) + "</div></section>",
+}
+
+
+@pytest.mark.parametrize("part", sorted(PARTS))
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_html_articles_stay_whole(part, around):
+    """A large part of an article does not stand for the article."""
+    first = "The introduction comes before the large part and has a long sentence of its own as well."
+    last = ["A second section closes the article with another long sentence after the large part.", "The end."]
+    page = f"""<html><body><nav><a href=x>Home</a></nav><div class=wrap><{around}><h1>Title</h1><p>{first}</p>{PARTS[part]}
+<section><h2>More</h2><p>{last[0]}</p></section><p>{last[1]}</p></{around}></div><footer>(c)</footer></body></html>"""
+    assert html_text.main_text(page).split("\n\n") == ["Title", first, *LONG_ITEMS, "More", *last]
+
+
+def test_html_side_boxes_without_article():
+    """On a page of plain boxes, the box with most of the text is the region."""
+    text = "".join(f"<p>{x}</p>" for x in LONG_ITEMS)
+    page = f"<body><div><div>Some other long text in a box beside that is not part of it at all.</div><div>{text}</div></div></body>"
+    assert html_text.main_text(page).split("\n\n") == LONG_ITEMS
+
+
 @pytest.mark.parametrize(
     "html,text",
     [("", ""), ("just text", "just text"), ("<p>", ""), ("<script>var a", ""), ("&lt;b&gt;", "<b>"), ("<p>a<p>b", "a\n\nb"), ("<div>x</div>", "x"), ("</p></div>x</b>", "x"), ("<nav>only a menu</nav>", "")],
