@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences; sentences above ``LONG`` words are cut further
-behind every word whose hash is a multiple of ``CUT``, and ``LONG`` words after the last cut. Every run of ``RUN`` consecutive sentences is
+A text is cut into sentences, and these behind the word of least hash of every ``WINDOW`` words inside them,
+so cuts depend on the words around them only and no piece has more than ``WINDOW`` words.
+A passage of over 50 words is cut alike wherever it stands, but for the up to ``WINDOW`` words at each end
+that a sentence around it shares with it: at least 28 words are left, more than two pieces, so a run.
+Scripts without spaces have a word per character. Pieces are called sentences below. Every run of ``RUN`` consecutive sentences is
 hashed and joined over the whole corpus. The first occurrence of a run, by doc_id
 and place, stays; the sentences of all others are covered. Covered sentences
 that follow each other form a span, and spans of ``LEAST`` words or more are removed; shorter ones are
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,36 +35,65 @@ from stockweave.llm.common import join_same, text_key
 from stockweave.session import cut_lineage
 
 RUN = 3
-LONG = 16
-CUT = 6
+WINDOW = 12
 LEAST = 25
 SLICE_CHARS = 2_000_000
-#: A sentence with the white space after it: up to an end mark that white space follows, or to a line end.
-SENTENCE = re.compile(r"[^\n.!?…。！？]*+(?:[.!?…。！？]++(?![\s\"'”’)\]])[^\n.!?…。！？]*+)*+(?:[.!?…。！？]++[\"'”’)\]]*+)?\s*+")
-WORD = re.compile(r"\s*+\S++")
+#: A sentence with the white space after it: up to an end mark that white space follows, a full-width end mark, or a line end.
+SENTENCE = re.compile(r"[^\n.!?…。！？]*+(?:[.!?…]++(?![\s\"'”’)\]。！？])[^\n.!?…。！？]*+)*+(?:[.!?…。！？]++[\"'”’)\]」』）]*+)?\s*+")
+#: Characters of scripts that put no space between words: Thai, Lao, Burmese, Khmer, Japanese and Chinese.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"\s*+(?:[{UNSPACED}]|[^\s{UNSPACED}]++)")
 
 
-def sentences(text: str, long: int = LONG) -> list[str]:
-    """The pieces of a text in order; joined they give the text again."""
+@lru_cache(maxsize=1 << 16)
+def _word_hash(word: str) -> int:
     from xxhash import xxh32_intdigest
 
-    found = []
-    for piece in SENTENCE.findall(text):
-        if not piece:
-            continue
-        if len(piece) <= 2 * long or len(words := WORD.findall(piece)) <= long:
-            found.append(piece)
-            continue
-        # The words themselves say where to cut, so a passage is cut alike wherever its sentence begins.
-        start = end = since = 0
-        for word in words[:-1]:
-            end += len(word)
-            since += 1
-            if since == long or xxh32_intdigest(word.strip().lower()) % CUT == 0:
-                found.append(piece[start:end])
-                start, since = end, 0
-        found.append(piece[start:])
-    return found
+    return xxh32_intdigest(word.strip().lower().encode("utf-8", "surrogatepass"))
+
+
+def _least(words: list[str], sentence: np.ndarray, window: int) -> np.ndarray:
+    """Places of the words of least hash, the last of equal ones, in every window inside a sentence."""
+    low = np.uint64(0xFFFFFFFF)
+    key = np.fromiter(map(_word_hash, words), np.uint64, len(words)) << np.uint64(32)
+    key |= low - np.arange(len(words), dtype=np.uint64)
+    least, width = key, 1
+    while width < window:
+        step = min(width, window - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    inside = sentence[: len(least)] == sentence[window - 1 :]
+    return np.unique(low - (least[inside] & low)).astype(np.int64)
+
+
+def sentences(text: str, window: int = WINDOW) -> list[str]:
+    """The pieces of a text in order; joined they give the text again."""
+    pieces = [p for p in SENTENCE.findall(text) if p]
+    words, owner, cuts = [], [], {}
+    for i, piece in enumerate(pieces):
+        if len(piece) >= window and len(found := WORD.findall(piece)) >= window:
+            words += found
+            owner += [i] * len(found)
+    if not words:
+        return pieces
+    sentence = np.array(owner)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    first = np.searchsorted(sentence, sentence)
+    ends -= np.where(first > 0, ends[first - 1], 0)
+    for at in _least(words, sentence, window).tolist():
+        if at + 1 < len(words) and owner[at + 1] == owner[at]:
+            cuts.setdefault(owner[at], []).append(int(ends[at]))
+    out = []
+    for i, piece in enumerate(pieces):
+        start = 0
+        for end in cuts.get(i, ()):
+            out.append(piece[start:end])
+            start = end
+        out.append(piece[start:])
+    return out
+
+
+def n_words(text: str) -> int:
+    return len(WORD.findall(text))
 
 
 def _normal(sentence: str) -> bytes:
@@ -132,7 +165,7 @@ def removed_sentences(pieces: list[str], starts: list[int], run: int, least: int
         j = i
         while j < len(pieces) and inside[j] == inside[i]:
             j += 1
-        if inside[i] and sum(len(p.split()) for p in pieces[i:j]) >= least:
+        if inside[i] and sum(map(n_words, pieces[i:j])) >= least:
             gone[i:j] = [True] * (j - i)
         i = j
     return gone
@@ -153,7 +186,7 @@ def deduplicate(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFram
                     left = text
                     if any(gone):
                         left = "".join(p for p, g in zip(pieces, gone) if not g).rstrip()
-                    words = sum(len(p.split()) for p, g in zip(pieces, gone) if g)
+                    words = sum(n_words(p) for p, g in zip(pieces, gone) if g)
                     rows.append((left, len(pieces), sum(gone), words))
                 columns = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(

@@ -213,3 +213,34 @@ def test_sentence_spans(spark):
 @pytest.mark.parametrize("text", ["", "a", "...", 'a.b.c d. "E f." g\n\n\nh! i', "x" * 1000, ". " * 500, "a " * 500, ".a" * 500, "1.5 is (ok.) yes"])
 def test_sentences_join_to_the_text(text):
     assert "".join(sentence_spans.sentences(text)) == text
+
+
+def glued_rows(passages, around, glue):
+    """Each passage alone, and run into other words at both ends."""
+    rows = [(i, p) for i, p in enumerate(passages)]
+    return rows + [(1000 + i, glue.join([around(), p, around()])) for i, p in enumerate(passages)]
+
+
+def test_sentence_spans_glued_at_both_ends(spark):
+    """Passages of over 50 words go, wherever sentences around them begin and end."""
+    rng = random.Random(11)
+    chinese = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    few = lambda n: " ".join(rng.choice(["the", "of", "a", prose(rng, 1) + "zq"]) for _ in range(n))
+    passages = [". ".join(prose(rng, 13) for _ in range(4)) for _ in range(150)]
+    passages += [prose(rng, 51) for _ in range(150)] + [few(51) for _ in range(150)]
+    rows = glued_rows(passages, lambda: prose(rng, rng.randint(1, 9)), " ")
+    east = [chinese(51) for _ in range(50)] + ["。".join(chinese(17) for _ in range(4)) for _ in range(50)]
+    rows += [(d + 5000, t) for d, t in glued_rows(east, lambda: chinese(rng.randint(1, 9)), "")]
+    got = {r.doc_id: r for r in sentence_spans.deduplicate(table(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(r.n_removed >= 3 if d % 5000 >= 1000 else r.n_removed == 0 for d, r in got.items())
+
+
+@pytest.mark.parametrize("text", ["你好。再见！「是。」好 abc。def", "a。b" * 40, "你" * 100 + ".x", "\ud800 " * 30])
+def test_unspaced_sentences_join_to_the_text(text):
+    assert "".join(sentence_spans.sentences(text)) == text
+
+
+def test_pieces_follow_full_width_marks():
+    assert sentence_spans.sentences("你好。再见！「是。」好") == ["你好。", "再见！", "「是。」", "好"]
+    assert sentence_spans.n_words("你好 abc") == 3
