@@ -3,8 +3,8 @@
 Base kinds are fixed patterns. Beyond them, the text around each ``=`` and ``:``
 is read as an assignment of a source or configuration language: a name, and a
 quoted or bare literal, a concatenation of quoted literals, or the name of a
-constant assigned anywhere in the text. Constants are followed through names,
-and a literal is scored by the sensitive words of the names it reaches and by its own form.
+constant assigned anywhere in the text; a type between name and value is not the name. Constants are followed through
+names, with all values they take, and a literal is scored by the sensitive words of the names it reaches and by its own form.
 
 Spans are kind:start:end in code points, end exclusive. Base spans always stay;
 a literal inside a base span is not reported again.
@@ -50,15 +50,18 @@ PLACEHOLDERS = re.compile(
 )
 THRESHOLD = 5.0
 LEAST_CHARS = 6
-#: Look-back for a name and the pieces of one value; a longer bare literal is still read whole.
-NAME_CHARS = 128
 
 _OPERATOR = re.compile(r"=>|:=|[=:]")
-_NAME = re.compile(r"""(?:(?<![\w.$-])([A-Za-z_$][\w.$-]*)|"([^"\n]+)"|'([^'\n]+)')["'\]]?\x20*\Z""")
-_QUOTED = re.compile(r"""\x20*(?:[rbuf]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
-_PLUS = re.compile(r"\x20*\+")
-_CONSTANT = re.compile(r"\x20*\$?\{?([A-Za-z_][\w.]*)\}?(?=[\s;,)\]}]|\Z)")
-_BARE = re.compile(r"""\x20*([^\s"'`,;()\[\]{}<>]+)""")
+_NAME = re.compile(r"(?<![\w.$-])[A-Za-z_$][\w.$-]*+")
+_QUOTED = re.compile(r"""[^\S\r\n]*+(?:[rbuf]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
+_PLUS = re.compile(r"[^\S\r\n]*+\+")
+_CONSTANT = re.compile(r"[^\S\r\n]*+\$?\{?([A-Za-z_][\w.]*)\}?(?=[\s;,)\]}]|\Z)")
+_BARE = re.compile(r"""[^\S\r\n]*+([^\s"'`,;()\[\]{}<>]+)""")
+#: A type between ``:`` and ``=``, without what stands in its brackets.
+_TYPE = re.compile(r"\s*+(?:[&*]\s*+)*(?:'\w++\s++)?(?:mut\s++|const\s++|dyn\s++)?[A-Za-z_][\w.]*+[?!]*+\s*+(?:\|\s*+[A-Za-z_][\w.]*+\s*+)*")
+#: Types that follow a name without ``:``, and words before a name that any type may follow.
+_TYPES = frozenset("string str byte bytes rune char text varchar nvarchar any object error bool int int32 int64 uint float64".split())
+_DECLARES = frozenset("var const let val dim declare".split())
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -90,16 +93,85 @@ def literal_score(literal: str, quoted: bool) -> float:
     return (0.5 if quoted else 0.0) + min(1.5, entropy / 3) + (classes - 1) * 0.7
 
 
+def _back(text: str, at: int, chars: str) -> int:
+    """Where the run of ``chars`` that ends at ``at`` begins."""
+    while at and text[at - 1] in chars:
+        at -= 1
+    return at
+
+
+def _blank(text: str, at: int) -> int:
+    """Where the white space of one line that ends at ``at`` begins."""
+    while at and text[at - 1] not in "\r\n" and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _target(text: str, at: int, names: dict[int, int]) -> tuple[int, int] | None:
+    """The span of the name that ends before ``at``: bare, quoted, or in brackets."""
+    at = _blank(text, at)
+    if text[at - 1 : at] == "]":
+        size = _back(text, at - 1, "0123456789")
+        at = size - 1 if text[size - 1 : size] == "[" else at - 1  # pwd[32], config["pwd"]
+    elif text[at - 1 : at] in ("?", "!"):
+        at -= 1
+    if at and text[at - 1] in "\"'":
+        start = text.rfind(text[at - 1], 0, at - 1)
+        if 0 <= start < at - 2 and "\n" not in text[start:at]:
+            return start + 1, at - 1
+        at -= 1
+    return (names[at], at) if at in names else None
+
+
+def _is_type(between: str) -> bool:
+    """Whether the text between ``:`` and ``=`` is a type."""
+    depth, outer = 0, []
+    for c in between:
+        depth += (c in "<[(") - (c in ">])")
+        if not depth and c not in ">])":
+            outer.append(c)
+    return not depth and _TYPE.fullmatch("".join(outer)) is not None
+
+
+def _declared(text: str, span: tuple[int, int], names: dict[int, int]) -> tuple[int, int]:
+    """The name before the type in ``span`` (var pwd string, Dim pwd As String), or else ``span``."""
+    at = _back(text, span[0], "[]*&")
+    found = []
+    while len(found) < 3 and (end := _blank(text, at)) < at and end in names:
+        at = names[end]
+        found.append((at, end))
+    words = [text[a:b].lower() for a, b in found] + [""] * 3
+    skip = words[0] == "as"
+    if found[skip:] and words[skip] not in _DECLARES:
+        if skip or text[span[0] : span[1]] in _TYPES or words[1] in _DECLARES:
+            return found[skip]
+    return span
+
+
 def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str, bool, str | None]]:
     """(name, spans, literal, quoted, constant) in text order; ``constant`` is the name that a value refers to."""
     found = []
+    names = {m.end(): m.start() for m in _NAME.finditer(text)}
+    typed = None  # the last ``:``: where it ends, its target, and how many assignments were found before it
     for op in _OPERATOR.finditer(text):
+        before, typed = typed, None
         if text[op.end() : op.end() + 1] == "=" or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">", ":"):
             continue  # a comparison, or the middle of a longer operator
-        name = _NAME.search(text[max(0, op.start() - NAME_CHARS) : op.start()])
-        if not name:
+        span = _target(text, op.start(), names)
+        targets = [span] if span else []
+        if op[0] == "=":
+            between = text[before[0] : op.start()] if before else "\n"
+            if "\n" not in between and _is_type(between):
+                del found[before[2] :]
+                # The word may also be a name of its own, as in "key: token = ...".
+                targets = [before[1]] + [x for x in targets if name_score(text[x[0] : x[1]]) >= 2]
+            elif span and span[1] == _blank(text, op.start()):
+                targets = [_declared(text, span, names)]
+        if not targets:
             continue
-        target, spans, at = name[1] or name[2] or name[3], [], op.end()
+        if op[0] == ":":
+            typed = op.end(), span, len(found)
+        spans, at = [], op.end()
         while piece := _QUOTED.match(text, at):
             group = next(i for i in (1, 2, 3) if piece[i] is not None)
             spans.append(piece.span(group))
@@ -108,37 +180,36 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str, bool,
                 break
             at = plus.end()
         if spans:
-            found.append((target, spans, "".join(text[a:b] for a, b in spans), True, None))
+            value = spans, "".join(text[a:b] for a, b in spans), True, None
+        elif bare := _BARE.match(text, op.end()):
+            constant = _CONSTANT.match(text, op.end())
+            value = [bare.span(1)], bare[1], False, constant[1] if constant else None
+        else:
             continue
-        constant, bare = _CONSTANT.match(text, op.end()), _BARE.match(text, op.end())
-        if bare:
-            found.append((target, [bare.span(1)], bare[1], False, constant[1] if constant else None))
+        found += [(text[a:b], *value) for a, b in targets]
     return found
 
 
 def literal_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the literals that reach a sensitive name, directly or through constants."""
     found = assignments(text)
-    constants = {}
-    for name, spans, literal, quoted, constant in found:
-        constants.setdefault(name, (spans, literal, quoted, constant))
-    ends: dict[str, tuple] = {}  # what a name leads to, found once for all names on the way
-
-    def value(name: str) -> tuple:
-        path: dict[str, None] = {}
-        while name in constants and name not in ends and name not in path:
-            path[name] = None
-            name = constants[name][3]
-        end = ends.get(name) or constants[list(path)[-1]]
-        ends.update(dict.fromkeys(path, end))
-        return end
-
+    assigned = {name for name, *_ in found}
+    leads: dict[str, list[str]] = {}  # the constants that a name takes its values from
+    for name, _, _, _, constant in found:
+        if constant in assigned:
+            leads.setdefault(name, []).append(constant)
+    own = {name: name_score(name) for name in assigned}
+    reached: dict[str, float] = {}  # the highest weight of a sensitive name that a name leads to
+    for start in sorted((n for n in assigned if own[n] >= 2), key=own.get, reverse=True):
+        todo = [start]
+        while todo:
+            name = todo.pop()
+            if name not in reached:
+                reached[name] = own[start]
+                todo += leads.get(name, ())
     out = set()
     for name, spans, literal, quoted, constant in found:
-        weight = name_score(name)
-        if weight >= 2 and constant in constants:
-            spans, literal, quoted, _ = value(constant)
-        if weight >= 2 and weight + literal_score(literal, quoted) >= THRESHOLD:
+        if name in reached and constant not in assigned and reached[name] + literal_score(literal, quoted) >= THRESHOLD:
             out.update(spans)
     return [(a, b, "literal") for a, b in sorted(out)]
 

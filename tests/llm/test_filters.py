@@ -222,6 +222,31 @@ def test_secret_literals(text, literals):
     assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == literals
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "K = ''\nK = 'q8Zr71Lk0pWx'\nprivate_key = K", "K = None\nA = K\nK = 'q8Zr71Lk0pWx'\nprivate_key = A",
+        'db_pwd: str = "q8Zr71Lk0pWx"', 'const dbPwd: string = "q8Zr71Lk0pWx"', 'var pwd string = "q8Zr71Lk0pWx"',
+        'def f(db_pwd: Optional[str] = "q8Zr71Lk0pWx")', "let pwd: &'static str = \"q8Zr71Lk0pWx\"", 'Dim pwd As String = "q8Zr71Lk0pWx"',
+        "db_pwd\t\t=\t'q8Zr71Lk0pWx'", '"db_pwd"\t:\t"q8Zr71Lk0pWx"', "K\t=\t'q8Zr71Lk0pWx'\nprivate_key\t=\tK", 'char pwd[] = "q8Zr71Lk0pWx"',
+        '"' + "a very long name " * 20 + 'pwd": "q8Zr71Lk0pWx"', f"{'k' * 300} = 'q8Zr71Lk0pWx'\nprivate_key = {'k' * 300}",
+        'config["db_pwd"] = "q8Zr71Lk0pWx"', 'var pwd, n = 1; private_key: token = "q8Zr71Lk0pWx"',
+    ],
+)
+def test_secret_names_and_constants(text):
+    assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == ["q8Zr71Lk0pWx"]
+
+
+def test_secret_types_are_no_constants():
+    text = 'title: str = "q8Zr71Lk0pWx"\ndef f(db_pwd: str): pass\nvar name string = "Zx81kkQ_9aa"\npwd: string'
+    assert secrets.literal_spans(text) == []
+
+
+def test_secret_long_names_are_linear():
+    for text in ('"' + "a" * 200000 + '": 1', "x: " * 60000, "K = 'a'\n" * 20000 + "pwd = K\n" * 20000, "\t" * 200000 + "= 1", "'=" * 50000, "a =" + " = b" * 50000):
+        assert secrets.literal_spans(text) == []
+
+
 def test_secret_long_chains_are_linear():
     text = "".join(f"v{i} = v{i + 1}\npwd = v{i}\n" for i in range(20000)) + "v20000 = 'Zx81kkQ_9'"
     assert len(secrets.literal_spans(text)) == 1
