@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.llm.batches import slices
+from stockweave.llm.common import text_key
 
 PASSAGE = 64
 HASHED = 16
@@ -200,7 +201,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_passages: int = MAX_PASSAGES) -> Model:
-    """Learns from at most ``max_documents`` labelled documents that are not held out, chosen by a hash of their
+    """Learns from at most ``max_documents`` texts of labelled documents that are not held out, chosen by a hash of their
     ids, and at most ``max_passages`` evenly spread passages of each."""
     usable = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -226,7 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS,
 
     # The sample has at most max_documents rows of two numbers, so it is small at any size of the corpus.
     kind = docs.schema["doc_id"].dataType.simpleString()
-    text = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    # Rows that repeat an id count once for each text, and an id's further texts come after the first ones of all ids.
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    texts = keyed.select("doc_id", "text_key").join(F.broadcast(sample), "doc_id").distinct()
+    first = texts.groupBy("doc_id").agg(F.min("text_key").alias("first"))
+    place = [F.col("text_key") != F.col("first"), F.xxhash64("doc_id", "text_key"), "doc_id", "text_key"]
+    chosen = texts.join(F.broadcast(first), "doc_id").orderBy(*place).limit(max_documents).drop("first")
+    text = keyed.join(F.broadcast(chosen), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    text = text.select("doc_id", "label", "text")
     rows = text.mapInArrow(encoded, f"doc_id {kind}, label double, features array<float>").collect()
     if not rows:
         return constant_model(0.5)

@@ -165,6 +165,21 @@ def test_attention_edges(spark):
     assert attention_quality.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def test_attention_fit_is_bounded_by_texts(spark, monkeypatch):
+    """An id that repeats sends and weighs no more than the bound; each id comes before second texts of another."""
+    rows = [(1, prose(i, 20), "a") for i in range(50)] * 2 + [(d, prose(d, 20 * d), "a") for d in (2, 3, 4, 6)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(1, 8)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(attention_quality, "train", lambda x, sizes, label: seen.append(label.tolist()))
+    ids = [r.doc_id for r in labels.where(~attention_quality.held_out(labels.doc_id)).collect() if r.doc_id not in (5, 7)]
+    for bound in (7, 400):
+        attention_quality.fit(table(spark, rows), labels, max_documents=bound)
+    assert len(ids) > 2 and 1 in ids
+    others = sorted(d % 2 for d in ids if d != 1)
+    assert sorted(seen[0]) == sorted(others + [1] * (7 - len(others)))
+    assert sorted(seen[1]) == sorted(others + [1] * 50)
+
+
 def base_by_hand(text):
     text = text or ""
     spans = []
