@@ -17,10 +17,13 @@ from stockweave.llm import (
     bpe,
     exact_dedup,
     html_text,
+    middle,
     mixing,
+    periodic_runs,
     quality_rules,
     secrets,
     sentence_spans,
+    url_filter,
     warc,
 )
 from stockweave.llm.common import read
@@ -263,3 +266,76 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_html_text"] = op9_html_text
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.detect(read(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")))
+    return periodic_runs.digests(found)
+
+
+QUERIES["op11_periodic_runs"] = op11_periodic_runs
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/urls-{uuid.uuid4().hex}"
+    index = url_filter.build(url_filter.default_entries(spark), folder)
+    return url_filter.judge(read(spark, sf_dir, "pages"), index).drop("url", "listed")
+
+
+QUERIES["op12_url_filter"] = op12_url_filter
+CHECKS["op12_url_filter"] = (
+    r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), rules (rule_host, rule_path, said) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), judged AS (
+  SELECT p.*, rule_host || rule_path AS rule, said,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+  FROM p LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule,
+       coalesce(said, CASE WHEN len(list_intersect(string_split(replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '-', '.'), '.'),
+                                                   string_split('"""
+    + " ".join(url_filter.BLOCK_WORDS)
+    + r"""', ' '))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged WHERE place = 1
+"""
+)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(middle.fill_in_middle(read(spark, sf_dir, "documents")))
+
+
+QUERIES["op13_fill_in_middle"] = op13_fill_in_middle
+CHECKS["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), c AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS one,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS two,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                   OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), s AS (
+  SELECT *, array_to_string(u[1:least(one, two)], '') AS p,
+         array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS m,
+         array_to_string(u[greatest(one, two) + 1:n], '') AS s
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM s
+"""
