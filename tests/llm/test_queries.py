@@ -33,6 +33,6 @@ def test_check(spark, duck, name):
 def test_registration():
     found = __spark_entry__.queries()
     assert found["pipeline"] is corpus_pipeline.run
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in found) == 1
     assert set(queries.CHECKS) <= set(__spark_entry__.oracle_sql())
