@@ -10,8 +10,8 @@ and place, stays; the sentences of all others are covered. Covered sentences
 that follow each other form a span, and spans of ``LEAST`` words or more are removed; shorter ones are
 chance meetings of short sentences, or headings, and stay.
 
-Occurrences are counted before they are joined, so only runs that repeat travel
-a second time; the list of a document's covered runs is bounded by the document.
+A text is split once; where its sentences end is kept beside the hashes. Occurrences are counted before they are
+joined, so only runs that repeat travel a second time; the list of a document's covered runs is bounded by the document.
 
 Cases: null text counts as empty and stays null; a null doc_id comes last in
 order; rows that repeat doc_id and text are one document, and each gets its
@@ -106,38 +106,42 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _lists(rows: list[np.ndarray], kind: type) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, kind)])))
+
+
 def runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text_key, runs): the hash of each run of ``run`` sentences, in order."""
+    """(doc_id, text_key, runs, ends): the hash of each run of ``run`` sentences, and where each sentence ends."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_CHARS):
-                lists = []
+                lists, ends = [], []
                 for text in part.column("text").to_pylist():
-                    h = np.array([xxh3_64_intdigest(_normal(s)) for s in sentences(text or "")], np.uint64)
+                    pieces = sentences(text or "")
+                    ends.append(np.cumsum([len(s) for s in pieces], dtype=np.int32))
+                    h = np.array([xxh3_64_intdigest(_normal(s)) for s in pieces], np.uint64)
                     n = max(0, len(h) - run + 1)
                     total = np.zeros(n, np.uint64)
                     for i in range(run):
                         total = _mix(total + h[i : i + n])
                     lists.append(total.view(np.int64))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
-                values = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.ListArray.from_arrays(offsets, values)],
-                    names=["doc_id", "text_key", "runs"],
+                    [part.column("doc_id"), part.column("text_key"), _lists(lists, np.int64), _lists(ends, np.int32)],
+                    names=["doc_id", "text_key", "runs", "ends"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(
-        hashed, f"doc_id {kind}, text_key long, runs array<long>"
+        hashed, f"doc_id {kind}, text_key long, runs array<long>, ends array<int>"
     )
 
 
-def covered_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, text_key, starts): where runs begin that occurred before, in this document or another."""
-    listed = cut_lineage(runs(docs, run))
+def covered_runs(listed: DataFrame) -> DataFrame:
+    """(doc_id, text_key, starts) from the table of ``runs``: where runs begin that occurred before, here or elsewhere."""
     every = listed.select("doc_id", "text_key", F.posexplode("runs").alias("at", "run"))
     counted = every.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     repeated = cut_lineage(counted)
@@ -173,29 +177,39 @@ def removed_sentences(pieces: list[str], starts: list[int], run: int, least: int
 
 def deduplicate(docs: DataFrame, run: int = RUN, least: int = LEAST) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, removed_words): each document without its repeated spans."""
-    starts = cut_lineage(covered_runs(docs, run))
+    key = ["doc_id", "text_key"]
+    listed = cut_lineage(runs(docs, run))
+    starts = cut_lineage(covered_runs(listed))
+    found = join_same(listed.drop("runs").dropDuplicates(key), starts, key, "left").select(
+        *key, F.size("ends").cast("long").alias("n_sentences"), "starts", F.when(F.col("starts").isNotNull(), F.col("ends")).alias("ends")
+    )
     text = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_CHARS):
                 rows = []
-                for text, found in zip(part.column("text").to_pylist(), part.column("starts").to_pylist()):
-                    pieces = sentences(text or "")
-                    gone = removed_sentences(pieces, found or [], run, least) if found else [False] * len(pieces)
-                    left = text
-                    if any(gone):
-                        left = "".join(p for p, g in zip(pieces, gone) if not g).rstrip()
-                    words = sum(n_words(p) for p, g in zip(pieces, gone) if g)
-                    rows.append((left, len(pieces), sum(gone), words))
-                columns = list(zip(*rows)) or [[], [], [], []]
+                for text, starts, ends in zip(*(part.column(c).to_pylist() for c in ("text", "starts", "ends"))):
+                    if not starts:
+                        rows.append((text, 0, 0))
+                        continue
+                    pieces = [text[a:b] for a, b in zip([0, *ends], ends)]
+                    gone = removed_sentences(pieces, starts, run, least)
+                    left = "".join(p for p, g in zip(pieces, gone) if not g).rstrip() if any(gone) else text
+                    rows.append((left, sum(gone), sum(n_words(p) for p, g in zip(pieces, gone) if g)))
+                left, removed, words = zip(*rows) if rows else ([], [], [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(columns[0], pa.string())]
-                    + [pa.array(c, pa.int64()) for c in columns[1:]],
+                    [
+                        part.column("doc_id"),
+                        pa.array(left, pa.string()),
+                        part.column("n_sentences"),
+                        pa.array(removed, pa.int64()),
+                        pa.array(words, pa.int64()),
+                    ],
                     names=["doc_id", "text", "n_sentences", "n_removed", "removed_words"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return join_same(text, starts, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts").mapInArrow(
+    return join_same(text, found, key).select("doc_id", "text", "n_sentences", "starts", "ends").mapInArrow(
         cut, f"doc_id {kind}, text string, n_sentences long, n_removed long, removed_words long"
     )
