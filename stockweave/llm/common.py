@@ -50,3 +50,25 @@ def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "i
     for name in names:
         condition = condition & left[name].eqNullSafe(renamed[f"_right_{name}"])
     return left.join(renamed, condition, how).drop(*[f"_right_{name}" for name in names])
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold dots or back-ticks, for a path."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and the others as one struct ``row``, so that no name of theirs can clash with one used here."""
+    others = [F.col(quoted(c)) for c in docs.columns if c not in names]
+    return docs.select(*names, F.struct(*(others or [F.lit(None).alias("none")])).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *names: str, sized: bool = False) -> DataFrame:
+    """The columns of ``docs`` from the ``packed`` form; ``sized`` lets ``n_chars``, where there is one, follow ``text``."""
+    columns = []
+    for field in docs.schema:
+        here = F.col(field.name if field.name in names else f"row.{quoted(field.name)}")
+        if sized and field.name == "n_chars":
+            here = F.length("text").cast(field.dataType)
+        columns.append(here.alias(field.name))
+    return rows.select(*columns)

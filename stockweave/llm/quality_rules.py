@@ -1,15 +1,13 @@
 """Quality rules: lines that many documents of a host share are removed, depleted documents rejected.
 
 Lines are normalised and hashed; for each host the distinct documents of a line
-are counted. Copies count as one, and so do near copies, which are told by their
-own words beside the tested lines: a group of them does not turn its own
-lines into boilerplate. A line is removed above
+are counted. Documents with equal texts count once. A line is removed above
 ``max(min_docs, share * texts of the host)``. As the limit is a share of the
 host, a host has at most (lines per document / share) removed lines at any size.
 
 Cases: null text has no words and fails the base rules; a null host is a host of
 its own; rows that repeat a doc_id each get their own row; empty tables give
-empty results; other columns are ignored, whatever their names.
+empty results; other columns are ignored or, by ``clean``, returned as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,16 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import WORD, join_same, let, md5_number, text_key
-from stockweave.llm.graph import components
+from stockweave.llm.common import WORD, join_same, let, md5_number, packed, text_key, unpacked
 from stockweave.session import cut_lineage
 
 MIN_DOCS = 25
 HOST_SHARE = 0.01
 LEFT_SHARE = 0.5
-#: Least-hash groups of the own words of a text and hashes in each; words that edits of a text may change.
-BANDS, ROWS = 4, 4
-OWN_SHARE = 1 / 9
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -112,99 +106,16 @@ def _measured(docs: DataFrame) -> DataFrame:
     ).select("doc_id", "text_key", "host", "m.*", "n_symbols", "n_dup_lines")
 
 
-def classes(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, component) of the texts in ``held``, the table of (host, text_key, line) of the tested lines.
-
-    Texts are one if their own lines, those that are not tested, are near copies:
-    one of ``BANDS`` groups of least hashes of word windows is equal. Texts without
-    own lines are one if they hold the same tested lines. Where own lines are
-    at most ``OWN_SHARE`` of the words, texts that hold different tested lines may be edits of one text;
-    there, one of the texts of each set of tested lines counts together with those of other sets.
-    """
-    key = ["host", "text_key"]
-    tested = held.groupBy(*key).agg(F.sort_array(F.collect_list("line")).alias("tested"))
-    texts = docs.select(host(F.col("source")).alias("host"), text_key(F.col("text")).alias("text_key"), "text")
-
-    def own(lines: Column) -> Column:
-        return F.struct(
-            F.size(F.split(F.array_join(lines, " "), " ")).alias("n"),
-            F.filter(lines, lambda x: ~F.array_contains(F.col("tested"), line_hash(x))).alias("lines"),
-        )
-
-    def windows(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0)))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-
-    def least(h: Column, band: int) -> Column:
-        return F.xxhash64(F.slice(F.sort_array(F.transform(h, lambda x: F.xxhash64(x, F.lit(band)))), 1, ROWS))
-
-    def bands(w: Column) -> Column:
-        return let(windows(w), lambda h: F.array(*[least(h, band) for band in range(BANDS)]))
-
-    bare, words = F.size("own.lines") == 0, F.split(F.lower(F.array_join("own.lines", " ")), " ")
-    signed = cut_lineage(
-        texts.join(tested, key)
-        .dropDuplicates(key)
-        .select(*key, "tested", let(plain_lines(F.col("text")), own).alias("own"))
-        .select(
-            node(*key).alias("node"),
-            "host",
-            F.xxhash64("tested").alias("set"),
-            F.get("tested", F.lit(0)).alias("first"),
-            F.get("tested", F.size("tested") - 1).alias("last"),
-            bare.alias("bare"),
-            (bare | (F.size(words) <= F.lit(OWN_SHARE) * F.col("own.n"))).alias("low"),
-            F.when(~bare, let(words, bands)).alias("bands"),
-        )
-    )
-
-    def linked(rows: DataFrame, kind: str, *names: str) -> DataFrame:
-        return rows.select(F.col("node").alias("a"), F.xxhash64(F.lit(kind), "host", *names).alias("b"))
-
-    one_of_set = signed.where("low").groupBy("host", "set").agg(
-        F.min("node").alias("node"), F.min("first").alias("first"), F.min("last").alias("last")
-    )
-    edges = (
-        linked(signed.select("node", "host", F.posexplode("bands").alias("band", "least")), "own", "band", "least")
-        .unionAll(linked(signed.where("bare"), "set", "set"))
-        .unionAll(linked(one_of_set, "first", "first"))
-        .unionAll(linked(one_of_set, "last", "last"))
-    )
-    return components(edges)
-
-
-def node(*key: str) -> Column:
-    return F.xxhash64(F.lit("text"), *key)
-
-
-def frequent_lines(docs: DataFrame, measured: DataFrame, min_docs: int, host_share: float) -> DataFrame:
-    """(host, line) of the lines to remove. Counts are pre-aggregated below each shuffle.
-
-    Lines above the limit by distinct texts are tested again by classes of near copies.
-    """
+def frequent_lines(measured: DataFrame, min_docs: int, host_share: float) -> DataFrame:
+    """(host, line) of the lines to remove. Counts are pre-aggregated below each shuffle."""
     hosts = measured.groupBy("host").agg(F.countDistinct("text_key").alias("host_docs"))
     holders = (
         measured.select("host", "text_key", F.explode(F.array_distinct("lines.line")).alias("line"))
         .groupBy("host", "line", "text_key")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-
-    def above(counts: DataFrame) -> DataFrame:
-        many = counts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-        return (
-            many.join(hosts, "host").where(F.col("n_docs") > F.lit(host_share) * F.col("host_docs")).select("host", "line")
-        )
-
-    tested = cut_lineage(above(holders))
-    if tested.isEmpty():
-        return tested
-    held = cut_lineage(
-        measured.select("host", "text_key", F.explode(F.array_distinct("lines.line")).alias("line"))
-        .join(tested, ["host", "line"])
-        .distinct()
-    )
-    labelled = held.withColumn("node", node("host", "text_key")).join(classes(docs, held), "node")
-    return above(labelled.groupBy("host", "line", "component").agg(F.count(F.lit(1)).alias("rows")))
+    many = holders.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
+    return many.join(hosts, "host").where(F.col("n_docs") > F.lit(host_share) * F.col("host_docs")).select("host", "line")
 
 
 def judge(
@@ -215,7 +126,7 @@ def judge(
     ``kept`` is false if a base rule fails or fewer than ``left_share`` of the words stay.
     """
     measured = cut_lineage(_measured(docs))
-    frequent = cut_lineage(frequent_lines(docs, measured, min_docs, host_share))
+    frequent = cut_lineage(frequent_lines(measured, min_docs, host_share))
     lines = measured.select("doc_id", "text_key", "host", F.explode("lines").alias("x")).select(
         "doc_id", "text_key", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words")
     )
@@ -254,16 +165,14 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
 
     ``n_chars``, where there is one, follows the new text.
     """
-    verdict = judge(docs, **limits).where("kept").select("doc_id", "text_key", "host", F.col("removed").alias("_cut"))
-    keyed = docs.withColumns({"_text_key": text_key(docs["text"]), "_host": host(docs["source"])})
-    verdict = verdict.distinct().withColumnsRenamed({"text_key": "_text_key", "host": "_host"})
-    joined = join_same(keyed, verdict, ["doc_id", "_text_key", "_host"])
+    verdict = judge(docs, **limits).where("kept").select("doc_id", "text_key", "host", "removed").distinct()
+    keyed = packed(docs, "doc_id", "text", "source").withColumns(
+        {"text_key": text_key(F.col("text")), "host": host(F.col("source"))}
+    )
+    joined = join_same(keyed, verdict, ["doc_id", "text_key", "host"])
     lines = F.filter(
         F.split("text", "\n"),
-        lambda x: F.coalesce(~F.array_contains(F.col("_cut"), line_hash(F.get(plain_lines(x), 0))), F.lit(True)),
+        lambda x: F.coalesce(~F.array_contains(F.col("removed"), line_hash(F.get(plain_lines(x), 0))), F.lit(True)),
     )
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    return unpacked(joined.withColumn("text", text), docs, "doc_id", "text", "source", sized=True)

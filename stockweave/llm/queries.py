@@ -57,7 +57,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_quality_rules"] = op2_quality_rules
 CHECKS["op2_quality_rules"] = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, md5(text) AS key, coalesce('=' || source, 'null') AS host,
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(md5(text), 'null') AS key, coalesce('=' || source, 'null') AS host,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
   FROM documents
 ), raw_lines AS (
@@ -69,16 +69,9 @@ WITH d AS (
   FROM raw_lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), hosts AS (
   SELECT host, count(DISTINCT key) AS host_docs FROM d GROUP BY host
-), hashed AS (
-  SELECT DISTINCT host, doc_id, key, plain, CAST('0x' || substr(md5(plain), 1, 15) AS BIGINT) AS h FROM lines
-), ends AS (
-  SELECT host, doc_id, key, list_sort(list(h)) AS hs FROM hashed GROUP BY host, doc_id, key
 ), frequent AS (
-  SELECT l.host, l.plain FROM hashed l
-  JOIN ends e ON l.host = e.host AND l.doc_id = e.doc_id AND l.key = e.key JOIN hosts h ON l.host = h.host
-  GROUP BY l.host, l.plain, h.host_docs
-  HAVING count(DISTINCT CASE WHEN l.h = e.hs[1] THEN coalesce(e.hs[2], -1) ELSE e.hs[1] END)
-         > greatest(25, 0.01 * h.host_docs)
+  SELECT l.host, l.plain FROM lines l JOIN hosts h ON l.host = h.host
+  GROUP BY l.host, l.plain, h.host_docs HAVING count(DISTINCT l.key) > greatest(25, 0.01 * h.host_docs)
 ), removed AS (
   SELECT l.doc_id, sum(l.words) AS words FROM lines l JOIN frequent f ON l.host = f.host AND l.plain = f.plain GROUP BY l.doc_id
 ), dups AS (

@@ -1,6 +1,5 @@
 """Quality rules, quality classifier, secret scan, page text: small cases and brute force."""
 
-import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -45,9 +44,8 @@ def rules_by_hand(rows, min_docs, share, left_share):
     seen, texts = defaultdict(set), defaultdict(set)
     for _, text, source in rows:
         texts[source].add(text)
-        hashes = {x: hashlib.md5(x.encode()).hexdigest()[:15] for x in map(plain, (text or "").split("\n")) if x}
-        for line in hashes:
-            seen[source, line].add(min((h for x, h in hashes.items() if x != line), default=""))
+        for line in filter(None, map(plain, (text or "").split("\n"))):
+            seen[source, line].add(text)
     bad = {k for k, v in seen.items() if len(v) > min_docs and len(v) > share * len(texts[k[0]])}
     out = []
     for _, text, source in rows:
@@ -89,13 +87,14 @@ def test_quality_rules_by_hand(spark):
     assert all(r.n_chars == len(r.text) for r in cleaned.collect())
 
 
-def test_quality_rules_keep_groups_of_copies(spark):
-    """Copies and near copies hardly count for the limit, so a large group of them is not boilerplate."""
+def test_quality_rules_count_copies_once(spark):
+    """A large group of equal texts is one document for each of its lines; texts that differ by a line are several."""
     lines = [prose(i, 20) for i in range(12)]
     rows = [(i, "\n".join(lines), "a") for i in range(40)]
-    for i in range(12):  # near copies: another line changed in each
-        rows.append((100 + i, "\n".join([*lines[:i], prose(50 + i, 20), *lines[i + 1 :]]), "a"))
-    assert quality_rules.judge(table(spark, rows), min_docs=6).where("kept").count() == 52
+    edits = [(100 + i, "\n".join([*lines[:i], prose(50 + i, 20), *lines[i + 1 :]]), "a") for i in range(12)]
+    few, many = rows + edits[:5], rows + edits
+    assert quality_rules.judge(table(spark, few), min_docs=6).where("kept AND n_left_words = n_words").count() == len(few)
+    assert quality_rules.judge(table(spark, many), min_docs=6).where("kept").count() == 0
 
 
 def test_quality_rules_count_unrelated_documents(spark):
@@ -113,15 +112,18 @@ def test_quality_rules_count_unrelated_documents(spark):
     assert {g.doc_id for g in got if g.kept} == {d for d, _, _ in rows if d >= 1000}
 
 
-def test_quality_rules_keep_word_edits(spark):
-    """Near copies that differ by words of their lines stay whole, whichever lines these are."""
-    lines = [prose(i, 30).split() for i in range(5)]
+def test_quality_rules_reject_documents_of_boilerplate(spark):
+    """A third of a document's words are its own, the rest are lines that other documents of the host hold too."""
+    letters = str.maketrans("0123456789", "abcdefghij")
+    shared = [prose(700 + i, 12).translate(letters) for i in range(30)]
     rows = []
-    for i in range(200):
-        mine = [list(x) for x in lines]
-        mine[i % 5][(i * 7) % 30] = f"edit{i}é"
-        rows.append((i, "\n".join(map(" ".join, mine)), "a"))
-    assert quality_rules.judge(table(spark, rows)).where("kept and n_left_words = n_words").count() == 200
+    for i in range(100):
+        some = [shared[5 + (i * 3 + j) % 25] for j in range(10)]
+        rows.append((i, "\n".join([*shared[:5], prose(i, 18).translate(letters), *some]), "a"))
+    rows += [(1000 + i, prose(10000 + i, 60).translate(letters), "a") for i in range(900)]
+    got = quality_rules.judge(table(spark, rows)).collect()
+    assert {g.doc_id for g in got if g.kept} == set(range(1000, 1900))
+    assert all(g.n_left_words == 18 for g in got if g.doc_id < 1000)
 
 
 def test_quality_rules_empty(spark):
