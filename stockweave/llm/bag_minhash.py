@@ -23,8 +23,8 @@ At similarity 0.8, 24 bands of 4 registers miss a pair with probability 3e-6.
 Cases: null text counts as empty; empty texts are copies of each other and near
 to nothing else; a text of fewer than five words is one shingle; null doc_ids
 are allowed (a class takes the least non-null id); repeated rows are members
-like others; empty tables give empty results; other columns are ignored,
-whatever their names.
+like others; empty tables give empty results; other columns are ignored
+or, by ``keep_one``, returned as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.llm.batches import slices
-from stockweave.llm.common import join_same
+from stockweave.llm.common import join_same, packed, unpacked
 from stockweave.llm.graph import compact, components
 from stockweave.session import cut_lineage
 
@@ -379,14 +379,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
         near_duplicates(docs)
         .where("kept")
         .groupBy("doc_id", "component", "node")
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(F.count(F.lit(1)).alias("copies"))
         .groupBy("doc_id", "component")
-        .agg(F.min(F.struct("node", "_rows")).alias("x"))
-        .select("doc_id", F.col("x.node").alias("_node"), "x._rows")
+        .agg(F.min(F.struct("node", "copies")).alias("x"))
+        .select("doc_id", "x.*")
     )
-    keyed = docs.withColumn("_node", F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16))
-    joined = join_same(keyed, kept, ["doc_id", "_node"])
-    once = joined.where("_rows = 1").select(*docs.columns)
+    node = F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16)
+    joined = join_same(packed(docs, "doc_id", "text").withColumn("node", node), kept, ["doc_id", "node"])
+    once = joined.where("copies = 1")
     # Rows that repeat doc_id and text: the first of the other columns stays.
-    again = joined.where("_rows > 1").dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
-    return once.unionAll(again)
+    again = joined.where("copies > 1").dropDuplicates(["doc_id", "node"])
+    return unpacked(once.unionAll(again), docs, "doc_id", "text")

@@ -9,7 +9,7 @@ identifiers are. Only lists move between tasks, never the texts.
 Cases: null text counts as empty; all empty texts form one group; of equal
 texts the row with the largest doc_id stays (null ids sort below all others);
 of rows that repeat doc_id and text one stays; empty tables give empty results;
-other columns are ignored, whatever their names.
+other columns are ignored or, by ``keep_one``, returned as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import join_same
+from stockweave.llm.common import join_same, packed, unpacked
 from stockweave.session import cut_lineage
 
 #: Chunks end after a line or sentence end, at least 512 and at most 4096 code points long (the last may be shorter).
@@ -110,13 +110,14 @@ def keep_one(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     verdict = (
         deduplicate(docs, id_bits)
         .groupBy("doc_id", "text_sha256")
-        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("_rows"))
+        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
         .where("kept")
-        .select("doc_id", F.col("text_sha256").alias("_sha"), "_rows")
+        .select("doc_id", "text_sha256", "copies")
     )
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    joined = join_same(keyed, verdict, ["doc_id", "_sha"])
-    once = joined.where("_rows = 1").select(*docs.columns)
+    key = ["doc_id", "text_sha256"]
+    keyed = packed(docs, "doc_id", "text").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    joined = join_same(keyed, verdict, key)
+    once = joined.where("copies = 1")
     # Rows that repeat doc_id and text: the first of the other columns stays.
-    again = joined.where("_rows > 1").dropDuplicates(["doc_id", "_sha"]).select(*docs.columns)
-    return once.unionAll(again)
+    again = joined.where("copies > 1").dropDuplicates(key)
+    return unpacked(once.unionAll(again), docs, "doc_id", "text")

@@ -11,8 +11,8 @@ No task sees a whole source: windows run over one shard or over a table of sourc
 
 Cases: null text and text without words have size 0 and are never taken; a null source is a source
 of its own, last in order; rows that repeat a doc_id are told apart by their text, and equal rows get equal
-shares; empty tables give empty results; other columns are ignored, whatever
-their names.
+shares; empty tables give empty results; other columns are ignored or, by ``mix``, returned
+as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockweave.llm.common import join_same, let, md5_number, n_words, text_key
+from stockweave.llm.common import join_same, let, md5_number, n_words, packed, text_key, unpacked
 from stockweave.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -193,25 +193,27 @@ def plan(
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: a row for each pass over a document, and one
     with the words of its ranges (each with the white space before it) where it has some."""
-    key = ["doc_id", "_key", "_source"]
+    key = ["doc_id", "text_key", "source_key"]
     share = (
         plan(docs, **options)
         .where("taken > 0")
-        .groupBy(F.col("doc_id"), F.col("text_key").alias("_key"), F.col("source_key").alias("_source"))
+        .groupBy(*key)
         .agg(
-            F.sum("passes").alias("_passes"),
-            F.filter(F.collect_list("ranges"), lambda r: F.size(r) > 0).alias("_parts"),
-            F.count(F.lit(1)).alias("_rows"),
+            F.sum("passes").alias("passes"),
+            F.filter(F.collect_list("ranges"), lambda r: F.size(r) > 0).alias("parts"),
+            F.count(F.lit(1)).alias("copies"),
         )
     )
-    keyed = docs.withColumns({"_key": text_key(docs["text"]), "_source": source_key(docs["source"])})
+    keyed = packed(docs, "doc_id", "text", "source").withColumns(
+        {"text_key": text_key(F.col("text")), "source_key": source_key(F.col("source"))}
+    )
     joined = join_same(keyed, share, key)
     # Equal rows put what they take together on one of them.
-    once = joined.where("_rows = 1").unionAll(joined.where("_rows > 1").dropDuplicates(key))
+    once = joined.where("copies = 1").unionAll(joined.where("copies > 1").dropDuplicates(key))
     parts = let(
         F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)),
         lambda tokens: F.transform(
-            "_parts",
+            "parts",
             lambda ranges: F.array_join(
                 F.flatten(
                     F.transform(
@@ -223,10 +225,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
             ),
         ),
     )
-    whole = F.when(F.col("_passes") > 0, F.array_repeat(F.col("text"), F.col("_passes").cast("int"))).otherwise(
+    whole = F.when(F.col("passes") > 0, F.array_repeat(F.col("text"), F.col("passes").cast("int"))).otherwise(
         F.array().cast("array<string>")
     )
-    out = once.withColumn("text", F.explode(F.concat(whole, parts)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    mixed = once.withColumn("text", F.explode(F.concat(whole, parts)))
+    return unpacked(mixed, docs, "doc_id", "text", "source", sized=True)
