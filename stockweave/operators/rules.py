@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from stockweave.functions.scalars import record_id
-from stockweave.integrity import RULES
+from stockweave.integrity import RULES, Reference, Unique
 from stockweave.schemas import PRIMARY_KEYS
+from stockweave.session import cut_lineage
 
 TableSet = Mapping[str, DataFrame]
 
 
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """All rows; neighbours are united first, so that no part is analysed more often than the tree is high."""
+    rows = list(parts)
+    while len(rows) > 1:
+        rows = [a.unionByName(b) for a, b in zip(rows[::2], rows[1::2])] + rows[len(rows) - len(rows) % 2 :]
+    return rows[0]
 
 
 def _broken_rows(df: DataFrame, table: str, predicates: dict[str, str]) -> DataFrame:
@@ -56,41 +62,128 @@ def not_null_rules(t: TableSet, tables: Iterable[str]) -> DataFrame:
 def unique_rules(t: TableSet, tables: Iterable[str]) -> DataFrame:
     """(table_name, rule, key_values, row_count) for every key that occurs more than once.
 
-    Counting needs no row to move beyond one per key and task.
+    A table is read once: each row gives an entry per rule, and one aggregate counts the entries of all rules.
+    Counting needs no row to move beyond one per rule, key and task.
     """
+    return _union(_repeated_keys(t[n], n, RULES[n].unique) for n in tables if RULES[n].unique)
+
+
+def _repeated_keys(df: DataFrame, table: str, rules: Sequence[Unique]) -> DataFrame:
+    columns = sorted({c for rule in rules for c in rule.columns})
+    entries, texts = [], F.lit(None)
+    for number, rule in enumerate(rules):
+        counts = F.expr(rule.where) if rule.where else F.lit(True)
+        if not rule.nulls_equal:
+            counts = reduce(lambda a, c: a & F.col(c).isNotNull(), rule.columns, counts)
+        kinds = {c: df.schema[c].dataType for c in columns}
+        keys = [F.col(c) if c in rule.columns else F.lit(None).cast(kinds[c]) for c in columns]
+        number_of = F.when(counts, F.lit(number)).alias("number")
+        entries.append(F.struct(number_of, *[key.alias(c) for key, c in zip(keys, columns)]))
+        texts = F.when(F.col("number") == number, record_id(*rule.columns)).otherwise(texts)
+    names = F.array(*[F.lit(rule.name) for rule in rules])
+    return (
+        df.select(F.explode(F.array(*entries)).alias("entry"))
+        .select("entry.*")
+        .filter(F.col("number").isNotNull())
+        .groupBy("number", *columns)
+        .agg(F.count("*").alias("row_count"))
+        .filter(F.col("row_count") > 1)
+        .select(F.lit(table).alias("table_name"), F.get(names, F.col("number")).alias("rule"), texts.alias("key_values"), "row_count")
+    )
+
+
+#: References that one pass tells apart by the bits of a number; one more bit says that the parent has the key.
+BITS = 62
+
+
+def _target(rule: Reference) -> str:
+    return ".".join([rule.parent, *rule.parent_columns])
+
+
+def _reference_key(t: TableSet, rule: Reference, of_parent: bool) -> tuple[str, Column]:
+    """The kind of the key, whole or text, and the key in the types of the parent; NULL where a part is NULL."""
+    kinds = [t[rule.parent].schema[p].dataType for p in rule.parent_columns]
+    names = rule.parent_columns if of_parent else rule.columns
+    if len(kinds) == 1 and isinstance(kinds[0], IntegralType):
+        return "whole", F.col(names[0]).cast("bigint")
+    parts = [F.col(c).cast(kind).cast("string") for c, kind in zip(names, kinds)]
+    joined = [x for part in parts for x in (F.lit("\u0001"), part)]
+    return "text", F.concat(*joined[1:])
+
+
+def _references(t: TableSet, tables: Iterable[str]) -> list[tuple[str, Reference]]:
+    return [(n, rule) for n in tables for rule in RULES[n].references if rule.parent in t]
+
+
+def reference_keys(t: TableSet, references: Sequence[tuple[str, Reference]]) -> DataFrame:
+    """(target, whole, text, held, copies) of every key that a parent has or a child refers to.
+
+    The key is a whole number or a text. ``held`` has a bit for each of ``references``, of at most ``BITS``, that uses
+    the key, and ``copies`` is the number of rows of the parent that have it. Each table is read once for all keys of
+    one kind that it has and refers to, and one aggregate for each kind serves all parents. A key that many rows refer
+    to is one row per task before it moves.
+    """
+    targets = sorted({_target(rule) for _, rule in references})
+    entries: dict[tuple[str, str], list[Column]] = {}
+
+    def add(name: str, rule: Reference, of_parent: bool, held: int) -> None:
+        kind, key = _reference_key(t, rule, of_parent)
+        entry = F.struct(
+            F.lit(targets.index(_target(rule))).alias("target"),
+            key.alias("key"),
+            F.lit(held).cast("bigint").alias("held"),
+            F.lit(int(of_parent)).cast("bigint").alias("copies"),
+        )
+        entries.setdefault((kind, name), []).append(entry)
+
+    for number, (name, rule) in enumerate(references):
+        add(name, rule, False, 1 << number)
+    for rule in {_target(rule): rule for _, rule in references}.values():
+        add(rule.parent, rule, True, 0)
     parts = []
-    for name in tables:
-        for rule in RULES[name].unique:
-            rows = t[name].filter(rule.where) if rule.where else t[name]
-            if not rule.nulls_equal:
-                rows = rows.dropna(subset=list(rule.columns))
-            parts.append(
-                rows.groupBy(*rule.columns)
-                .agg(F.count("*").alias("row_count"))
-                .filter(F.col("row_count") > 1)
-                .select(
-                    F.lit(name).alias("table_name"),
-                    F.lit(rule.name).alias("rule"),
-                    record_id(*rule.columns).alias("key_values"),
-                    "row_count",
-                )
-            )
+    for kind in sorted({kind for kind, _ in entries}):
+        rows = _union(
+            t[n].select(F.explode(F.array(*found)).alias("e")).select("e.*").filter(F.col("key").isNotNull())
+            for (k, n), found in entries.items()
+            if k == kind
+        )
+        key = {"whole": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string"), kind: F.col("key")}
+        parts.append(
+            rows.groupBy("target", "key")
+            .agg(F.bit_or("held").alias("held"), F.sum("copies").alias("copies"))
+            .select("target", key["whole"].alias("whole"), key["text"].alias("text"), "held", "copies")
+        )
     return _union(parts)
 
 
+def _held_numbers(references: Sequence) -> Column:
+    return F.filter(F.array(*[F.lit(i) for i in range(len(references))]), lambda i: F.getbit("held", i) == 1)
+
+
 def fk_rules(t: TableSet, tables: Iterable[str]) -> DataFrame:
-    """Rows that refer to a parent that does not exist; a NULL in the reference passes."""
+    """Rows that refer to a parent that does not exist; a NULL in the reference passes.
+
+    The keys without a parent are found first, for all references together, and written as a table in the shared
+    folder. Only children that hold such keys are read again, to name their rows.
+    """
+    every = _references(t, tables)
     parts = []
-    for name in tables:
-        for rule in RULES[name].references:
-            if rule.parent not in t:
-                continue
-            parent = t[rule.parent].select(*[F.col(p).alias(f"p_{c}") for c, p in zip(rule.columns, rule.parent_columns)])
-            match = [F.col(c) == F.col(f"p_{c}") for c in rule.columns]
+    for start in range(0, len(every), BITS):
+        references = every[start : start + BITS]
+        missing = cut_lineage(
+            reference_keys(t, references)
+            .filter(F.col("copies") == 0)
+            .select(F.explode(_held_numbers(references)).alias("number"), "whole", "text")
+        )
+        nothing = F.lit("").alias("table_name"), F.lit("").alias("rule"), F.col("text").alias("record_id")
+        parts.append(missing.limit(0).select(*nothing))
+        for (number,) in sorted(missing.select("number").distinct().collect()):
+            name, rule = references[number]
+            kind, key = _reference_key(t, rule, of_parent=False)
+            lost = missing.filter(F.col("number") == number).select(F.col(kind).alias("missing_key"))
             parts.append(
                 t[name]
-                .dropna(subset=list(rule.columns))
-                .join(parent, match, "left_anti")
+                .join(lost, key == F.col("missing_key"), "left_semi")
                 .select(
                     F.lit(name).alias("table_name"),
                     F.lit(rule.name).alias("rule"),
@@ -102,23 +195,43 @@ def fk_rules(t: TableSet, tables: Iterable[str]) -> DataFrame:
 
 def delete_restrict(t: TableSet, parent: str) -> DataFrame:
     """Rows of ``parent`` that may not be deleted, with the reference that holds them."""
-    parts = []
-    for name, rules in RULES.items():
-        for rule in rules.references:
-            if rule.parent != parent or name not in t:
-                continue
-            child = t[name].select(*[F.col(c).alias(f"c_{p}") for c, p in zip(rule.columns, rule.parent_columns)])
-            match = [F.col(p) == F.col(f"c_{p}") for p in rule.parent_columns]
-            parts.append(
+    every = [(n, rule) for n, rule in _references(t, [n for n in RULES if n in t]) if rule.parent == parent]
+    rows = []
+    for columns in sorted({rule.parent_columns for _, rule in every}):
+        references = [(n, rule) for n, rule in every if rule.parent_columns == columns]
+        kind, key = _reference_key(t, references[0][1], of_parent=True)
+        for start in range(0, len(references), BITS):
+            some = references[start : start + BITS]
+            names = F.array(*[F.lit(f"{n}.{rule.name}") for n, rule in some])
+            held = (
+                _child_keys(t, some)
+                .groupBy("held_key")
+                .agg(F.bit_or("held").alias("held"))
+                .select("held_key", F.transform(_held_numbers(some), lambda i: F.get(names, i)).alias("names"))
+            )
+            rows.append(
                 t[parent]
-                .join(child, match, "left_semi")
+                .join(held, key == F.col("held_key"))
                 .select(
                     F.lit(parent).alias("table_name"),
                     record_id(*PRIMARY_KEYS[parent]).alias("record_id"),
-                    F.lit(f"{name}.{rule.name}").alias("held_by"),
+                    F.explode("names").alias("held_by"),
                 )
             )
-    return _union(parts)
+    return _union(rows)
+
+
+def _child_keys(t: TableSet, references: Sequence[tuple[str, Reference]]) -> DataFrame:
+    """(held_key, held) of the references to one parent; each child is read once."""
+    entries: dict[str, list[Column]] = {}
+    for number, (name, rule) in enumerate(references):
+        _, key = _reference_key(t, rule, of_parent=False)
+        entry = F.struct(key.alias("held_key"), F.lit(1 << number).cast("bigint").alias("held"))
+        entries.setdefault(name, []).append(entry)
+    return _union(
+        t[n].select(F.explode(F.array(*found)).alias("e")).select("e.*").filter(F.col("held_key").isNotNull())
+        for n, found in entries.items()
+    )
 
 
 def delivery_expiry(t: TableSet) -> DataFrame:

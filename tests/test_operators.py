@@ -289,3 +289,46 @@ def test_production_wave(spark, t):
     assert [(r.production_batch_id, r.quantity_current) for r in wave.new_lots.collect()] == [(1, D("118.000"))]
     left = {r.material_id: r.quantity_current for r in wave.material_stock.collect()}
     assert left[1] == D("14.740") and left[2] == D("32.600") and left[6] == D("90.000")
+
+
+def test_integrity_rules_read_each_table_once(spark):
+    """One scan and one exchange for all unique keys of a table; hot keys and NULLs in the references."""
+    from stockweave.integrity import RULES
+    from stockweave.operators import rules
+
+    items = [(i, i % 3, i % 2, None if i % 5 == 0 else f"b{i % 4}") for i in range(40)]
+    rows = spark.createDataFrame(items, "delivery_item_id bigint, delivery_id bigint, material_id bigint, batch_number string")
+    found = rules.unique_rules({"delivery_items": rows}, ["delivery_items"])
+    want = []
+    for rule in RULES["delivery_items"].unique:
+        counts = {}
+        for row in items:
+            key = tuple(dict(zip(rows.columns, row))[c] for c in rule.columns)
+            if rule.nulls_equal or None not in key:
+                counts[key] = counts.get(key, 0) + 1
+        for key, n in counts.items():
+            if n > 1:
+                text = ", ".join(f"{c}={'null' if v is None else v}" for c, v in zip(rule.columns, key))
+                want.append(("delivery_items", rule.name, text, n))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan") == 1
+
+
+def test_references_share_one_pass(spark):
+    """Children of one parent: the keys without a parent and their rows, and the parents that are held, with copies."""
+    from stockweave.operators import rules
+
+    orders = spark.createDataFrame([(1, 1), (2, 1), (2, 9), (3, None)], "order_id bigint, customer_id bigint")
+    t = {
+        "customers": spark.createDataFrame([(1,), (5,)], "customer_id bigint"),
+        "customer_orders": orders.selectExpr("*", "'new' AS status_code", "1L AS created_by_user_id"),
+        "order_items": spark.createDataFrame([(10, 1, 7), (11, 2, 7), (12, 99, 7), (13, None, 7)], "order_item_id bigint, order_id bigint, product_id bigint"),
+    }
+    lost = {tuple(r) for r in rules.fk_rules(t, ["customer_orders", "order_items"]).collect()}
+    assert lost == {
+        ("customer_orders", "fk_customer_id", "order_id=2"),
+        ("order_items", "fk_order_id", "order_item_id=12"),
+    }
+    held = sorted(tuple(r)[1:] for r in rules.delete_restrict(t, "customer_orders").collect())
+    assert held == [("order_id=1", "order_items.fk_order_id")] + [("order_id=2", "order_items.fk_order_id")] * 2
