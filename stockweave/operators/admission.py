@@ -5,26 +5,40 @@ every resource it needs still holds enough after the earlier accepted requests;
 otherwise it is rejected as a whole and takes nothing. That is what handling the
 requests one by one gives, computed for all of them at once.
 
-Each round brackets the outcome: counting every undecided earlier request as
+A round brackets the outcome: counting every undecided earlier request as
 accepted gives the least that can be left, counting none gives the most. A
 request that fits the first bound is accepted, one that misses the second is
-rejected. The earliest undecided request always has equal bounds, so every round
-decides something, and only contested resources go on to the next round.
+rejected, and only contested resources go on. There are at most ``ROUNDS`` rounds.
+
+What is contested then depends on the order, as in a chain of requests in which
+each shares a resource with the next. Requests and the resources they contest form
+components, which do not touch each other. A task walks through its components one
+after another, in request order, and keeps no rows: only what the resources of the
+present component have given. The number of jobs thus does not depend on the length of a chain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockweave.functions.components import components
 from stockweave.functions.scan import with_chunk
 from stockweave.session import cut_lineage
 
 AMOUNT = "decimal(38,10)"
 _CHUNK = ["resource_id", "day", "_chunk"]
 
+#: Most rounds of brackets before the walk.
+ROUNDS = 3
+#: Contested needs that one task walks through without a search for components.
+WALK_ROWS = 500_000
+
 
 def _positions(needs: DataFrame) -> DataFrame:
     """Adds where each need ends on its resource's axis, for two ways of counting.
@@ -71,6 +85,63 @@ def _positions(needs: DataFrame) -> DataFrame:
     )
 
 
+def _walked(contested: DataFrame, split: bool) -> DataFrame:
+    """The undecided requests of ``contested`` that are refused, in request order; ``split`` deals components to tasks.
+
+    Rows arrive by component, day and request. An accepted request adds its needs to what its resources have given.
+    """
+    schema = "request_id " + contested.schema["request_id"].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, request, open_request, fits = None, None, False, True
+        given: dict[object, Decimal] = {}
+        ends: dict[object, Decimal] = {}
+        refused: list = []
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("request_id").type
+            for row in zip(*(batch.column(c).to_pylist() for c in _WALK)):
+                part, request_id, resource, quantity, skip, capacity, accepted = row
+                if request_id != request or part != component:
+                    if open_request and not fits:
+                        refused.append(request)
+                    elif fits:
+                        given.update(ends)
+                    if part != component:
+                        given.clear()
+                    component, request, open_request, fits = part, request_id, not accepted, True
+                    ends.clear()
+                end = max(given.get(resource, skip), skip) + quantity
+                ends[resource] = end
+                fits = fits and (accepted or end <= capacity)
+            yield pa.RecordBatch.from_arrays([pa.array(refused, kind)], names=["request_id"])
+            refused = []
+        if open_request and not fits:
+            yield pa.RecordBatch.from_arrays([pa.array([request], kind)], names=["request_id"])
+
+    if split:
+        label = cut_lineage(_components(contested))
+        rows = contested.join(label, "resource_id").repartition("component")
+    else:
+        rows = contested.withColumn("component", F.lit(0).cast("bigint")).repartition(1)
+    ordered = rows.sortWithinPartitions("component", "day", "request_id").select(*_WALK)
+    return cut_lineage(ordered.mapInArrow(walk, schema))
+
+
+_WALK = ["component", "request_id", "resource_id", "quantity", "skip", "capacity", "accepted"]
+
+
+def _components(contested: DataFrame) -> DataFrame:
+    """(resource_id, component): resources that undecided requests share, directly or over others."""
+    undecided = contested.filter(~F.col("accepted"))
+    resource = F.xxhash64(F.lit("resource"), "resource_id")
+    request = F.xxhash64(F.lit("request"), "request_id")
+    label = components(undecided.select(request.alias("a"), resource.alias("b")))
+    return (
+        contested.select("resource_id").distinct().withColumn("node", resource).join(label, "node").select("resource_id", "component")
+    )
+
+
 def admit(needs: DataFrame, capacity: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Splits requests into accepted needs and rejected request ids.
 
@@ -80,7 +151,7 @@ def admit(needs: DataFrame, capacity: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns the accepted needs with start_at and end_at on the axis of their
     resource, and the rejected ids. Both stand on tables written to the
-    shared folder, one per round.
+    shared folder.
     """
     prepared = needs.select(
         "request_id",
@@ -94,7 +165,7 @@ def admit(needs: DataFrame, capacity: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_request = Window.partitionBy("request_id")
     refused: list[DataFrame] = []
     contested = prepared.withColumn("accepted", F.lit(False))
-    while True:
+    for number in range(1, ROUNDS + 1):
         fits = F.bool_and(F.col("high") <= F.col("capacity")).over(of_request)
         misses = F.bool_or(F.col("low") > F.col("capacity")).over(of_request)
         judged = cut_lineage(
@@ -107,12 +178,14 @@ def admit(needs: DataFrame, capacity: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         refused.append(judged.filter("refused").select("request_id").distinct())
         undecided = judged.filter(~F.col("accepted") & ~F.col("refused"))
-        if undecided.isEmpty():
+        open_needs = undecided.count()
+        if not open_needs:
             break
         tight = undecided.filter("is_tight").select("resource_id").distinct()
-        contested = (
-            judged.filter(~F.col("refused")).join(tight, "resource_id", "left_semi").drop("is_tight", "refused")
-        )
+        contested = judged.filter(~F.col("refused")).join(tight, "resource_id", "left_semi").drop("is_tight", "refused")
+        if open_needs <= WALK_ROWS or number == ROUNDS:
+            refused.append(_walked(cut_lineage(contested), open_needs > WALK_ROWS))
+            break
 
     refused_ids = reduce(DataFrame.unionByName, refused)
     kept = prepared.join(refused_ids, "request_id", "left_anti").withColumn("accepted", F.lit(True))

@@ -85,13 +85,27 @@ def production_feasibility(
     return checked.unionByName(bare)
 
 
+def _cut_by_depth(starts: DataFrame) -> DataFrame:
+    """``starts`` as a table with ``chunk``, which never falls along the axis of a resource.
+
+    Chunks are the ranges of a sort by resource and place, whose bounds Spark samples: they hold about
+    ``ROWS_PER_CHUNK`` rows each, however the starts crowd on an axis. The table fixes them for every later use.
+    """
+    starts = cut_lineage(starts)
+    chunks = 1 + starts.count() // ROWS_PER_CHUNK
+    if chunks == 1:
+        return starts.withColumn("chunk", F.lit(0))
+    ranged = starts.repartitionByRange(chunks, "resource_id", "start_at")
+    return cut_lineage(ranged.withColumn("chunk", F.spark_partition_id()))
+
+
 def _overlaps(lots: DataFrame, demand: DataFrame) -> DataFrame:
     """Pairs of overlapping intervals on the axis of each material, with the overlap.
 
     Neither side overlaps itself, so walking the starts of both sides in order
     and remembering the latest start of each side meets every overlapping pair
-    once: the output grows with lots + demands, never with their product. Each
-    material's axis is cut into chunks; what is open at a chunk's edge comes
+    once: the output grows with lots + demands, never with their product. The
+    axes are cut into chunks of about as many starts; what is open at a chunk's edge comes
     from the chunk summaries.
     """
     lot = F.struct("stock_id", F.col("end_at").alias("end_at"))
@@ -101,12 +115,7 @@ def _overlaps(lots: DataFrame, demand: DataFrame) -> DataFrame:
     ).unionByName(
         demand.select("resource_id", "start_at", F.lit(1).alias("side"), F.lit(None).alias("lot"), need.alias("need"))
     )
-    starts = cut_lineage(starts)
-    extent = starts.groupBy("resource_id").agg(
-        F.max("start_at").alias("extent"), F.ceil(F.count("*") / ROWS_PER_CHUNK).alias("chunks")
-    )
-    chunk = F.when(F.col("extent") > 0, F.floor(F.col("start_at") / F.col("extent") * F.col("chunks"))).otherwise(0)
-    placed = starts.join(extent, "resource_id").withColumn("chunk", chunk.cast("bigint")).drop("extent", "chunks")
+    placed = _cut_by_depth(starts)
 
     latest = {
         side: F.max(F.when(F.col(side).isNotNull(), F.struct("start_at", side))).alias(side) for side in ("lot", "need")

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute_force
-from stockweave.operators import fefo, movements
+from stockweave.functions.components import components
+from stockweave.operators import admission, fefo, movements
 from stockweave.operators.admission import admit
 
 DAY = date(2026, 4, 1)
@@ -108,6 +109,89 @@ def test_admission_equals_sequential_loop(spark, seed):
     assert {r.request_id for r in accepted.collect()} == {n[0] for n in needs} - want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_admission_by_components(spark, seed, monkeypatch):
+    """The walk through components gives what the sequential loop gives, also without any split by size."""
+    monkeypatch.setattr(admission, "WALK_ROWS", 0)
+    monkeypatch.setattr(admission, "ROUNDS", 1 + seed % 2)
+    rng = random.Random(seed)
+    needs, left = [], {}
+    for request in range(90):
+        group = request % 3
+        for resource in {f"lot:{group}:{rng.randrange(4)}" for _ in range(2)}:
+            skip = D(max(0, request // 30 - 1) * 5)
+            needs.append((f"r{request:03d}", resource, DAY + timedelta(days=request // 30), D(rng.randrange(1, 9)), skip))
+            left[resource] = D(40)
+    df = spark.createDataFrame(
+        needs, "request_id string, resource_id string, day date, quantity decimal(12,3), skip decimal(12,3)"
+    )
+    caps = spark.createDataFrame(list(left.items()), "resource_id string, capacity decimal(12,3)")
+    accepted, refused = admit(df, caps)
+    place, by_request = defaultdict(D), defaultdict(list)
+    for request, resource, day, qty, skip in needs:
+        by_request[(day, request)].append((resource, qty, skip))
+    want = set()
+    for key in sorted(by_request):
+        ends = {r: max(place[r], skip) + qty for r, qty, skip in by_request[key]}
+        if any(end > left[r] for r, end in ends.items()):
+            want.add(key[1])
+        else:
+            place.update(ends)
+    assert {r.request_id for r in refused.collect()} == want and len(want) > 5
+    assert {r.request_id for r in accepted.collect()} == {n[0] for n in needs} - want
+
+
+def _chain(n):
+    """Each request needs all of its own resource and of the next, so every second one is refused."""
+    return [(f"r{i:07d}", f"m{i + j:07d}", DAY, D(1), D(0)) for i in range(n) for j in (0, 1)]
+
+
+def test_admission_of_a_long_chain_takes_few_jobs(spark, monkeypatch):
+    written = []
+
+    def counting(df, keep=admission.cut_lineage):
+        written.append(1)
+        return keep(df)
+
+    monkeypatch.setattr(admission, "cut_lineage", counting)
+    counts = []
+    for n in (24, 100_000):
+        written.clear()
+        df = spark.createDataFrame(
+            _chain(n), "request_id string, resource_id string, day date, quantity decimal(12,3), skip decimal(12,3)"
+        )
+        caps = spark.range(n + 1).select(F.format_string("m%07d", "id").alias("resource_id"), F.lit(D(1)).alias("capacity"))
+        _, refused = admit(df, caps)
+        assert {r.request_id for r in refused.collect()} == {f"r{i:07d}" for i in range(1, n, 2)}
+        counts.append(len(written))
+    assert counts[0] == counts[1] <= 4
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(10, 700)] + [(5000, 5001 + i) for i in range(300)] + [(9, 9), (6000, 8), (8, 6001)]
+    random.Random(1).shuffle(links)
+    found = {r.node: r.component for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert found == (
+        {i: 10 for i in range(10, 701)} | {i: 5000 for i in range(5000, 5301)} | {9: 9} | {8: 8, 6000: 8, 6001: 8}
+    )
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_overlaps_cut_crowded_axes_by_depth(spark, monkeypatch):
+    """A million small needs on a hundredth of the axis beside one large lot: chunks of like size, nothing lost."""
+    monkeypatch.setattr(fefo, "ROWS_PER_CHUNK", 50_000)
+    n = 1_000_000
+    unit = "decimal(38,10)"
+    demand = spark.range(n).selectExpr(
+        "id AS request_id", "1L AS resource_id", f"CAST(id AS {unit}) AS start_at", f"CAST(id + 1 AS {unit}) AS end_at"
+    )
+    lots = spark.createDataFrame([(7, 1, D(0), D(100 * n))], f"stock_id bigint, resource_id bigint, start_at {unit}, end_at {unit}")
+    sizes = [r["count"] for r in fefo._cut_by_depth(demand.select("resource_id", "start_at")).groupBy("chunk").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 2 * n / len(sizes)
+    takes = fefo._overlaps(lots, demand)
+    assert takes.agg(F.count("*"), F.sum("take_qty"), F.max("take_qty")).first() == (n, D(n), D(1))
+
+
 def test_consumption_guard(spark, small):
     lots = small["finished_goods_stock"]
     one = lots.filter("quantity_current > 10").orderBy("finished_stock_id").first()
