@@ -19,6 +19,10 @@ QUANTILES = (0.0, 0.001, 0.01, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 0.99
 #: Equal-width chunks per piece.
 CUTS = 128
 
+#: Texts that are sampled for their quantiles, and steps of the two-step search among these.
+SAMPLE = 8192
+STEPS = 32
+
 
 def order_number(df: DataFrame, column: str) -> Column:
     """A number that never falls as ``column`` rises.
@@ -32,14 +36,37 @@ def order_number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("bigint")
 
 
+def _text_chunk(df: DataFrame, column: str) -> Column:
+    """The number of sampled quantiles of a text column that a text reaches.
+
+    The sample takes the texts of least hash, so it is spread evenly over the distinct texts, is the same in every run,
+    and has a fixed size. Common beginnings of ids thus do no harm. A row is compared with the first quantile of each
+    step and then with those of one step.
+    """
+    sample = df.select(F.col(column).alias("text")).where(F.col(column).isNotNull())
+    least = sample.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
+    texts = sorted({r.text for r in least}, key=lambda x: x.encode())
+    if not texts:
+        return F.lit(0)
+    count = min(STEPS * STEPS, len(texts))
+    bounds = [texts[i * len(texts) // count] for i in range(count)]
+    steps = [bounds[i : i + STEPS] for i in range(0, count, STEPS)]
+    reached = lambda values: F.size(F.filter(values, lambda low: low <= F.col(column)))
+    step = reached(F.array(*[F.lit(x[0]) for x in steps]))
+    inside = reached(F.get(F.array(*[F.array(*map(F.lit, x)) for x in steps]), step - 1))
+    return F.when(step < 1, F.lit(0)).otherwise((step - 1) * STEPS + inside)
+
+
 def with_chunk(df: DataFrame, column: str, chunk: str = "_chunk") -> DataFrame:
     """Adds a chunk number that never falls as ``column`` rises.
 
     Estimated quantiles keep the chunks of similar size even if ids are unevenly
     spread. They steer only the spread of work, never a result. An estimate can
-    differ from run to run, so it is taken once, as a dozen numbers that become
+    differ from run to run, so it is taken once, as a list of bounded length that becomes
     part of the plan: every use and every repeated task sees the same chunks.
     """
+    if isinstance(df.schema[column].dataType, StringType):
+        return df.withColumn(chunk, F.coalesce(_text_chunk(df, column), F.lit(0)).cast("int"))
     number = order_number(df, column)
     bounds = df.agg(F.percentile_approx(number, list(QUANTILES), 10_000)).first()[0]
     if not bounds:

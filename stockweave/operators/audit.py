@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.functions.inet import parse_inet
 from stockweave.functions.ordering import asc
 from stockweave.functions.scalars import row_json
 
@@ -64,10 +65,12 @@ def audit_diff(
 def auth_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Audit rows of sign-in events (user_id, action_type, changed_at, ip_address, success), and the rejects.
 
-    Only LOGIN and LOGOUT are sign-in events. An unknown user has no record id.
+    Only LOGIN and LOGOUT are sign-in events. An unknown user has no record id. An address may be missing, but must
+    be one.
     """
     known = F.coalesce(F.col("action_type").isin("LOGIN", "LOGOUT"), F.lit(False))
-    rows = events.filter(known).select(
+    addressed = parse_inet(F.col("ip_address"))["reason"].isNull()
+    rows = events.filter(known & addressed).select(
         "user_id",
         "action_type",
         F.lit("users").alias("table_name"),
@@ -78,8 +81,9 @@ def auth_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
         "ip_address",
         "success",
     )
-    rejects = events.filter(~known).select(
-        "user_id", "action_type", "changed_at", F.lit("unsupported_action").alias("reject_reason")
+    reason = F.when(~known, "unsupported_action").otherwise("invalid_address")
+    rejects = events.filter(~known | ~addressed).select(
+        "user_id", "action_type", "changed_at", reason.alias("reject_reason")
     )
     return rows, rejects
 

@@ -18,10 +18,10 @@ query(
     "g1_qc_passed_lots",
     """
 SELECT s.* FROM {raw_material_stock} AS s
-WHERE EXISTS (SELECT 1 FROM {quality_checks} AS q WHERE q.delivery_item_id = s.delivery_item_id
-              AND q.check_type = 'raw_material' AND q.result_code = 'passed')
-  AND NOT EXISTS (SELECT 1 FROM {quality_checks} AS q WHERE q.delivery_item_id = s.delivery_item_id
-              AND q.check_type = 'raw_material' AND q.result_code = 'failed')""",
+WHERE s.delivery_item_id IN (
+  SELECT q.delivery_item_id FROM {quality_checks} AS q WHERE q.check_type = 'raw_material' AND q.delivery_item_id IS NOT NULL
+  GROUP BY q.delivery_item_id
+  HAVING count(*) FILTER (WHERE q.result_code = 'passed') > 0 AND count(*) FILTER (WHERE q.result_code = 'failed') = 0)""",
     decimals="quantity_current",
 )(lambda t: gates.qc_passed_lots(t["raw_material_stock"], t["quality_checks"], "delivery_item_id", "raw_material"))
 

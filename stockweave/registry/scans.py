@@ -7,6 +7,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from stockweave.functions.inet import parse_inet
 from stockweave.functions.labels import display_flag, translate_code
 from stockweave.functions.ordering import asc, desc
 from stockweave.functions.parsing import FormField, parse_form_batch
@@ -24,9 +25,20 @@ from stockweave.functions.scalars import (
 )
 from stockweave.operators.reports import low_stock
 from stockweave.registry.base import AS_OF, NOW, query
+from stockweave.schemas import LOAD_ORDER
 from stockweave.session import shared_folder
+from stockweave.sources.driver import BINDINGS
 from stockweave.sources.sinks import append, insert_ignore, load_in_order, with_defaults
-from stockweave.sources.tables import Tables, read_tables, row_counts, scan_by_key, scan_table, snapshot_check, write_snapshot
+from stockweave.sources.tables import (
+    Tables,
+    publish_snapshot,
+    read_snapshot,
+    read_tables,
+    row_counts,
+    scan_by_key,
+    scan_table,
+    snapshot_check,
+)
 
 
 def _fresh_folder(t: Tables) -> str:
@@ -45,19 +57,18 @@ def scan_one_order(t):
     return scan_by_key(t, "customer_orders", order_id=42)
 
 
+#: All tables that the supplied files are bound to.
+BOUND = [name for name in LOAD_ORDER if name in BINDINGS]
+
+
 @query(
     "s4_load_order",
-    """
-SELECT 'customers' AS table_name, count(*) AS row_count FROM {customers}
-UNION ALL SELECT 'products', count(*) FROM {products}
-UNION ALL SELECT 'customer_orders', count(*) FROM {customer_orders}
-UNION ALL SELECT 'order_items', count(*) FROM {order_items}""",
+    "\nUNION ALL\n".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {{{n}}}" for n in BOUND),
 )
-def load_sales_tables(t):
-    names = ["customers", "products", "customer_orders", "order_items"]
+def load_all_tables(t):
     folder = _fresh_folder(t)
-    load_in_order({n: t[n] for n in names}, folder)
-    return row_counts(read_tables(t["lineitem"].sparkSession, folder, names, declared=False), names)
+    load_in_order({n: t[n] for n in BOUND}, folder)
+    return row_counts(read_tables(t["lineitem"].sparkSession, folder, BOUND, declared=False), BOUND)
 
 
 @query(
@@ -103,28 +114,24 @@ def insert_missing_offers(t):
     return insert_ignore(new, known, ["supplier_id", "material_id"])
 
 
-_SNAPSHOT = ["suppliers", "raw_materials", "raw_material_deliveries", "delivery_items", "invoices"]
-
-
 @query("s7_table_snapshot", "SELECT * FROM {invoices}", decimals="amount")
 def snapshot_and_restore(t):
     folder = _fresh_folder(t)
-    write_snapshot({"invoices": t["invoices"]}, folder)
-    return read_tables(t["lineitem"].sparkSession, folder, ["invoices"], declared=False)["invoices"]
+    publish_snapshot({n: t[n] for n in BOUND}, folder)
+    return read_snapshot(t["lineitem"].sparkSession, folder)["invoices"]
 
 
 @query(
     "s8_snapshot_check",
     "\nUNION ALL\n".join(
         f"SELECT '{n}' AS table_name, count(*) AS source_rows, count(*) AS restored_rows, TRUE AS matches FROM {{{n}}}"
-        for n in _SNAPSHOT
+        for n in BOUND
     ),
 )
 def check_snapshot(t):
     folder = _fresh_folder(t)
-    write_snapshot({n: t[n] for n in _SNAPSHOT}, folder)
-    restored = read_tables(t["lineitem"].sparkSession, folder, _SNAPSHOT, declared=False)
-    return snapshot_check(t, restored, _SNAPSHOT)
+    publish_snapshot({n: t[n] for n in BOUND}, folder)
+    return snapshot_check(t, read_snapshot(t["lineitem"].sparkSession, folder), BOUND)
 
 
 @query(
@@ -353,6 +360,33 @@ def expiry_classes(t):
     )
 
 
+@query(
+    "x3_inet_parse",
+    """
+WITH a AS (
+  SELECT changed_at, user_id, ip_address, string_split(ip_address, '.') AS p FROM {audit_log}
+), f AS (
+  SELECT unnest([1, 2, 3, 4]) AS form
+), v AS (
+  SELECT *, '00000000000000000000ffff' || printf('%02x%02x%02x%02x', CAST(p[1] AS INT), CAST(p[2] AS INT), CAST(p[3] AS INT),
+                                                 CAST(p[4] AS INT)) AS x FROM a CROSS JOIN f
+)
+SELECT changed_at, user_id,
+       CASE form WHEN 1 THEN ip_address WHEN 2 THEN '::FFFF:' || ip_address WHEN 3 THEN ip_address || '/24' ELSE ip_address || '/x' END AS address,
+       CASE form WHEN 2 THEN 6 WHEN 4 THEN NULL ELSE 4 END AS family, CASE WHEN form < 4 THEN x END AS value,
+       CASE form WHEN 1 THEN 32 WHEN 2 THEN 128 WHEN 3 THEN 24 END AS prefix,
+       CASE WHEN form = 4 THEN 'prefix_out_of_range' END AS reason
+FROM v""",
+)
+def inet_values(t):
+    ip = F.col("ip_address")
+    forms = F.array(ip, F.concat(F.lit("::FFFF:"), ip), F.concat(ip, F.lit("/24")), F.concat(ip, F.lit("/x")))
+    texts = t["audit_log"].select("changed_at", "user_id", F.explode(forms).alias("address"))
+    return texts.select("*", parse_inet(F.col("address")).alias("parsed")).select(
+        "changed_at", "user_id", "address", "parsed.*"
+    )
+
+
 @query(
     "c1_parse_form_batch",
     r"""

@@ -45,6 +45,20 @@ def append(rows: DataFrame, folder: str, table: str) -> None:
     rows.write.mode("append").parquet(f"{folder}/{table}")
 
 
+def append_batch(rows: DataFrame, folder: str, table: str, batch_id: str, day: str | None = None) -> None:
+    """Add the rows of a batch to a stored table, in folders by batch and, with ``day``, by its month.
+
+    A batch has its own folder, which a repeated run writes anew, so a batch never stands in the table twice.
+    Readers get ``batch_id`` and ``month`` as columns; a filter on them skips whole folders.
+    """
+    place = f"{folder}/{table}/batch_id={batch_id}"
+    if day is None:
+        rows.write.mode("overwrite").parquet(place)
+    else:
+        month = F.date_format(day, "yyyy-MM")
+        rows.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(place)
+
+
 def load_in_order(tables: Mapping[str, DataFrame], folder: str) -> list[str]:
     """Append every table, parents before the children that refer to them."""
     names = [name for name in LOAD_ORDER if name in tables]

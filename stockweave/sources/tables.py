@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
@@ -74,10 +75,72 @@ def row_counts(tables: Mapping[str, DataFrame], names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def publish_snapshot(tables: Mapping[str, DataFrame], folder: str) -> int:
+    """Writes every table to a new place below ``folder`` and makes all of them visible at once; returns the version.
+
+    The manifest, a small table that lists where the tables of a version are, is written last. A write that ends before
+    it leaves the versions before as they were, and its files are in nobody's list.
+    """
+    names = [name for name in LOAD_ORDER if name in tables]
+    spark = tables[names[0]].sparkSession
+    last = _versions(spark, folder)
+    version = 1 + (max(last) if last else 0)
+    place = f"data/{version:08d}-{uuid.uuid4().hex}"
+    for name in names:
+        tables[name].write.mode("errorifexists").parquet(f"{folder}/{place}/{name}")
+    rows = [(version, name, f"{place}/{name}") for name in names]
+    manifest = spark.createDataFrame(rows, "version long, table_name string, path string").coalesce(1)
+    manifest.write.mode("errorifexists").parquet(f"{folder}/manifests/{version:08d}")
+    return version
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions whose manifest is complete."""
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(folder)
+    done = system.get_file_info(fs.FileSelector(f"{root}/manifests", allow_not_found=True, recursive=True))
+    return sorted(int(info.path.split("/")[-2]) for info in done if info.base_name == "_SUCCESS")
+
+
+def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> Tables:
+    """The tables that the manifest of the latest, or of the given, version lists."""
+    known = _versions(spark, folder)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"no published snapshot {version or ''} in {folder}")
+    listed = spark.read.parquet(f"{folder}/manifests/{version or known[-1]:08d}").collect()
+    return Tables({r.table_name: (lambda path=r.path: spark.read.parquet(f"{folder}/{path}")) for r in listed})
+
+
+def fingerprints(tables: Mapping[str, DataFrame], names: list[str]) -> DataFrame:
+    """(table_name, row_count, fingerprint) for the given tables: the content whatever the order of rows and columns.
+
+    The fingerprint adds up two 64-bit hashes of each row, so it needs one pass and a row per task to move.
+    """
+
+    def of(name: str) -> DataFrame:
+        columns = [F.col(c) for c in sorted(tables[name].columns)]
+        # A hash passes over NULLs, so where they are is hashed as well.
+        values = [*columns, *[c.isNull() for c in columns]]
+        halves = [F.sum(F.xxhash64(F.lit(i), *values).cast("decimal(38,0)")).alias(f"half_{i}") for i in (0, 1)]
+        text = F.concat_ws(":", "row_count", "half_0", "half_1")
+        return (
+            tables[name]
+            .agg(F.count("*").alias("row_count"), *halves)
+            .select(F.lit(name).alias("table_name"), "row_count", text.alias("fingerprint"))
+        )
+
+    return reduce(DataFrame.unionByName, [of(name) for name in names])
+
+
 def snapshot_check(source: Mapping[str, DataFrame], restored: Mapping[str, DataFrame], names: list[str]) -> DataFrame:
-    """Row counts of both sides per table, and whether they agree."""
-    left = row_counts(source, [n for n in names if n in source]).withColumnRenamed("row_count", "source_rows")
-    right = row_counts(restored, [n for n in names if n in restored]).withColumnRenamed("row_count", "restored_rows")
-    return left.join(right, "table_name", "full").withColumn(
-        "matches", F.coalesce(F.col("source_rows") == F.col("restored_rows"), F.lit(False))
+    """Row counts of both sides per table, and whether their contents agree."""
+    left = fingerprints(source, [n for n in names if n in source]).withColumnsRenamed(
+        {"row_count": "source_rows", "fingerprint": "left"}
+    )
+    right = fingerprints(restored, [n for n in names if n in restored]).withColumnsRenamed(
+        {"row_count": "restored_rows", "fingerprint": "right"}
+    )
+    return left.join(right, "table_name", "full").select(
+        "table_name", "source_rows", "restored_rows", F.coalesce(F.col("left") == F.col("right"), F.lit(False)).alias("matches")
     )

@@ -167,3 +167,39 @@ def test_numbering_is_dense_and_ordered(spark):
 
 def test_numbering_of_nothing(spark):
     assert numbered(column(spark, [], "bigint"), "v").count() == 0
+
+
+def test_inet_forms(spark):
+    """Against the standard library, for well-formed and broken addresses."""
+    import ipaddress
+
+    from stockweave.functions.inet import parse_inet
+
+    texts = ["1.2.3.4", "255.255.255.255/0", "10.0.0.1/24", "::", "::1", "1::", "fe80::1:2/64", "2001:DB8:0:0:8:800:200C:417A"]
+    texts += ["::ffff:1.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "64:ff9b::10.0.0.1/96", "::1.2.3.4"]
+    bad = ["", " ", "1.2.3", "1.2.3.256", "1.2.3.4.5", "a.b.c.d", "1::2::3", ":::", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::"]
+    bad += ["g::1", ":1", "1:", "1.2.3.4:5", "1.2.3.4/1/2", "::1.2.3.999", "1:2:3:4:5:6:7:1.2.3.4", "host", "1.2.3.4 ", "[::1]"]
+    wide = ["1.2.3.4/33", "::1/129", "1.2.3.4/", "::1/x", "1.2.3.4/-1"]
+    df = spark.createDataFrame([(t,) for t in [*texts, *bad, *wide, None]], "t string")
+    got = {r.t: r for r in df.select("t", parse_inet(F.col("t")).alias("p")).select("t", "p.*").collect()}
+    for text in texts:
+        address, _, prefix = text.partition("/")
+        known = ipaddress.ip_address(address)
+        whole = int(known) + (0xFFFF << 32 if known.version == 4 else 0)
+        r = got[text]
+        assert (r.family, r.value, r.reason) == (known.version, f"{whole:032x}", None), text
+        assert r.prefix == int(prefix or known.max_prefixlen)
+    assert {got[t].reason for t in bad} == {"not_an_address"} and {got[t].reason for t in wide} == {"prefix_out_of_range"}
+    assert all(got[t].value is None and got[t].family is None for t in [*bad, *wide])
+    assert tuple(got[None])[1:] == (None, None, None, None)
+
+
+def test_text_ids_with_a_common_beginning_spread_over_chunks(spark):
+    from stockweave.functions.scan import with_chunk
+
+    ids = spark.range(1_000_000).select(F.format_string("ORD-WEB-%s-%07d", F.when(F.col("id") % 2 == 0, "A").otherwise("B"), "id").alias("t"))
+    chunked = with_chunk(ids, "t")
+    sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 20_000
+    ordered = chunked.groupBy("_chunk").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("_chunk").collect()
+    assert all(x.b < y.a for x, y in zip(ordered, ordered[1:]))
