@@ -2,8 +2,8 @@
 
 Base kinds are fixed patterns. Beyond them, the text around each ``=`` and ``:``
 is read as an assignment of a source or configuration language: a name, and a
-quoted or bare literal, a concatenation of quoted literals, or the name of a
-constant assigned anywhere in the text; a type between name and value is not the name. Constants are followed through
+quoted or bare literal, a concatenation of quoted literals, the last literal of a call, a default, or the name of a
+constant assigned anywhere in the text; pairs are also read from calls and attributes; a type between name and value is not the name. Constants are followed through
 names, with all values they take, and a literal is scored by the sensitive words of the names it reaches and by its own form.
 
 Spans are kind:start:end in code points, end exclusive. Base spans always stay;
@@ -53,10 +53,26 @@ LEAST_CHARS = 6
 
 _OPERATOR = re.compile(r"=>|:=|[=:]")
 _NAME = re.compile(r"(?<![\w.$-])[A-Za-z_$][\w.$-]*+")
-_QUOTED = re.compile(r"""[^\S\r\n]*+(?:[rbuf]{1,2}(?=["']))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
+_QUOTED = re.compile(
+    r"""[^\S\r\n]*+(?:[rbuf]{1,2}(?=["']))?(?:"{3}((?:[^"\\]|\\[\s\S]|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\[\s\S]|'(?!''))*+)'{3}"""
+    r"""|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)"""
+)
 _PLUS = re.compile(r"[^\S\r\n]*+\+")
+#: What may stand before the quoted literals of a value: a bracket, a call, or a value that they replace if it is missing.
+_BRACKET = re.compile(r"""[^\S\r\n]*+\(\s*+(?=(?:[rbuf]{1,2})?["'])""")
+_NEXT = re.compile(r"""\s*+(?:\+\s*+)?(?=(?:[rbuf]{1,2})?["'])""")
+_CALL = re.compile(r"""[^\S\r\n]*+(?:new\s++|await\s++)?[A-Za-z_$][\w.$]*+\(\s*+(?=["'])""")
+_ARGUMENT = re.compile(r"""\s*+,\s*+(?=["'])""")
+_ELSE = re.compile(r"""[^\S\r\n]*+[\w.$]++(?:[(\[][^()\[\]\n]*+[)\]])?[^\S\r\n]++(?:or(?=\s)|\|\||\?\?)[^\S\r\n]*+(?=["'`])""")
+#: Names and literals as the two first arguments of a call, or as two attributes of an element.
+_PAIRS = re.compile(
+    r"""[A-Za-z_$][\w.$]*+\(\s*+(["'])(\w[\w.$-]*+)\1\s*+,\s*+(["'])((?:(?!\3)[^\\\n])*+)\3"""
+    r"""|\b(?:key|name|id)\s*+=\s*+(["'])(\w[\w.$-]*+)\5\s++value\s*+=\s*+(["'])((?:(?!\7)[^\n<>])*+)\7"""
+)
 _CONSTANT = re.compile(r"[^\S\r\n]*+\$?\{?([A-Za-z_][\w.]*)\}?(?=[\s;,)\]}]|\Z)")
-_BARE = re.compile(r"""[^\S\r\n]*+([^\s"'`,;()\[\]{}<>]+)""")
+_PART = r"""[^\s"'`,;()\[\]{}<>&=:]"""
+#: A bare literal holds at most eight colons, and ``=`` only as its padding, so operators of one line share no long text.
+_BARE = re.compile(rf"""[^\S\r\n]*+((?={_PART}|:){_PART}*+(?::++{_PART}*+){{0,8}}+(?:=++(?!{_PART}))?+)""")
 #: A type between ``:`` and ``=``, without what stands in its brackets.
 _TYPE = re.compile(r"\s*+(?:[&*]\s*+)*(?:'\w++\s++)?(?:mut\s++|const\s++|dyn\s++)?[A-Za-z_][\w.]*+[?!]*+\s*+(?:\|\s*+[A-Za-z_][\w.]*+\s*+)*")
 #: Types that follow a name without ``:``, and words before a name that any type may follow.
@@ -148,6 +164,23 @@ def _declared(text: str, span: tuple[int, int], names: dict[int, int]) -> tuple[
     return span
 
 
+def _literals(text: str, at: int) -> list[tuple[int, int]]:
+    """The spans of the quoted literals that make the value at ``at``; of a call's arguments, the last counts."""
+    bracket = _BRACKET.match(text, at)
+    call = None if bracket else _CALL.match(text, at)
+    start = bracket or call or _ELSE.match(text, at)
+    more = _NEXT if bracket else _ARGUMENT if call else _PLUS
+    spans, at = [], start.end() if start else at
+    while piece := _QUOTED.match(text, at):
+        span = piece.span(piece.lastindex)
+        spans = [span] if call else [*spans, span]
+        following = more.match(text, piece.end())
+        if not following:
+            break
+        at = following.end()
+    return spans
+
+
 def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str, bool, str | None]]:
     """(name, spans, literal, quoted, constant) in text order; ``constant`` is the name that a value refers to."""
     found = []
@@ -171,14 +204,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str, bool,
             continue
         if op[0] == ":":
             typed = op.end(), span, len(found)
-        spans, at = [], op.end()
-        while piece := _QUOTED.match(text, at):
-            group = next(i for i in (1, 2, 3) if piece[i] is not None)
-            spans.append(piece.span(group))
-            plus = _PLUS.match(text, piece.end())
-            if not plus:
-                break
-            at = plus.end()
+        spans = _literals(text, op.end())
         if spans:
             value = spans, "".join(text[a:b] for a, b in spans), True, None
         elif bare := _BARE.match(text, op.end()):
@@ -187,6 +213,9 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str, bool,
         else:
             continue
         found += [(text[a:b], *value) for a, b in targets]
+    for pair in _PAIRS.finditer(text):
+        name, literal = (2, 4) if pair[2] is not None else (6, 8)
+        found.append((pair[name], [pair.span(literal)], pair[literal], True, None))
     return found
 
 
