@@ -9,7 +9,9 @@ without one, it is the deepest layout element that holds most of them and has no
 headings, paragraphs, lists or sections of the content beside it. Its other lines come
 along, as a short paragraph between long ones has a low ratio, except those of
 page furniture: elements whose tag, role or name says menu, header, footer,
-sidebar, notice, advert, form or comments, and lists made of links.
+sidebar, notice, advert, form or comments, and, on pages without an article, lists made of links.
+Inside an article, the names of paragraphs, headings, items and tables do not count. A page that stands
+in a form as a whole is read as if the form were none.
 
 Cases: null and empty html, and pages without text, give empty text; character
 references are decoded; unclosed and stray tags are closed where HTML closes
@@ -77,6 +79,8 @@ def furniture_name(value: str) -> bool:
     return False
 
 
+#: Elements of a text: inside an article their names say nothing about furniture.
+TEXTUAL = HEADINGS | frozenset("p li dl dt dd blockquote pre figure figcaption table tr td th".split())
 #: Furniture also as a part of the article.
 COMMENTS = frozenset("comment comments replies respond share sharing related".split())
 
@@ -88,8 +92,10 @@ class Lines(HTMLParser):
     to ``last`` of it; ``parent`` leads outwards.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, forms: bool = True) -> None:
+        """``forms`` says whether forms are furniture."""
         super().__init__(convert_charrefs=True)
+        self.furniture = FURNITURE if forms else FURNITURE - {"form", "fieldset"}
         self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container, hidden, furniture
         self.open: Counter[str] = Counter()
         self.parent, self.last, self.kind = [0], [0], ["html"]
@@ -156,9 +162,12 @@ class Lines(HTMLParser):
         hidden = hidden or tag in HIDDEN or "hidden" in named or "display:none" in style
         if not furniture and tag not in KEEP:
             furniture = (
-                (tag in FURNITURE and not (tag == "header" and (self.open["article"] or self.open["main"])))
+                (tag in self.furniture and not (tag == "header" and (self.open["article"] or self.open["main"])))
                 or (named.get("role") or "").lower() in ROLES
-                or furniture_name(f"{named.get('class') or ''} {named.get('id') or ''}")
+                or (
+                    not (tag in TEXTUAL and (self.open["article"] or self.open["main"]))
+                    and furniture_name(f"{named.get('class') or ''} {named.get('id') or ''}")
+                )
             )
         if tag not in INLINE:
             self.parent.append(container)
@@ -238,11 +247,14 @@ def content_region(parser: Lines, lines: list, able: list[int], content: set[int
 
 def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     """The blocks of the content region in page order, joined by an empty line."""
-    parser = Lines()
-    parser.feed(html)
-    lines = parser.finish()
-    able = [i for i, x in enumerate(lines) if not x[4]]
-    if not able:
+    for forms in (True, False):  # a page that stands in one form as a whole is no form
+        parser = Lines(forms)
+        parser.feed(html)
+        lines = parser.finish()
+        able = [i for i, x in enumerate(lines) if not x[4]]
+        if able:
+            break
+    else:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, _, _, _ in lines])
     # Furniture keeps its place among the lines but has no weight of its own.
@@ -254,7 +266,14 @@ def main_text(html: str, sigma: float = SIGMA, share: float = SHARE) -> str:
     chosen = []
     for i in able:
         text, _, links, container, _ = lines[i]
-        if region <= container <= parser.last[region] and not (links > 0.66 * len(text) and smoothed[i] < threshold):
+        # Outside articles, lines of links are menus; a linked heading is none.
+        menu = (
+            parser.kind[region] not in ARTICLE
+            and parser.kind[container] not in HEADINGS
+            and links > 0.66 * len(text)
+            and smoothed[i] < threshold
+        )
+        if region <= container <= parser.last[region] and not menu:
             chosen.append(text)
     return "\n\n".join(chosen)
 

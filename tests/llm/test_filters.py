@@ -343,3 +343,66 @@ def test_html_articles_of_the_corpus(spark):
     assert sorted((str(r.page_id), r.text) for r in html_text.extract(nulls).collect()) == [("1", ""), ("None", "")]
     assert html_text.extract(nulls.limit(0)).count() == 0
 
+
+
+def test_secrets_take_linear_time_on_one_line():
+    """A line of very many operators; time is that of the text, and no long literal is kept for each."""
+    import time
+    import tracemalloc
+
+    for piece, times in (("a=1&", 250_000), ("token=", 50_000), ("a:", 50_000), ("x=token:", 50_000)):
+        text = piece * times
+        started = time.process_time()
+        secrets.all_spans(text)
+        assert time.process_time() - started < 60
+    tracemalloc.start()
+    secrets.all_spans("a=1&" * 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize(
+    "text, literals",
+    [
+        ('pwd = """q8Zr71Lk0pWx"""', ["q8Zr71Lk0pWx"]),
+        ("pwd = '''q8Zr\n71Lk0pWx'''", ["q8Zr\n71Lk0pWx"]),
+        ('pwd = ("q8Zr71"\n       "Lk0pWx")', ["q8Zr71", "Lk0pWx"]),
+        ('define("DB_PWD", "q8Zr71Lk0pWx");', ["q8Zr71Lk0pWx"]),
+        ('<add key="db_pwd" value="q8Zr71Lk0pWx"/>', ["q8Zr71Lk0pWx"]),
+        ('db_pwd = f("q8Zr71Lk0pWx")', ["q8Zr71Lk0pWx"]),
+        ('db_pwd = os.getenv("DB", "q8Zr71Lk0pWx")', ["q8Zr71Lk0pWx"]),
+        ('db_pwd = env or "q8Zr71Lk0pWx"', ["q8Zr71Lk0pWx"]),
+        ('db_pwd = process.env.PW || "q8Zr71Lk0pWx"', ["q8Zr71Lk0pWx"]),
+        ("user=me&pwd=q8Zr71Lk0pWx&x=1", ["q8Zr71Lk0pWx"]),
+        ("pwd=q8Zr71Lk0pWx==", ["q8Zr71Lk0pWx=="]),
+        ('label = ("one two" "three four")', []),
+        ('define("TITLE", "q8Zr71Lk0pWx");', []),
+    ],
+)
+def test_secret_syntaxes(text, literals):
+    assert [text[a:b] for a, b, kind in secrets.all_spans(text)[1] if kind == "literal"] == literals
+
+
+@pytest.mark.parametrize(
+    "html, lines",
+    [
+        ("<body><form id=all><h1>Head</h1><p>" + "word " * 40 + "</p></form></body>", ["Head", ("word " * 40).strip()]),
+        (
+            "<body><nav><a href=x>Home</a></nav><article><h1><a href=y>Linked title</a></h1><p>" + "word " * 60 + "</p></article></body>",
+            ["Linked title", ("word " * 60).strip()],
+        ),
+        (
+            "<article><h1>T</h1><p>" + "word " * 90 + "</p><h2>References</h2><ol>"
+            + "".join(f"<li><a href=r{i}>Entry number {i}</a></li>" for i in range(14))
+            + "</ol></article>",
+            ["T", ("word " * 90).strip(), "References", *[f"Entry number {i}" for i in range(14)]],
+        ),
+        (
+            "<article><h1>T</h1><p class=notice>" + "one " * 30 + "</p><p id=share-prices>" + "two " * 30
+            + "</p><div class=ad>Buy now</div><ul class=menu><li>soup</li></ul></article>",
+            ["T", ("one " * 30).strip(), ("two " * 30).strip()],
+        ),
+    ],
+)
+def test_html_articles_stay_whole(html, lines):
+    assert html_text.main_text(html) == "\n\n".join(lines)
