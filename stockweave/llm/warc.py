@@ -71,12 +71,13 @@ def chunk_rows(record: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A row for each chunk of a payload; a record without payload, or a revisit, has one empty chunk."""
     whole = F.col("record_type") == "response"
     last = F.when(whole, F.floor(F.greatest(F.col("payload_bytes") - 1, F.lit(0)) / chunk_bytes)).otherwise(0)
-    parts = F.transform(
-        F.sequence(F.lit(0), last.cast("int")),
-        lambda i: F.when(whole, F.substring("payload", i * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b"")),
-    )
     meta = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return record.select(*meta, last.cast("int").alias("last_chunk"), F.posexplode(parts).alias("chunk_no", "data"))
+    # The chunk numbers come first, so a row holds one chunk and never an array of all.
+    numbered = record.select(*meta, "payload", last.cast("int").alias("last_chunk")).withColumn(
+        "chunk_no", F.explode(F.sequence(F.lit(0), F.col("last_chunk")))
+    )
+    data = F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    return numbered.select(*meta, "last_chunk", "chunk_no", F.when(whole, data).otherwise(F.lit(b"")).alias("data"))
 
 
 def _record_id(name: object) -> str:
