@@ -3,8 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words. Each passage is encoded from
 its words; a gated attention, learned from document labels alone, weighs the
 passages; the weighted sum of the encodings is scored by a logistic unit. A
-model is a few arrays, fitted on at most ``max_documents`` labelled documents, which is the
-only bounded part; scoring covers every passage of every text.
+model is a few arrays, fitted on every passage of at most ``max_documents`` labelled texts with at most ``max_passages``
+passages together, which is the only bounded part; scoring covers every passage of every text.
 
 Inputs are the words of the text only: no label, language, source or id.
 
@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.llm.batches import slices
-from stockweave.llm.common import text_key
+from stockweave.llm.common import n_words, text_key
 
 PASSAGE = 64
 HASHED = 16
@@ -34,7 +34,7 @@ HIDDEN = 24
 ATTENTION = 12
 EPOCHS = 120
 MAX_DOCUMENTS = 4000
-MAX_PASSAGES = 16
+MAX_PASSAGES = 1 << 16
 PREDICT = 0.3
 SLICE_CHARS = 2_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -201,8 +201,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, max_passages: int = MAX_PASSAGES) -> Model:
-    """Learns from at most ``max_documents`` texts of labelled documents that are not held out, chosen by a hash of their
-    ids, and at most ``max_passages`` evenly spread passages of each."""
+    """Learns from all passages of at most ``max_documents`` texts of labelled documents that are not held out, chosen by a
+    hash of their ids; the texts end where theirs exceed ``max_passages`` passages, and a text beyond that alone is none."""
     usable = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -214,13 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS,
         for batch in batches:
             for part in slices(batch, "text", SLICE_CHARS):
                 x, per_text = passages([(t or "").encode() for t in part.column("text").to_pylist()])
-                rows, at = [], 0
-                for n in per_text.tolist():
-                    chosen = np.unique(np.linspace(0, n - 1, min(n, max_passages)).astype(np.int64))
-                    rows.append(x[at + chosen].astype(np.float32).ravel())
-                    at += n
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32))
-                made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows), pa.float32()))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per_text) * FEATURES]).astype(np.int32))
+                made = pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.float32()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("label"), made], names=["doc_id", "label", "features"]
                 )
@@ -228,11 +223,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS,
     # The sample has at most max_documents rows of two numbers, so it is small at any size of the corpus.
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Rows that repeat an id count once for each text, and an id's further texts come after the first ones of all ids.
-    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    texts = keyed.select("doc_id", "text_key").join(F.broadcast(sample), "doc_id").distinct()
+    size = F.greatest(F.lit(1).cast("long"), F.ceil(n_words(F.col("text")) / PASSAGE))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = labelled.select("doc_id", "label", text_key(F.col("text")).alias("text_key"), size.alias("size")).distinct()
     first = texts.groupBy("doc_id").agg(F.min("text_key").alias("first"))
     place = [F.col("text_key") != F.col("first"), F.xxhash64("doc_id", "text_key"), "doc_id", "text_key"]
-    chosen = texts.join(F.broadcast(first), "doc_id").orderBy(*place).limit(max_documents).drop("first")
+    ordered = texts.where(F.col("size") <= max_passages).join(first, "doc_id").orderBy(*place).limit(max_documents)
+    # One window over at most max_documents rows of numbers.
+    so_far = F.sum("size").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = ordered.withColumn("so_far", so_far).where(F.col("so_far") <= max_passages).select("doc_id", "text_key", "label")
+    keyed = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
     text = keyed.join(F.broadcast(chosen), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     text = text.select("doc_id", "label", "text")
     rows = text.mapInArrow(encoded, f"doc_id {kind}, label double, features array<float>").collect()

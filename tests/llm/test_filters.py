@@ -182,6 +182,20 @@ def test_attention_fit_is_bounded_by_texts(spark, monkeypatch):
     assert sorted(seen[1]) == sorted(others + [1] * 50)
 
 
+def test_attention_learns_from_every_passage(spark, monkeypatch):
+    """All passages of the sampled texts, as many texts as the bound on passages holds, and none beyond it alone."""
+    rows = [(d, prose(d, 64 * d * 10 - 1), "a") for d in range(1, 30)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(1, 30)], "doc_id long, quality int, toxic int")
+    free = {r.doc_id for r in labels.where(~attention_quality.held_out(labels.doc_id)).collect()}
+    seen = []
+    monkeypatch.setattr(attention_quality, "train", lambda x, sizes, label: seen.append((len(x), sorted(sizes.tolist()))))
+    attention_quality.fit(table(spark, rows), labels)
+    assert seen[-1] == (10 * sum(free), sorted(10 * d for d in free))
+    attention_quality.fit(table(spark, rows), labels, max_passages=1500)
+    total, sizes = seen[-1]
+    assert len(seen) == 2 and 1200 < total == sum(sizes) <= 1500 and set(sizes) <= {10 * d for d in free}
+
+
 def base_by_hand(text):
     text = text or ""
     spans = []
