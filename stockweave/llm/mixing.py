@@ -27,8 +27,8 @@ from stockweave.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
-BLOCK_WORDS = 64
-SHARD_WORDS = 1 << 20
+BLOCK_WORDS = 32
+SHARD_WORDS = 1 << 22
 SEED = 17
 #: A prime above any number of blocks in a shard: multiplying by it permutes the blocks.
 STEP = 2654435761
@@ -104,14 +104,13 @@ def plan(
     ceiling: int = CEILING,
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
-    max_shards: int = 4096,
     seed: int = SEED,
 ) -> DataFrame:
     """One row per document: size, source_size, target, ``passes`` over the whole text, ``ranges`` of words taken
     once more as [from, to), and ``taken``, the words of both.
 
-    A source has a shard per ``shard_words`` words, at most ``max_shards``. Blocks
-    have ``block_words`` words, or fewer where a source would get less than about 2000 blocks on average.
+    A source has a shard per ``shard_words`` words. Blocks have ``block_words`` words at every size of the corpus, but for
+    the last of a shard, which has the rest; a source misses its target by half a block and one such rest per shard at most.
     """
     sizes = cut_lineage(
         docs.select(
@@ -125,19 +124,17 @@ def plan(
     sources = cut_lineage(
         targets(sizes.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, ceiling)
     )
-    total, n_sources = sources.agg(F.sum("source_size"), F.count(F.lit(1))).first()
-    block = max(1, min(block_words, (total or 0) // (2000 * max(1, n_sources))))
+    block = block_words
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
     blocks = apportion(
-        sources.withColumns({"_all": F.lit(0), "_blocks": F.lit((total or 0) // block)}),
+        sources.withColumns({"_all": F.lit(0), "_blocks": F.lit(-(-total // block))}),
         "_all",
         "source_key",
         "target",
         "_blocks",
         "source_blocks",
     ).drop("_all", "_blocks")
-    shards = F.greatest(
-        F.lit(1), F.least(F.lit(max_shards), F.ceil(F.col("source_size") / shard_words).cast("int"))
-    )
+    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_words))
     blocks = cut_lineage(blocks.withColumn("shards", shards))
     dealt = cut_lineage(
         sizes.join(blocks, "source_key").withColumn("shard", F.col("place") % F.col("shards"))

@@ -143,11 +143,10 @@ WITH d AS (
   SELECT *, CASE WHEN stops THEN lim ELSE
            (CAST(total AS DOUBLE) - coalesce(sum(CASE WHEN stops THEN lim END) OVER (), CAST(0 AS DOUBLE))) * weight
            / sum(CASE WHEN NOT stops THEN weight END) OVER () END AS target,
-         greatest(1, least(64, total // (2000 * n))) AS block,
-         greatest(1, least(4096, CAST(ceil(source_size / CAST(1048576 AS DOUBLE)) AS BIGINT))) AS shards
+         32 AS block, greatest(1, CAST(ceil(source_size / CAST(4194304 AS DOUBLE)) AS BIGINT)) AS shards
   FROM f
 ), seats AS (
-  SELECT sk, total // block AS free, target, unnest(range(1, CAST(3 * source_size // block + n + 3 AS BIGINT))) AS k
+  SELECT sk, (total + block - 1) // block AS free, target, unnest(range(1, CAST(3 * source_size // block + n + 3 AS BIGINT))) AS k
   FROM t WHERE target > 0
 ), won AS (
   SELECT sk, count(*) AS blocks

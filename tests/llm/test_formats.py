@@ -74,6 +74,17 @@ def test_mixing_meets_its_targets(spark):
     assert got == Counter({s: n for s, n in taken.items() if n})
 
 
+def test_mixing_cuts_alike_at_every_size(spark):
+    """Blocks have one size on small and large tables, and shards have no upper number."""
+    few = [(i, "w " * 500, f"s{i % 4}") for i in range(40)]
+    for rows in (few, few + [(100 + i, "v " * 500, "s9") for i in range(400)]):
+        ranges = [r for p in mixing.plan(table(spark, rows)).collect() for r in p.ranges]
+        assert max(r["to"] - r["from"] for r in ranges) == mixing.BLOCK_WORDS
+    many = [(i, "a b c d", "s0") for i in range(9000)]
+    plan = mixing.plan(table(spark, many), shard_words=4, block_words=2).collect()
+    assert sum(r.taken for r in plan) == pytest.approx(36000, rel=0.02)
+
+
 def test_mixing_empty(spark):
     assert mixing.plan(table(spark, [])).count() == 0
     nothing = mixing.plan(table(spark, [(1, None, None), (2, "", "a")])).collect()
