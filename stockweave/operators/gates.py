@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockweave.functions.intervals import nodes_of_day, nodes_of_interval
 from stockweave.functions.ordering import asc, desc
 from stockweave.functions.scalars import label
 from stockweave.schemas import (
@@ -274,20 +275,17 @@ def valid_tech_cards(uses: DataFrame, cards: DataFrame, products: DataFrame) ->
 def cards_in_force(uses: DataFrame, cards: DataFrame) -> DataFrame:
     """(production_batch_id, tech_card_id): the active cards of the product that are effective on the day.
 
-    The product is the join key; the days only filter inside it, and a product
-    has few cards.
+    Days and periods meet by nodes of a tree of days (``functions.intervals``), so no card is compared with a batch of
+    its product outside its period. A day of a product is looked up once, however many batches it has.
     """
+    key = ["product_id", "node"]
     active = cards.filter(F.col("status_code") == "active").select(
-        F.col("product_id").alias("card_product_id"), "tech_card_id", "effective_from", "effective_to"
-    )
-    in_force = (F.col("effective_from") <= F.col("day")) & (
-        F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("day"))
-    )
-    return (
-        uses.select("production_batch_id", "product_id", "day")
-        .join(active, (F.col("product_id") == F.col("card_product_id")) & in_force)
-        .select("production_batch_id", "tech_card_id")
+        "product_id", "tech_card_id", F.explode(nodes_of_interval(F.col("effective_from"), F.col("effective_to"))).alias("node")
     )
+    used = uses.select("production_batch_id", "product_id", "day")
+    asked = used.select("product_id", "day").distinct().withColumn("node", F.explode(nodes_of_day(F.col("day"))))
+    found = asked.join(active, key).select("product_id", "day", "tech_card_id")
+    return used.join(found, ["product_id", "day"]).select("production_batch_id", "tech_card_id")
 
 
 def editable_recipes(cards: DataFrame, batches: DataFrame) -> DataFrame:

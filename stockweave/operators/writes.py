@@ -57,12 +57,16 @@ def upsert_by_key(
 def update_by_key(
     existing: DataFrame, changes: DataFrame, key: str, unique_by: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows with the columns of ``changes`` replaced, and the changes refused.
+    """Rows with the columns of ``changes`` replaced, and the changes refused (``update_rejects``)."""
+    rejects = update_rejects(existing, changes, key, unique_by)
+    return apply_update(existing, changes.join(rejects.select(key), key, "left_anti"), key), rejects
 
-    A change is refused when its key is unknown or when another row already has
-    its values in ``unique_by``. ``changes`` has one row per key.
+
+def update_rejects(existing: DataFrame, changes: DataFrame, key: str, unique_by: list[str]) -> DataFrame:
+    """(key, reject_reason) of the changes whose key is unknown, or whose values in ``unique_by`` another row already has.
+
+    ``changes`` has one row per key.
     """
-    values = [c for c in changes.columns if c != key]
     others = existing.select(F.col(key).alias("other_key"), *[F.col(c).alias(f"o_{c}") for c in unique_by])
     clash = changes.join(
         others,
@@ -72,15 +76,18 @@ def update_by_key(
     unknown = changes.join(existing.select(key), key, "left_anti").select(
         key, F.lit("row_missing").alias("reject_reason")
     )
-    rejects = clash.join(unknown.select(key), key, "left_anti").unionByName(unknown)
-    good = changes.join(rejects.select(key), key, "left_anti").select(
-        key, F.struct(*values).alias("row"), F.lit(True).alias("is_changed")
-    )
+    return clash.join(unknown.select(key), key, "left_anti").unionByName(unknown)
+
+
+def apply_update(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of ``changes`` replaced; ``changes`` has one row per key."""
+    values = [c for c in changes.columns if c != key]
+    good = changes.select(key, F.struct(*values).alias("row"), F.lit(True).alias("is_changed"))
     columns = [
         F.when(F.col("is_changed"), F.col(f"row.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
         for c in existing.columns
     ]
-    return existing.join(good, key, "left").select(*columns), rejects
+    return existing.join(good, key, "left").select(*columns)
 
 
 def deactivate(existing: DataFrame, ids: DataFrame, key: str) -> DataFrame:

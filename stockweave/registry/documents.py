@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from stockweave.operators import fefo, movements, transitions, writes
+from stockweave.plans import stored_writes
 from stockweave.plans.delivery_wave import run_delivery_wave
 from stockweave.plans.production_wave import judge_production_requests, run_production_wave
 from stockweave.registry.base import AS_OF, NOW, query
+from stockweave.session import shared_folder
+from stockweave.sources import stored
 
 
 def _open_batches(t):
@@ -643,6 +647,78 @@ FROM {suppliers} AS s""",
     )
 )
 
+# The same writes on stored tables, which replace only files with changed keys; the rows of the latest version.
+
+
+def _stored(t, rows, by):
+    """A new stored table of the rows."""
+    folder = f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    stored.create(rows, folder, by)
+    return folder
+
+
+@query(
+    "w1_stored_upsert",
+    """
+WITH changes AS (
+  SELECT l_suppkey AS supplier_id, l_partkey + l_linenumber AS material_id,
+         max(CAST(l_extendedprice AS DECIMAL(12,2))) AS purchase_price
+  FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY 1, 2)
+SELECT s.supplier_material_id, coalesce(s.supplier_id, c.supplier_id) AS supplier_id,
+       coalesce(s.material_id, c.material_id) AS material_id, coalesce(c.purchase_price, s.purchase_price) AS purchase_price,
+       s.lead_time_days, s.is_active
+FROM {supplier_materials} AS s FULL JOIN changes AS c ON c.supplier_id = s.supplier_id AND c.material_id = s.material_id""",
+    decimals="purchase_price",
+)
+def upsert_stored_offers(t):
+    keys = ["supplier_id", "material_id"]
+    folder = _stored(t, t["supplier_materials"], keys)
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    changes = (
+        t["lineitem"]
+        .filter(F.col("l_returnflag") == "A")
+        .select(
+            F.col("l_suppkey").alias("supplier_id"),
+            (F.col("l_partkey") + F.col("l_linenumber")).alias("material_id"),
+            price.alias("purchase_price"),
+            price.alias("rank"),
+        )
+    )
+    stored_writes.upsert_stored(folder, changes, keys, "rank")
+    return stored.read(changes.sparkSession, folder)
+
+
+@query(
+    "w2_stored_update",
+    f"""{_MOVED}
+SELECT s.supplier_material_id, s.supplier_id, coalesce(c.material_id, s.material_id) AS material_id, s.purchase_price,
+       coalesce(c.lead_time_days, s.lead_time_days) AS lead_time_days, s.is_active
+FROM {{supplier_materials}} AS s
+LEFT JOIN (SELECT * FROM changes WHERE supplier_material_id NOT IN (SELECT supplier_material_id FROM clash)) AS c
+       ON c.supplier_material_id = s.supplier_material_id""",
+    decimals="purchase_price",
+)
+def update_stored_offers(t):
+    key = "supplier_material_id"
+    folder = _stored(t, t["supplier_materials"], [key])
+    stored_writes.update_stored(folder, _offer_changes(t), key, ["supplier_id", "material_id"])
+    return stored.read(t["lineitem"].sparkSession, folder)
+
+
+@query(
+    "w3_stored_deactivate",
+    """
+SELECT supplier_id, company_name,
+       is_active AND NOT EXISTS (SELECT 1 FROM {supplier_invoices} AS i WHERE i.supplier_id = s.supplier_id
+                                 AND i.status_code = 'overdue') AS is_active
+FROM {suppliers} AS s""",
+)
+def deactivate_stored_suppliers(t):
+    folder = _stored(t, t["suppliers"].select("supplier_id", "company_name", "is_active"), ["supplier_id"])
+    stored_writes.deactivate_stored(folder, t["supplier_invoices"].filter(F.col("status_code") == "overdue"), "supplier_id")
+    return stored.read(t["lineitem"].sparkSession, folder)
+
+
 _PAYABLE = "i.status_code IN ('issued', 'overdue') AND o.customer_id = r.customer_id"
 
 

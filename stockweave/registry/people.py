@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockweave.operators import audit, security
+from stockweave.plans import stored_writes
 from stockweave.registry.base import NOW, query
+from stockweave.session import shared_folder
+from stockweave.sources import stored
 
 _ROLE_OF = """(SELECT DISTINCT ur.user_id, r.role_code FROM {user_roles} AS ur JOIN {roles} AS r ON r.role_id = ur.role_id)"""
 
@@ -163,6 +168,36 @@ WHERE o.order_id IS NULL OR n.order_id IS NULL OR o.status_code <> n.status_code
     )
 )
 
+
+@query(
+    "au1_audit_versions",
+    """
+SELECT CASE n WHEN 1 THEN 'UPDATE' ELSE 'INSERT' END AS action_type, 'customer_orders' AS table_name,
+       'order_id=' || CAST(CASE n WHEN 1 THEN order_id ELSE -order_id - 1 END AS VARCHAR) AS record_id,
+       CASE n WHEN 1 THEN status_code END AS old_status, CASE n WHEN 1 THEN 'confirmed' ELSE status_code END AS new_status,
+       TIMESTAMP '1998-01-15 12:00:00' AS changed_at
+FROM {customer_orders} CROSS JOIN (SELECT unnest([1, 2]) AS n) AS kinds
+WHERE CASE n WHEN 1 THEN status_code = 'draft' ELSE status_code = 'ready' END""",
+)
+def audit_stored_orders(t):
+    orders = t["customer_orders"]
+    spark = orders.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    old = stored.create(orders, folder, ["order_id"])
+    confirmed = orders.filter(F.col("status_code") == "draft").withColumn("status_code", F.lit("confirmed"))
+    copied = orders.filter(F.col("status_code") == "ready").withColumn("order_id", -F.col("order_id") - 1)
+    changes = confirmed.unionByName(copied).withColumn("sent", F.lit(1))
+    new = stored_writes.upsert_stored(folder, changes, ["order_id"], "sent")
+    return stored_writes.audit_versions(spark, folder, old, new, ["order_id"], "customer_orders", NOW).select(
+        "action_type",
+        "table_name",
+        "record_id",
+        F.get_json_object("old_data", "$.status_code").alias("old_status"),
+        F.get_json_object("new_data", "$.status_code").alias("new_status"),
+        F.col("changed_at").cast("timestamp_ntz").alias("changed_at"),
+    )
+
+
 _SIGN_INS = ["user_id", "action_type", "changed_at", "ip_address", "success"]
 
 query(

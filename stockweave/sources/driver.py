@@ -78,6 +78,7 @@ SELECT p_partkey AS product_id,
        p_size % 10 <> 0 AS is_active
 FROM {{part}}"""
 
+# The role codes and names, and the grants per role and object.
 BINDINGS["roles"] = """
 SELECT CAST(role_id AS BIGINT) AS role_id, role_code, role_name
 FROM (VALUES (1, 'admin', 'Administrator'), (2, 'technologist', 'Technologist'),

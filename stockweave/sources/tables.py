@@ -83,7 +83,7 @@ def publish_snapshot(tables: Mapping[str, DataFrame], folder: str) -> int:
     """
     names = [name for name in LOAD_ORDER if name in tables]
     spark = tables[names[0]].sparkSession
-    last = _versions(spark, folder)
+    last = versions(spark, folder)
     version = 1 + (max(last) if last else 0)
     place = f"data/{version:08d}-{uuid.uuid4().hex}"
     for name in names:
@@ -94,7 +94,7 @@ def publish_snapshot(tables: Mapping[str, DataFrame], folder: str) -> int:
     return version
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
+def versions(spark: SparkSession, folder: str) -> list[int]:
     """The versions whose manifest is complete."""
     from pyarrow import fs
 
@@ -105,7 +105,7 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
 
 def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> Tables:
     """The tables that the manifest of the latest, or of the given, version lists."""
-    known = _versions(spark, folder)
+    known = versions(spark, folder)
     if not known or (version is not None and version not in known):
         raise FileNotFoundError(f"no published snapshot {version or ''} in {folder}")
     listed = spark.read.parquet(f"{folder}/manifests/{version or known[-1]:08d}").collect()
