@@ -316,10 +316,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     exactly = candidates.hint("merge")
 
     def of_candidates(df: DataFrame) -> DataFrame:
-        return df.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot").join(exactly, "node")
+        likely = df.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+        # Each task first reduces the copies it reads to one, so those of a large group never meet in one task.
+        return likely.dropDuplicates(["node"]).join(exactly, "node")
 
-    texts = of_candidates(keyed.select("node", "text")).dropDuplicates(["node"])
-    bag = cut_lineage(bags(texts).coalesce(files))
+    bag = cut_lineage(bags(of_candidates(keyed.select("node", "text"))).coalesce(files))
     near = cut_lineage(of_candidates(nodes.select("node", "weight", "registers")).coalesce(files))
 
     def joined(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
