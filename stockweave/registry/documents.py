@@ -8,12 +8,13 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from stockweave.operators import fefo, movements, transitions, writes
-from stockweave.plans import stored_writes
+from stockweave.plans import stored_waves, stored_writes
 from stockweave.plans.delivery_wave import run_delivery_wave
 from stockweave.plans.production_wave import judge_production_requests, run_production_wave
 from stockweave.registry.base import AS_OF, NOW, query
+from stockweave.schemas import layout
 from stockweave.session import shared_folder
-from stockweave.sources import stored
+from stockweave.sources import stored, stored_set
 
 
 def _open_batches(t):
@@ -1019,6 +1020,79 @@ FROM {{raw_material_stock}} AS r LEFT JOIN used AS u ON u.stock_id = r.stock_id"
     )
 )
 
+_PRODUCTION_TABLES = (
+    "production_statuses raw_materials products roles users user_roles raw_material_stock tech_cards recipe_items "
+    "production_batches finished_goods_stock quality_checks"
+).split()
+
+
+def _set_of(t, names):
+    """A new set of stored tables with an empty audit log; returns its folder."""
+    spark = t["lineitem"].sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], layout("audit_log"))
+    stored_set.create_set({**{n: t[n] for n in names}, "audit_log": empty}, folder)
+    return spark, folder
+
+
+@query(
+    "t6_committed_wave",
+    f"""{_T6_WAVE},
+moved AS (SELECT * FROM outcome WHERE reject_reason IS NULL),
+taken AS (
+  SELECT *, c + max(e - c + q) OVER w AS end_at FROM (
+    SELECT *, sum(q) OVER w AS c FROM decided WHERE status = 'yes'
+    WINDOW w AS (PARTITION BY resource_id ORDER BY day, request_id)) AS y
+  WINDOW w AS (PARTITION BY resource_id ORDER BY day, request_id)),
+shelves AS (
+  SELECT *, CAST(sum(gated) OVER (PARTITION BY material_id ORDER BY expiry_date, stock_id) AS DECIMAL(38,10)) AS end_at
+  FROM lots WHERE gated > 0),
+used AS (
+  SELECT s.stock_id, sum(least(t.end_at, s.end_at) - greatest(t.end_at - t.q, s.end_at - s.gated)) AS qty
+  FROM taken AS t JOIN shelves AS s ON s.material_id = t.resource_id
+   AND s.end_at > t.end_at - t.q AND s.end_at - s.gated < t.end_at
+  GROUP BY s.stock_id)
+SELECT 'production_batches' AS table_name, CAST(b.production_batch_id AS VARCHAR) AS row_id,
+       coalesce(m.new_status, b.status_code) AS status, CAST(NULL AS DECIMAL(12,3)) AS quantity
+FROM {{production_batches}} AS b LEFT JOIN moved AS m ON m.production_batch_id = b.production_batch_id
+UNION ALL
+SELECT 'raw_material_stock', r.stock_id, NULL, round(r.quantity_current - coalesce(u.qty, 0), 3)
+FROM {{raw_material_stock}} AS r LEFT JOIN used AS u ON u.stock_id = r.stock_id
+UNION ALL
+SELECT 'finished_goods_stock', CAST(finished_stock_id AS VARCHAR), NULL, quantity_current FROM {{finished_goods_stock}}
+UNION ALL
+SELECT 'finished_goods_stock', CAST((SELECT max(finished_stock_id) FROM {{finished_goods_stock}})
+                                    + row_number() OVER (ORDER BY b.production_batch_id) AS VARCHAR), NULL,
+       b.quantity_produced - b.quantity_defective
+FROM moved AS m JOIN {{production_batches}} AS b ON b.production_batch_id = m.production_batch_id
+WHERE m.new_status = 'completed' AND b.quantity_produced > b.quantity_defective
+UNION ALL
+SELECT 'audit_log', 'production_batch_id=' || CAST(production_batch_id AS VARCHAR), 'UPDATE', NULL FROM moved""",
+    decimals="quantity",
+)
+def committed_production_wave(t):
+    spark, folder = _set_of(t, _PRODUCTION_TABLES)
+    version, _ = stored_waves.commit_production_wave(spark, folder, t["production_status_requests"], NOW)
+    after = stored_set.read_set(spark, folder, version)
+    none = F.lit(None).cast("decimal(12,3)")
+
+    def shown(name, row_id, status, quantity):
+        return after[name].select(
+            F.lit(name).alias("table_name"),
+            F.col(row_id).cast("string").alias("row_id"),
+            status.alias("status"),
+            quantity.alias("quantity"),
+        )
+
+    status, quantity = F.lit(None).cast("string"), F.col("quantity_current")
+    return (
+        shown("production_batches", "production_batch_id", F.col("status_code"), none)
+        .unionByName(shown("raw_material_stock", "stock_id", status, quantity))
+        .unionByName(shown("finished_goods_stock", "finished_stock_id", status, quantity))
+        .unionByName(shown("audit_log", "record_id", F.col("action_type"), none))
+    )
+
+
 query(
     "t7_invoice_payments",
     """

@@ -258,6 +258,28 @@ PRIMARY_KEYS = {
     "audit_log": ("audit_id",),
 }
 
+#: Columns by whose ranges the files of a stored table are cut, where that is not the key: lines lie with their document,
+#: lots with their material or product in the order in which they are used up, and documents with their period.
+#: Readers by these columns then skip the other files by their statistics.
+STORED_BY = {
+    "supplier_materials": ("supplier_id", "material_id"),
+    "raw_material_deliveries": ("delivery_date", "delivery_id"),
+    "delivery_items": ("delivery_id", "delivery_item_id"),
+    "raw_material_stock": ("material_id", "expiry_date"),
+    "tech_cards": ("product_id", "effective_from"),
+    "recipe_items": ("tech_card_id", "material_id"),
+    "customer_orders": ("order_date", "order_id"),
+    "order_items": ("order_id", "product_id"),
+    "production_batches": ("production_date", "production_batch_id"),
+    "finished_goods_stock": ("product_id", "expiry_date"),
+    "quality_checks": ("checked_at", "quality_check_id"),
+    "invoices": ("order_id", "invoice_id"),
+    "supplier_invoices": ("issue_date", "supplier_invoice_id"),
+    "shipments": ("order_id", "shipment_id"),
+    "shipment_items": ("shipment_id", "order_item_id"),
+    "audit_log": ("changed_at", "audit_id"),
+}
+
 # The tables whose changes are audited.
 AUDITED_TABLES = (
     "customers",

@@ -4,6 +4,9 @@ A table is a folder of Parquet files and one manifest per version, which lists t
 columns by whose ranges they are cut. A write reads the files with changed keys, writes what they become to new files, and
 then the manifest, last. A write that ends before leaves the version before it; files are never changed, so every version
 stays readable, and two versions differ only in files that one of them lists alone.
+
+A manifest that was cut off looks like one being written. So the next write stops, unless it is told ``after_crash``: that
+the writer is known to be gone. Two writers of one version cannot both publish it.
 """
 
 from __future__ import annotations
@@ -14,11 +17,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockweave.sources.tables import versions
+from stockweave.sources.tables import begun_versions, versions
 
 #: Most rows of a file.
 FILE_ROWS = 2_000_000
 
+#: Spark's default form of timestamps has no least and greatest value per file, so readers could not skip files by time.
+TIMESTAMP_SETTING = ("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+
 
 def create(rows: DataFrame, folder: str, by: list[str], file_rows: int = FILE_ROWS) -> int:
     """Stores the rows as version 1, cut by ranges of ``by`` into files of at most ``file_rows`` rows; returns 1.
@@ -26,7 +32,7 @@ def create(rows: DataFrame, folder: str, by: list[str], file_rows: int = FILE_RO
     ``by`` is best the key that writes come by, as their rows then meet few files.
     """
     spark = rows.sparkSession
-    if versions(spark, folder):
+    if begun_versions(folder):
         raise FileExistsError(f"a stored table is in {folder}")
     return _publish(spark, folder, 1, _write(rows, folder, by, file_rows), by)
 
@@ -45,8 +51,15 @@ def latest(spark: SparkSession, folder: str) -> int:
     return known[-1]
 
 
-def files_with(spark: SparkSession, folder: str, keys: DataFrame, columns: list[str], blank_as_null: tuple[str, ...] = ()) -> list[str]:
-    """The files of the latest version that hold a row with one of the keys; reads the key columns only.
+def files_with(
+    spark: SparkSession,
+    folder: str,
+    keys: DataFrame,
+    columns: list[str],
+    blank_as_null: tuple[str, ...] = (),
+    version: int | None = None,
+) -> list[str]:
+    """The files of the latest, or of the given, version that hold a row with one of the keys; reads the key columns only.
 
     In ``blank_as_null`` columns NULL and '' are the same; elsewhere NULL equals nothing.
     """
@@ -54,12 +67,13 @@ def files_with(spark: SparkSession, folder: str, keys: DataFrame, columns: list[
     def value(column: str):
         return F.coalesce(F.col(column), F.lit("")) if column in blank_as_null else F.col(column)
 
-    stored = read(spark, folder)
+    files, _ = _listed(spark, folder, version or latest(spark, folder))
+    stored = _read(spark, folder, files)
     names = [f"k{i}" for i in range(len(columns))]
     probe = stored.select(*[value(c).alias(n) for c, n in zip(columns, names)], F.col("_metadata.file_path").alias("path"))
     wanted = keys.select(*[value(c).alias(n) for c, n in zip(columns, names)]).distinct()
     hit = {r.path.split("/")[-1] for r in probe.join(wanted, names, "left_semi").select("path").distinct().collect()}
-    return [f for f in _listed(spark, folder, latest(spark, folder))[0] if f.split("/")[-1] in hit]
+    return [f for f in files if f.split("/")[-1] in hit]
 
 
 def rewrite(
@@ -70,22 +84,34 @@ def rewrite(
     adds_rows: bool = False,
     blank_as_null: tuple[str, ...] = (),
     file_rows: int = FILE_ROWS,
+    base: int | None = None,
+    after_crash: bool = False,
 ) -> int:
     """Replaces the files that hold a key of ``changes`` by ``change`` of their rows; returns the version, which is the one
     before where nothing is to be written.
 
     ``change`` gets only the rows of these files and must leave rows of other keys as they are. With ``adds_rows``
-    it is called even if there are none, as new keys are in no file.
+    it is called even if there are none, as new keys are in no file. ``base`` is the version to change, if not the latest.
     """
     spark = changes.sparkSession
-    before = latest(spark, folder)
+    before, number = _next(spark, folder, base, after_crash)
     files, by = _listed(spark, folder, before)
-    hit = files_with(spark, folder, changes, columns, blank_as_null)
+    hit = files_with(spark, folder, changes, columns, blank_as_null, before)
     if not hit and not adds_rows:
         return before
-    rows = _read(spark, folder, hit) if hit else spark.createDataFrame([], read(spark, folder).schema)
+    rows = _read(spark, folder, hit) if hit else spark.createDataFrame([], _read(spark, folder, files).schema)
     new = _write(change(rows), folder, by, file_rows)
-    return _publish(spark, folder, before + 1, [f for f in files if f not in set(hit)] + new, by)
+    return _publish(spark, folder, number, [f for f in files if f not in set(hit)] + new, by)
+
+
+def append(
+    folder: str, rows: DataFrame, file_rows: int = FILE_ROWS, base: int | None = None, after_crash: bool = False
+) -> int:
+    """Adds the rows, which have the columns of the table, in files of their own; returns the version."""
+    spark = rows.sparkSession
+    before, number = _next(spark, folder, base, after_crash)
+    files, by = _listed(spark, folder, before)
+    return _publish(spark, folder, number, files + _write(rows, folder, by, file_rows), by)
 
 
 def changed_rows(spark: SparkSession, folder: str, old: int, new: int) -> tuple[DataFrame, DataFrame]:
@@ -103,6 +129,18 @@ def changed_rows(spark: SparkSession, folder: str, old: int, new: int) -> tuple[
     return only(left, right), only(right, left)
 
 
+def _next(spark: SparkSession, folder: str, base: int | None, after_crash: bool) -> tuple[int, int]:
+    """The version to change and the number of the new one, which no write has begun.
+
+    A writer that names its base has a list of its own of the versions that count, so a manifest cut off is none of them.
+    """
+    begun = begun_versions(folder)
+    before = base or latest(spark, folder)
+    if base is None and not after_crash and begun[-1] > before:
+        raise RuntimeError(f"version {begun[-1]} of {folder} is being written, or its writer ended; see after_crash")
+    return before, begun[-1] + 1
+
+
 def _read(spark: SparkSession, folder: str, files: list[str]) -> DataFrame:
     return spark.read.parquet(*[f"{folder}/{f}" for f in files])
 
@@ -111,7 +149,13 @@ def _write(rows: DataFrame, folder: str, by: list[str], file_rows: int) -> list[
     """Writes the rows to a new place and returns its files, as paths below ``folder``."""
     place = f"data/{uuid.uuid4().hex}"
     cut = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    cut.write.mode("errorifexists").option("maxRecordsPerFile", file_rows).parquet(f"{folder}/{place}")
+    conf, (setting, value) = rows.sparkSession.conf, TIMESTAMP_SETTING
+    before = conf.get(setting)
+    conf.set(setting, value)
+    try:
+        cut.write.mode("errorifexists").option("maxRecordsPerFile", file_rows).parquet(f"{folder}/{place}")
+    finally:
+        conf.set(setting, before)
     written = rows.sparkSession.read.parquet(f"{folder}/{place}").inputFiles()
     return sorted(f"{place}/{path.split('/')[-1]}" for path in written)
 

@@ -79,12 +79,12 @@ def publish_snapshot(tables: Mapping[str, DataFrame], folder: str) -> int:
     """Writes every table to a new place below ``folder`` and makes all of them visible at once; returns the version.
 
     The manifest, a small table that lists where the tables of a version are, is written last. A write that ends before
-    it leaves the versions before as they were, and its files are in nobody's list.
+    it, or inside it, leaves the versions before as they were; its files are in nobody's list, and its number stays free
+    of use.
     """
     names = [name for name in LOAD_ORDER if name in tables]
     spark = tables[names[0]].sparkSession
-    last = versions(spark, folder)
-    version = 1 + (max(last) if last else 0)
+    version = 1 + max([0, *begun_versions(folder)])
     place = f"data/{version:08d}-{uuid.uuid4().hex}"
     for name in names:
         tables[name].write.mode("errorifexists").parquet(f"{folder}/{place}/{name}")
@@ -96,11 +96,21 @@ def publish_snapshot(tables: Mapping[str, DataFrame], folder: str) -> int:
 
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """The versions whose manifest is complete."""
+    return sorted({number for number, name in _manifest_files(folder) if name == "_SUCCESS"})
+
+
+def begun_versions(folder: str) -> list[int]:
+    """The versions whose manifest is complete, being written, or was cut off."""
+    return sorted({number for number, _ in _manifest_files(folder)})
+
+
+def _manifest_files(folder: str) -> list[tuple[int, str]]:
+    """The version and name of all that lies below the manifests of a folder."""
     from pyarrow import fs
 
     system, root = fs.FileSystem.from_uri(folder)
-    done = system.get_file_info(fs.FileSelector(f"{root}/manifests", allow_not_found=True, recursive=True))
-    return sorted(int(info.path.split("/")[-2]) for info in done if info.base_name == "_SUCCESS")
+    found = system.get_file_info(fs.FileSelector(f"{root}/manifests", allow_not_found=True, recursive=True))
+    return [(int(info.path.rpartition("/manifests/")[2].split("/")[0]), info.base_name) for info in found]
 
 
 def read_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> Tables:
