@@ -55,7 +55,7 @@ TABLES = _tables()
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of each passage, passages per text); a text without words is one passage of zeros."""
+    """(features of each passage, passages per text); a text without words is one passage that is only marked as such."""
     from xxhash import xxh3_64_intdigest
 
     split = [t.split() for t in texts]
@@ -65,6 +65,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((total, FEATURES))
     n_words = int(counts.sum())
     if not n_words:
+        out[:, 9] = 1
         return out, per_text
     words = [w for ws in split for w in ws]
     lengths = np.fromiter(map(len, words), np.int64, n_words)
