@@ -196,6 +196,78 @@ def test_attention_learns_from_every_passage(spark, monkeypatch):
     assert len(seen) == 2 and 1200 < total == sum(sizes) <= 1500 and set(sizes) <= {10 * d for d in free}
 
 
+def features_by_hand(words):
+    """The features of one passage, word by word."""
+    import math
+
+    from xxhash import xxh3_64_intdigest
+
+    n, sizes = len(words), [len(w) for w in words]
+    share = lambda flags: sum(flags) / max(n, 1)
+    pairs = list(zip(words, words[1:]))
+    mean = sum(sizes) / max(n, 1)
+    out = [
+        mean / 10,
+        math.sqrt(sum((s - mean) ** 2 for s in sizes) / max(n, 1)) / 10,
+        math.log(1 + n) / 4,
+        share(a == b for a, b in pairs),
+        len(set(words)) / max(n, 1),
+        len(set(pairs)) / max(len(pairs), 1),
+        share(w[-1:] in b".!?" for w in words),
+        share(s <= 2 for s in sizes),
+        share(s >= 16 for s in sizes),
+        float(n == 0),
+    ]
+    out += [sum(b in kind for w in words for b in w) / max(sum(sizes), 1) for kind in attention_quality.CLASSES]
+    hashed = [0.0] * attention_quality.HASHED
+    for w in words:
+        h = xxh3_64_intdigest(w)
+        hashed[(h >> 8) % len(hashed)] += (1 if h & 1 else -1) / n
+    return out + hashed
+
+
+def score_by_hand(text, model):
+    """Gated attention over the passages of one text, passage by passage."""
+    import numpy as np
+
+    words = (text or "").encode().split()
+    size, w = attention_quality.PASSAGE, model.weights
+    parts = [words[i : i + size] for i in range(0, len(words), size)] or [[]]
+    encoded, energies = [], []
+    for part in parts:
+        x = (np.array(features_by_hand(part)) - model.mean) / model.scale
+        h = np.tanh(x @ w["W"] + w["b"])
+        gate = 1 / (1 + np.exp(-(h @ w["U"])))
+        encoded.append(h)
+        energies.append(float((np.tanh(h @ w["V"]) * gate) @ w["w"]))
+    attention = np.exp(energies) / np.sum(np.exp(energies))
+    z = sum(a * h for a, h in zip(attention, encoded))
+    return float((1 / (1 + np.exp(-(z @ w["c"] + w["d"]))))[0])
+
+
+def test_attention_scores_equal_brute_force(spark):
+    """Every text of a supplied table, with edge cases, under a model that is learned from it."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    edges = [(-1, None), (-2, ""), (-3, " \n\t "), (-4, "x x x, ! " * 700), (-5, "\u00e9\u4e2d " * 65), (-6, "w" * 40)]
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame(edges, "doc_id long, text string"))
+    model = attention_quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in attention_quality.score(texts, model).collect()}
+    rows = texts.collect()
+    assert len(got) == len(rows) > 50
+    for r in rows:
+        assert got[r.doc_id] == pytest.approx(score_by_hand(r.text, model), abs=1e-9)
+
+
+def test_attention_score_of_an_empty_text_is_the_same_in_any_company(spark):
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(1, 30)], "doc_id long, quality int, toxic int")
+    docs = table(spark, [(d, prose(d, 90) if d % 2 else "! # " * 50, "a") for d in range(1, 30)])
+    model = attention_quality.fit(docs, labels)
+    alone = attention_quality.score(table(spark, [(1, "", "a")]), model).first().score
+    beside = attention_quality.score(table(spark, [(1, "", "a"), (2, prose(3, 9), "a")]).coalesce(1), model)
+    assert alone == pytest.approx({r.doc_id: r.score for r in beside.collect()}[1], abs=1e-12)
+
+
 def base_by_hand(text):
     text = text or ""
     spans = []
@@ -418,5 +490,5 @@ def test_secret_syntaxes(text, literals):
         ),
     ],
 )
-def test_html_articles_stay_whole(html, lines):
+def test_html_articles_keep_their_parts(html, lines):
     assert html_text.main_text(html) == "\n\n".join(lines)
