@@ -85,6 +85,7 @@ FROM (VALUES (1, 'admin', 'Administrator'), (2, 'technologist', 'Technologist'),
              (3, 'warehouse_worker', 'Warehouse Worker'), (4, 'quality_control', 'Quality Control'),
              (5, 'client', 'Client')) AS v(role_id, role_code, role_name)"""
 
+# The grants of each role.
 BINDINGS["role_permissions"] = """
 SELECT CAST(permission_id AS BIGINT) AS permission_id, CAST(role_id AS BIGINT) AS role_id, object_name,
        can_select, can_insert, can_update, can_delete
