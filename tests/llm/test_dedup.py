@@ -163,11 +163,87 @@ def test_components(spark):
     assert {r.node: r.component for r in got} == {n: label[n] for n in linked} and len(got) == len(linked)
 
 
+def unspaced(c):
+    """Whether the character is of a script that puts no space between words."""
+    spans = ["\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3040\u30ff", "\u31f0\u31ff", "\u3400\u4dbf", "\u4e00\u9fff"]
+    spans += ["\uf900\ufaff", "\U00020000\U0003ffff"]
+    return any(x[0] <= c <= x[1] for x in spans)
+
+
+def words_by_hand(piece):
+    """The words, each with the white space before it; white space at the end is part of none."""
+    found, blank, word = [], "", ""
+    for c in piece:
+        if word and (c.isspace() or unspaced(c)):
+            found.append(blank + word)
+            blank = word = ""
+        if c.isspace():
+            blank += c
+        elif unspaced(c):
+            found.append(blank + c)
+            blank = ""
+        else:
+            word += c
+    return found + [blank + word] if word else found
+
+
+def pieces_by_hand(text, window):
+    """Sentences, cut behind the word of least hash of every window, one character and one window at a time."""
+    from xxhash import xxh32_intdigest
+
+    plain, wide = ".!?\u2026", "\u3002\uff01\uff1f"
+    closing, after = "\"'\u201d\u2019)]\u300d\u300f\uff09", "\"'\u201d\u2019)]\u3002\uff01\uff1f"
+    out, at = [], 0
+    while at < len(text):
+        i = at
+        while i < len(text) and text[i] != "\n":
+            if text[i] in plain:
+                j = i
+                while j < len(text) and text[j] in plain:
+                    j += 1
+                if j < len(text) and not (text[j].isspace() or text[j] in after):
+                    i = j
+                    continue
+            if text[i] in plain + wide:
+                while i < len(text) and text[i] in plain + wide:
+                    i += 1
+                while i < len(text) and text[i] in closing:
+                    i += 1
+                break
+            i += 1
+        while i < len(text) and text[i].isspace():
+            i += 1
+        words = words_by_hand(text[at:i])
+        keys = [(xxh32_intdigest(w.strip().lower().encode("utf-8", "surrogatepass")), -k) for k, w in enumerate(words)]
+        cuts = {-min(keys[k : k + window])[1] for k in range(len(words) - window + 1)}
+        start = at
+        for k in sorted(cuts - {len(words) - 1}):
+            end = at + sum(map(len, words[: k + 1]))
+            out.append(text[start:end])
+            start = end
+        out.append(text[start:i])
+        at = i
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_pieces_equal_brute_force(seed):
+    rng = random.Random(seed)
+    marks = list(".!?\u2026\u3002\uff01\uff1f\"')]\u300d\u201d\n\t ") + [". ", ".\n", "\u4f60", "\u597d", "\u0e01", "\ud800", "A", "1.5"]
+    text = "".join(
+        rng.choice(marks) if rng.random() < 0.4 else rng.choice([" ", ""]) + rng.choice("abcdefgh") * rng.randint(1, 3)
+        for _ in range(rng.choice([5, 60, 600]))
+    )
+    for window in (sentence_spans.WINDOW, 3):
+        assert sentence_spans.sentences(text, window) == pieces_by_hand(text, window)
+    assert sentence_spans.n_words(text) == len(words_by_hand(text))
+
+
 def spans_by_hand(rows, run, least):
     first, covered = {}, {}
     order = sorted({(d is None, d, t) for d, t in rows}, key=lambda x: (x[0], x[1] or 0))
     for _, d, t in order:
-        pieces = sentence_spans.sentences(t or "")
+        pieces = pieces_by_hand(t or "", sentence_spans.WINDOW)
         normal = [" ".join(p.lower().split()) for p in pieces]
         starts = []
         for i in range(len(pieces) - run + 1):
@@ -180,7 +256,7 @@ def spans_by_hand(rows, run, least):
             j = i
             while j < len(pieces) and (j in inside) == (i in inside):
                 j += 1
-            if i not in inside or sum(len(p.split()) for p in pieces[i:j]) < least:
+            if i not in inside or sum(len(words_by_hand(p)) for p in pieces[i:j]) < least:
                 left += pieces[i:j]
             i = j
         covered[d, t] = t if len(left) == len(pieces) else "".join(left).rstrip()
