@@ -114,6 +114,26 @@ def append(
     return _publish(spark, folder, number, files + _write(rows, folder, by, file_rows), by)
 
 
+def compact(
+    spark: SparkSession, folder: str, file_rows: int = FILE_ROWS, base: int | None = None, after_crash: bool = False
+) -> int:
+    """Puts the rows of files with less than half of ``file_rows`` rows, as appends leave them, together in new files.
+
+    Returns the version, which is the one before where there is at most one such file. Other files stay as they are, and so
+    do all rows.
+    """
+    before, number = _next(spark, folder, base, after_crash)
+    files, by = _listed(spark, folder, before)
+    path = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")
+    full = _read(spark, folder, files).select(path).groupBy("file").count().where(F.col("count") >= file_rows / 2)
+    kept = {r.file for r in full.collect()}
+    small = [f for f in files if f.split("/")[-1] not in kept]
+    if len(small) < 2:
+        return before
+    new = _write(_read(spark, folder, small), folder, by, file_rows)
+    return _publish(spark, folder, number, [f for f in files if f not in set(small)] + new, by)
+
+
 def changed_rows(spark: SparkSession, folder: str, old: int, new: int) -> tuple[DataFrame, DataFrame]:
     """The rows of the files that only version ``old`` has, and of those that only ``new`` has.
 

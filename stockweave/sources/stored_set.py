@@ -105,6 +105,11 @@ class Transaction:
                 _folder(self._folder, name), fixed, self._file_rows, base=self._now[name]
             )
 
+    def compact(self, name: str) -> None:
+        """``stored.compact`` of a table."""
+        place = _folder(self._folder, name)
+        self._now[name] = stored.compact(self._spark, place, self._file_rows, base=self._now[name])
+
     def insert(self, name: str, rows: DataFrame, order: str) -> None:
         """Adds rows under the next free numbers of the table's key, in the order of a unique column of the rows."""
         (key,) = PRIMARY_KEYS[name]

@@ -97,6 +97,32 @@ def test_killed_write_leaves_the_version_before(spark, folder):
         stored.create(offers(spark), folder, ["id"])
 
 
+def test_appends_are_compacted_and_full_files_stay(spark, folder):
+    first = on_disk(folder)
+    for i in range(4):
+        stored.append(folder, offers(spark, 3 + i).withColumn("id", F.col("id") + 10_000 * (i + 1)))
+    rows, files = rows_of(stored.read(spark, folder)), stored._listed(spark, folder, 5)[0]
+    assert len(rows) == 4018
+    assert stored.compact(spark, folder, file_rows=100) == 6
+    left = stored._listed(spark, folder, 6)[0]
+    assert rows_of(stored.read(spark, folder)) == rows and len(left) < len(files)
+    after = on_disk(folder)
+    assert all(after[path] == content for path, content in first.items())
+    full = {f"{folder}/{f}" for f in left} & set(first)
+    assert len(full) >= 39
+    assert audit_versions(spark, folder, 5, 6, ["id"], "offers", NOW).count() == 0
+    stored.rewrite(folder, spark.createDataFrame([(20_000,)], "id long"), ["id"], lambda df: df.where("id != 20000"))
+    assert stored.read(spark, folder).count() == 4017 and stored.read(spark, folder, 5).count() == 4018
+
+
+def test_nothing_to_compact(spark, tmp_path):
+    folder = str(tmp_path)
+    stored.create(offers(spark, 0), folder, ["id"])
+    assert stored.compact(spark, folder) == 1
+    stored.append(folder, offers(spark, 0))
+    assert stored.compact(spark, folder) == 3 and stored.read(spark, folder).count() == 0
+
+
 def test_empty_stored_table(spark, tmp_path):
     stored.create(offers(spark, 0), str(tmp_path), ["id"])
     assert stored.read(spark, str(tmp_path)).count() == 0

@@ -189,6 +189,22 @@ def test_of_two_transactions_one_commits(spark, suppliers):
     assert "two" in names and "one" not in names
 
 
+def test_compaction_is_a_commit_without_audit_rows(spark, t, tmp_path):
+    folder = created(t, tmp_path, "suppliers audit_log")
+    for name in ("one", "two"):
+        change = stored_set.Transaction(spark, folder)
+        change.insert("suppliers", spark.createDataFrame([(name,)], "company_name string"), "company_name")
+        change.commit()
+    rows = rows_of(stored_set.read_set(spark, folder)["suppliers"])
+    change = stored_set.Transaction(spark, folder)
+    change.compact("suppliers")
+    change.audit(NOW)
+    assert change.commit() == 4
+    got = stored_set.read_set(spark, folder)
+    assert rows_of(got["suppliers"]) == rows and len(got["suppliers"].inputFiles()) == 1
+    assert rows_of(got["audit_log"]) == rows_of(t["audit_log"])
+
+
 def test_killed_commit_shows_nothing(spark, t, folder, monkeypatch):
     def killed(*_):
         raise KeyboardInterrupt
