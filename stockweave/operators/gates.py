@@ -16,6 +16,9 @@ from stockweave.schemas import (
     INVOICEABLE_ORDER_STATUSES,
 )
 
+#: Cards of a product with which each of its batches is compared one by one.
+FEW_CARDS = 16
+
 
 def approved_keys(checks: DataFrame, key: str, check_type: str) -> DataFrame:
     """Checked objects with at least one 'passed' and no 'failed' check.
@@ -275,17 +278,30 @@ def valid_tech_cards(uses: DataFrame, cards: DataFrame, products: DataFrame) ->
 def cards_in_force(uses: DataFrame, cards: DataFrame) -> DataFrame:
     """(production_batch_id, tech_card_id): the active cards of the product that are effective on the day.
 
-    Days and periods meet by nodes of a tree of days (``functions.intervals``), so no card is compared with a batch of
-    its product outside its period. A day of a product is looked up once, however many batches it has.
+    A batch is compared with all cards of its product where these are at most ``FEW_CARDS``. For other products, days and
+    periods meet by nodes of a tree of days (``functions.intervals``), so no card is compared with a batch outside its
+    period, and a day of a product is looked up once, however many batches it has. Both joins are merges: Spark's guess of
+    the size of the cards knows nothing of their nodes, so a broadcast could outgrow the driver.
     """
-    key = ["product_id", "node"]
-    active = cards.filter(F.col("status_code") == "active").select(
+    active = cards.filter(F.col("status_code") == "active").select("product_id", "tech_card_id", "effective_from", "effective_to")
+    used = uses.select("production_batch_id", "product_id", "day")
+    counts = active.groupBy("product_id").agg(F.count("*").alias("card_count"))
+    counted = active.join(counts.hint("merge"), "product_id")
+
+    few = counted.filter(F.col("card_count") <= FEW_CARDS).drop("card_count")
+    in_period = (F.col("effective_from") <= F.col("day")) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("day")))
+    compared = used.join(few.hint("merge"), "product_id").filter(in_period).select("production_batch_id", "tech_card_id")
+
+    many = counted.filter(F.col("card_count") > FEW_CARDS)
+    crowded = counts.filter(F.col("card_count") > FEW_CARDS).select("product_id")
+    nodes = many.select(
         "product_id", "tech_card_id", F.explode(nodes_of_interval(F.col("effective_from"), F.col("effective_to"))).alias("node")
     )
-    used = uses.select("production_batch_id", "product_id", "day")
-    asked = used.select("product_id", "day").distinct().withColumn("node", F.explode(nodes_of_day(F.col("day"))))
-    found = asked.join(active, key).select("product_id", "day", "tech_card_id")
-    return used.join(found, ["product_id", "day"]).select("production_batch_id", "tech_card_id")
+    looked = used.join(crowded.hint("merge"), "product_id", "left_semi")
+    asked = looked.select("product_id", "day").distinct().withColumn("node", F.explode(nodes_of_day(F.col("day"))))
+    found = asked.join(nodes.hint("merge"), ["product_id", "node"]).select("product_id", "day", "tech_card_id")
+    by_node = looked.join(found.hint("merge"), ["product_id", "day"]).select("production_batch_id", "tech_card_id")
+    return compared.unionByName(by_node)
 
 
 def editable_recipes(cards: DataFrame, batches: DataFrame) -> DataFrame:
