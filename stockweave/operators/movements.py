@@ -21,6 +21,9 @@ from stockweave.operators.gates import (
 from stockweave.schemas import INVOICEABLE_ORDER_STATUSES, MONEY, QUANTITY, STOCKED_DELIVERY_STATUSES
 from stockweave.session import cut_lineage
 
+#: States of a shipment that lines are added to.
+_OPEN, _CLOSED, _NO_INVOICE, _UNPAID = range(4)
+
 
 def apply_consumption(lots: DataFrame, takes: DataFrame, key: str, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Lots after taking ``take_qty``; lots that hold less than asked are returned untouched as rejects.
@@ -259,44 +262,63 @@ def judge_ship_lines(
     as_of: date,
 ) -> DataFrame:
     """Every shipping request on its own against the present state, with a reject reason or NULL."""
-    headers = shipments.select(
-        "shipment_id", F.col("order_id").alias("shipment_order"), F.col("status_code").alias("shipment_status")
-    )
-    lines = order_items.select(
-        "order_item_id",
-        F.col("order_id").alias("line_order"),
-        F.col("product_id").alias("line_product"),
-        F.col("quantity").alias("ordered_quantity"),
-    )
-    lots = stock.select(
-        "finished_stock_id",
-        F.col("product_id").alias("lot_product"),
-        F.col("quantity_current").alias("lot_quantity"),
-        "expiry_date",
-        "production_batch_id",
+    # The tables beside the requests are joined with each other first, and the widest comes last, so that the requests move
+    # once for each of their three keys and carry little.
+    paid = payment_status(orders, invoices).select(F.col("order_id").alias("shipment_order"), "payment_state")
+    headers = (
+        shipments.select(
+            "shipment_id", F.col("order_id").alias("shipment_order"), F.col("status_code").alias("shipment_status")
+        )
+        .join(paid, "shipment_order", "left")
+        .select(
+            "shipment_id",
+            "shipment_order",
+            F.when(F.col("shipment_status") != "planned", _CLOSED)
+            .when(F.col("payment_state") == "no_invoice", _NO_INVOICE)
+            .when(F.col("payment_state") == "unpaid", _UNPAID)
+            .when(F.col("shipment_status").isNotNull(), _OPEN)
+            .alias("shipment_state"),
+        )
+        .withColumn("shipment_state", F.col("shipment_state").cast("tinyint"))
     )
     approved = approved_keys(checks, "production_batch_id", "finished_product").withColumn("is_approved", F.lit(True))
-    paid = payment_status(orders, invoices).select(F.col("order_id").alias("shipment_order"), "payment_state")
-    remaining = F.col("ordered_quantity") - F.coalesce(F.col("shipped_quantity"), F.lit(0))
+    lots = (
+        stock.select(
+            "finished_stock_id",
+            F.col("product_id").alias("lot_product"),
+            F.col("quantity_current").alias("lot_quantity"),
+            (F.col("expiry_date") < F.lit(as_of)).alias("is_expired"),
+            "production_batch_id",
+        )
+        .join(approved, "production_batch_id", "left")
+        .drop("production_batch_id")
+    )
+    lines = (
+        order_items.join(shipped_so_far(shipment_items), "order_item_id", "left")
+        .select(
+            "order_item_id",
+            F.col("order_id").alias("line_order"),
+            F.col("product_id").alias("line_product"),
+            (F.col("quantity") - F.coalesce(F.col("shipped_quantity"), F.lit(0))).alias("line_remaining"),
+        )
+    )
     reason = (
-        F.when(F.col("shipment_status").isNull(), "shipment_missing")
-        .when(F.col("shipment_status") != "planned", "shipment_closed")
+        F.when(F.col("shipment_state").isNull(), "shipment_missing")
+        .when(F.col("shipment_state") == _CLOSED, "shipment_closed")
         .when(F.col("quantity") <= 0, "quantity_not_positive")
-        .when(F.col("payment_state") == "no_invoice", "no_invoice")
-        .when(F.col("payment_state") == "unpaid", "invoice_not_paid")
+        .when(F.col("shipment_state") == _NO_INVOICE, "no_invoice")
+        .when(F.col("shipment_state") == _UNPAID, "invoice_not_paid")
         .when(F.col("line_order").isNull() | (F.col("line_order") != F.col("shipment_order")), "line_of_other_order")
         .when(F.col("lot_product").isNull(), "lot_missing")
         .when(F.col("lot_product") != F.col("line_product"), "lot_of_other_product")
-        .when(F.col("expiry_date") < F.lit(as_of), "lot_expired")
+        .when(F.col("is_expired"), "lot_expired")
         .when(F.col("lot_quantity") < F.col("quantity"), "lot_too_small")
         .when(F.col("is_approved").isNull(), "lot_not_approved")
-        .when(F.col("quantity") > remaining, "exceeds_order")
+        .when(F.col("quantity") > F.col("line_remaining"), "exceeds_order")
     )
-    lots = lots.join(approved, "production_batch_id", "left").drop("production_batch_id")
-    judged = requests.join(headers, "shipment_id", "left").join(paid, "shipment_order", "left")
     return (
-        left_lookup(judged.join(lines, "order_item_id", "left"), lots, "finished_stock_id", "request_id")
-        .join(shipped_so_far(shipment_items), "order_item_id", "left")
+        left_lookup(requests.join(headers, "shipment_id", "left"), lots, "finished_stock_id", "request_id")
+        .join(lines, "order_item_id", "left")
         .select(
             "request_id",
             "shipment_id",
@@ -305,18 +327,29 @@ def judge_ship_lines(
             "finished_stock_id",
             "quantity",
             "lot_quantity",
-            remaining.alias("line_remaining"),
+            "line_remaining",
             reason.alias("reject_reason"),
         )
     )
 
 
+def _judged_once(judged: DataFrame) -> DataFrame:
+    """``judged`` as a table in the shared folder, as its accepted and its refused requests are read several times.
+
+    A refused request keeps its id and reason only.
+    """
+    kept = F.col("reject_reason").isNull()
+    always = ("request_id", "reject_reason")
+    return cut_lineage(judged.select(*[F.col(c) if c in always else F.when(kept, F.col(c)).alias(c) for c in judged.columns]))
+
+
 def ship_lines(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New shipment lines of a request batch served in request order, and all rejects.
 
     ``judged`` comes from ``judge_ship_lines``. Requests share lots and order
     lines; each takes from both or is refused, as if handled one after another.
     """
+    judged = _judged_once(judged)
     sound = judged.filter(F.col("reject_reason").isNull())
     day = F.lit(date(1970, 1, 1)).alias("day")
     lot = F.concat(F.lit("lot:"), F.col("finished_stock_id").cast("string"))
@@ -348,11 +381,12 @@ def judge_order_lines(
     """Requests to add order lines, each on its own, with what the order may still add."""
     offers = available_quantity(products, stock, checks, as_of).select("product_id", "price", "quantity_available")
     present = order_items.groupBy("order_id", "product_id").agg(F.sum("quantity").alias("present_quantity"))
-    headers = orders.select("order_id", F.col("status_code").alias("order_status"))
+    is_draft = F.col("status_code") == "draft"
+    headers = orders.select("order_id", F.when(F.col("status_code").isNotNull(), is_draft).alias("is_draft"))
     room = F.col("quantity_available") - F.coalesce(F.col("present_quantity"), F.lit(0))
     reason = (
-        F.when(F.col("order_status").isNull(), "order_missing")
-        .when(F.col("order_status") != "draft", "order_not_draft")
+        F.when(F.col("is_draft").isNull(), "order_missing")
+        .when(~F.col("is_draft"), "order_not_draft")
         .when(F.col("quantity") <= 0, "quantity_not_positive")
         .when(F.col("price").isNull(), "product_unavailable")
         .when(F.col("quantity_available") <= 0, "out_of_stock")
@@ -381,6 +415,7 @@ def order_line_admission(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
     Requests for a product an order already has add to that line and re-price it
     at the present price.
     """
+    judged = _judged_once(judged)
     sound = judged.filter(F.col("reject_reason").isNull())
     resource = F.concat(F.col("order_id").cast("string"), F.lit("/"), F.col("product_id").cast("string"))
     needs = sound.select(

@@ -71,18 +71,16 @@ def commit_ship_lines(
     """
     change = Transaction(spark, folder, **options)
     t = change.tables
-    judged = cut_lineage(
-        judge_ship_lines(
-            cut_lineage(requests),
-            t["shipments"],
-            t["invoices"],
-            t["customer_orders"],
-            t["order_items"],
-            t["finished_goods_stock"],
-            t["quality_checks"],
-            t["shipment_items"],
-            as_of,
-        )
+    judged = judge_ship_lines(
+        cut_lineage(requests),
+        t["shipments"],
+        t["invoices"],
+        t["customer_orders"],
+        t["order_items"],
+        t["finished_goods_stock"],
+        t["quality_checks"],
+        t["shipment_items"],
+        as_of,
     )
     lines, rejects = ship_lines(judged)
     lines, rejects = cut_lineage(lines), cut_lineage(rejects)
