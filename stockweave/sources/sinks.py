@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockweave.schemas import DEFAULTS, LOAD_ORDER, layout
+from stockweave.session import STORED_COMPRESSION
 
 
 def with_defaults(rows: DataFrame, table: str, as_of: date, now: datetime) -> DataFrame:
@@ -42,7 +43,7 @@ def insert_ignore(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataF
 
 def append(rows: DataFrame, folder: str, table: str) -> None:
     """Add rows to a stored table."""
-    rows.write.mode("append").parquet(f"{folder}/{table}")
+    rows.write.mode("append").option("compression", STORED_COMPRESSION).parquet(f"{folder}/{table}")
 
 
 def append_batch(rows: DataFrame, folder: str, table: str, batch_id: str, day: str | None = None) -> None:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockweave.schemas import LOAD_ORDER, layout
+from stockweave.session import STORED_COMPRESSION
 
 
 class Tables(Mapping):
@@ -87,7 +88,7 @@ def publish_snapshot(tables: Mapping[str, DataFrame], folder: str) -> int:
     version = 1 + max([0, *begun_versions(folder)])
     place = f"data/{version:08d}-{uuid.uuid4().hex}"
     for name in names:
-        tables[name].write.mode("errorifexists").parquet(f"{folder}/{place}/{name}")
+        tables[name].write.mode("errorifexists").option("compression", STORED_COMPRESSION).parquet(f"{folder}/{place}/{name}")
     rows = [(version, name, f"{place}/{name}") for name in names]
     manifest = spark.createDataFrame(rows, "version long, table_name string, path string").coalesce(1)
     manifest.write.mode("errorifexists").parquet(f"{folder}/manifests/{version:08d}")
