@@ -283,21 +283,28 @@ def cards_in_force(uses: DataFrame, cards: DataFrame) -> DataFrame:
     period, and a day of a product is looked up once, however many batches it has. Both joins are merges: Spark's guess of
     the size of the cards knows nothing of their nodes, so a broadcast could outgrow the driver.
     """
-    active = cards.filter(F.col("status_code") == "active").select("product_id", "tech_card_id", "effective_from", "effective_to")
-    used = uses.select("production_batch_id", "product_id", "day")
-    counts = active.groupBy("product_id").agg(F.count("*").alias("card_count"))
-    counted = active.join(counts.hint("merge"), "product_id")
+    # The lane is always 0. It keeps an equal key in the joins where the planner knows that there is just one product.
+    key = ["product_id", "lane"]
 
-    few = counted.filter(F.col("card_count") <= FEW_CARDS).drop("card_count")
+    def lane(column: str) -> Column:
+        return F.pmod(F.hash(column), F.lit(1)).alias("lane")
+
+    active = cards.filter(F.col("status_code") == "active").select(
+        "product_id", "tech_card_id", "effective_from", "effective_to", lane("tech_card_id")
+    )
+    used = uses.select("production_batch_id", "product_id", "day", lane("production_batch_id"))
+    sizes = active.groupBy("product_id").agg(F.count("*").alias("card_count")).select("*", lane("card_count"))
+    sized = active.join(sizes.hint("merge"), key)
+
+    few = sized.filter(F.col("card_count") <= FEW_CARDS).drop("card_count")
     in_period = (F.col("effective_from") <= F.col("day")) & (F.col("effective_to").isNull() | (F.col("effective_to") >= F.col("day")))
-    compared = used.join(few.hint("merge"), "product_id").filter(in_period).select("production_batch_id", "tech_card_id")
+    compared = used.join(few.hint("merge"), key).filter(in_period).select("production_batch_id", "tech_card_id")
 
-    many = counted.filter(F.col("card_count") > FEW_CARDS)
-    crowded = counts.filter(F.col("card_count") > FEW_CARDS).select("product_id")
-    nodes = many.select(
+    crowded = sizes.filter(F.col("card_count") > FEW_CARDS).select(*key)
+    nodes = sized.filter(F.col("card_count") > FEW_CARDS).select(
         "product_id", "tech_card_id", F.explode(nodes_of_interval(F.col("effective_from"), F.col("effective_to"))).alias("node")
     )
-    looked = used.join(crowded.hint("merge"), "product_id", "left_semi")
+    looked = used.join(crowded.hint("merge"), key, "left_semi")
     asked = looked.select("product_id", "day").distinct().withColumn("node", F.explode(nodes_of_day(F.col("day"))))
     found = asked.join(nodes.hint("merge"), ["product_id", "node"]).select("product_id", "day", "tech_card_id")
     by_node = looked.join(found.hint("merge"), ["product_id", "day"]).select("production_batch_id", "tech_card_id")
