@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from stockweave.session import cut_lineage
+
 #: Quantiles that bound the pieces of an id range; dense at the ends, where stray ids are.
 QUANTILES = (0.0, 0.001, 0.01, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 0.99, 0.999, 1.0)
 
@@ -23,6 +25,26 @@ CUTS = 128
 SAMPLE = 8192
 STEPS = 32
 
+#: Most rows of a key that one window goes through.
+WINDOW_ROWS = 200_000
+
+
+def crowded_keys(df: DataFrame, key: str) -> DataFrame | None:
+    """The values of ``key`` with more than ``WINDOW_ROWS`` rows, as a table in the shared folder; None if there are none.
+
+    Rows are counted by parts of the hash first, and keys only in parts that have so many rows.
+    """
+    rows = df.count()
+    if rows <= WINDOW_ROWS:
+        return None
+    part = F.pmod(F.xxhash64(key), F.lit(64 + 8 * rows // WINDOW_ROWS))
+    full = df.groupBy(part.alias("part")).count().filter(F.col("count") > WINDOW_ROWS).collect()
+    if not full:
+        return None
+    counts = df.filter(part.isin([r.part for r in full])).groupBy(key).count()
+    crowded = cut_lineage(counts.filter(F.col("count") > WINDOW_ROWS).select(key))
+    return None if crowded.isEmpty() else crowded
+
 
 def order_number(df: DataFrame, column: str) -> Column:
     """A number that never falls as ``column`` rises.

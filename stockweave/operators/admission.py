@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockweave.functions.components import components
-from stockweave.functions.scan import with_chunk
+from stockweave.functions.scan import crowded_keys, with_chunk
 from stockweave.session import cut_lineage
 
 AMOUNT = "decimal(38,10)"
+#: Sums of amounts, which keep all places when two of them are added up.
+_SUM = "decimal(36,10)"
 _CHUNK = ["resource_id", "day", "_chunk"]
 
 #: Most rounds of brackets before the walk.
@@ -40,14 +42,44 @@ ROUNDS = 3
 WALK_ROWS = 500_000
 
 
-def _positions(needs: DataFrame) -> DataFrame:
+def _positions(needs: DataFrame, crowded: DataFrame | None) -> DataFrame:
     """Adds where each need ends on its resource's axis, for two ways of counting.
 
     ``high`` counts all needs present, ``low`` only those of accepted requests.
     ``skip`` is the part of the axis that is gone by the need's day (expired
     stock): nobody can start before it, which turns the running total into a
-    running maximum over chunk totals.
+    running maximum. The needs of a resource move once, together; only those of the
+    ``crowded`` resources are cut into chunks.
     """
+    if crowded is None:
+        return _along_resources(needs)
+    return _along_resources(needs.join(crowded, "resource_id", "left_anti")).unionByName(
+        _along_chunks(needs.join(crowded, "resource_id", "left_semi"))
+    )
+
+
+def _along_resources(needs: DataFrame) -> DataFrame:
+    """``_positions`` with a window per resource."""
+    order = Window.partitionBy("resource_id").orderBy("day", "request_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+    counted = F.when(F.col("accepted"), F.col("quantity")).otherwise(0)
+    # A need without a resource or a day has no place on an axis.
+    offsets = needs.dropna(subset=["resource_id", "day"]).select(
+        "*",
+        F.coalesce(F.sum("quantity").over(before), F.lit(0)).cast(_SUM).alias("o_high"),
+        F.coalesce(F.sum(counted).over(before), F.lit(0)).cast(_SUM).alias("o_low"),
+    )
+    quantity, skip = F.col("quantity").cast(_SUM), F.col("skip").cast(_SUM)
+    return offsets.select(
+        *needs.columns,
+        (F.col("o_high") + quantity + F.max(skip - F.col("o_high")).over(until)).cast(AMOUNT).alias("high"),
+        (F.col("o_low") + quantity + F.max(skip - F.col("o_low")).over(until)).cast(AMOUNT).alias("low"),
+    )
+
+
+def _along_chunks(needs: DataFrame) -> DataFrame:
+    """``_positions`` with a window per chunk and one over the totals of chunks."""
     totals = needs.groupBy(*_CHUNK).agg(
         F.sum("quantity").alias("t_high"),
         F.sum(F.when(F.col("accepted"), F.col("quantity")).otherwise(0)).alias("t_low"),
@@ -142,36 +174,49 @@ def _components(contested: DataFrame) -> DataFrame:
     )
 
 
-def admit(needs: DataFrame, capacity: DataFrame) -> tuple[DataFrame, DataFrame]:
+def admit(needs: DataFrame, capacity: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Splits requests into accepted needs and rejected request ids.
 
     ``needs``: request_id, resource_id, day, quantity (> 0, one row per request
     and resource) and skip (0 where nothing expires; never falls with day).
-    ``capacity``: resource_id, capacity. A resource without a row has none.
+    ``capacity``: resource_id, capacity. A resource without a row has none. Without this table
+    ``needs`` has a column capacity, the same in all rows of a resource.
 
     Returns the accepted needs with start_at and end_at on the axis of their
     resource, and the rejected ids. Both stand on tables written to the
     shared folder.
     """
+    if capacity is not None:
+        needs = needs.join(capacity.select("resource_id", "capacity"), "resource_id", "left")
     prepared = needs.select(
         "request_id",
         "resource_id",
         "day",
         F.col("quantity").cast(AMOUNT).alias("quantity"),
         F.col("skip").cast(AMOUNT).alias("skip"),
-    ).join(capacity.select("resource_id", F.col("capacity").cast(AMOUNT).alias("capacity")), "resource_id", "left")
-    prepared = cut_lineage(with_chunk(prepared.fillna(0, ["capacity"]), "request_id"))
+        F.coalesce(F.col("capacity").cast(AMOUNT), F.lit(0)).cast(AMOUNT).alias("capacity"),
+    )
+    prepared = cut_lineage(prepared)
+    crowded = crowded_keys(prepared, "resource_id")
+    if crowded is not None:
+        prepared = cut_lineage(with_chunk(prepared, "request_id"))
 
     of_request = Window.partitionBy("request_id")
     refused: list[DataFrame] = []
     contested = prepared.withColumn("accepted", F.lit(False))
     for number in range(1, ROUNDS + 1):
-        fits = F.bool_and(F.col("high") <= F.col("capacity")).over(of_request)
-        misses = F.bool_or(F.col("low") > F.col("capacity")).over(of_request)
+        placed = _positions(contested, crowded).select(
+            *prepared.columns,
+            "accepted",
+            (F.col("high") > F.col("capacity")).alias("is_tight"),
+            (F.col("low") > F.col("capacity")).alias("is_short"),
+        )
+        fits = F.bool_and(~F.col("is_tight")).over(of_request)
+        misses = F.bool_or("is_short").over(of_request)
         judged = cut_lineage(
-            _positions(contested).select(
+            placed.select(
                 *prepared.columns,
-                (F.col("high") > F.col("capacity")).alias("is_tight"),
+                "is_tight",
                 (F.col("accepted") | fits).alias("accepted"),
                 (~F.col("accepted") & misses).alias("refused"),
             )
@@ -189,7 +234,7 @@ def admit(needs: DataFrame, capacity: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     refused_ids = reduce(DataFrame.unionByName, refused)
     kept = prepared.join(refused_ids, "request_id", "left_anti").withColumn("accepted", F.lit(True))
-    accepted = _positions(kept).select(
+    accepted = _positions(kept, crowded).select(
         "request_id",
         "resource_id",
         "day",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockweave.functions.scan import running_total
+from stockweave.functions.scan import crowded_keys, running_total
 from stockweave.operators.admission import AMOUNT, admit
 from stockweave.operators.gates import approved_keys, stock_from_day
 from stockweave.session import cut_lineage
@@ -53,16 +53,29 @@ def gated_lots(stock: DataFrame, checks: DataFrame) -> DataFrame:
     )
 
 
+def lots_for(
+    batches: DataFrame, recipe_items: DataFrame, stock: DataFrame, checks: DataFrame
+) -> DataFrame:
+    """``gated_lots`` of the materials that the recipes of the batches name."""
+    named = recipe_items.join(batches.select("tech_card_id"), "tech_card_id", "left_semi").select("material_id").distinct()
+    return gated_lots(stock.join(named, "material_id", "left_semi"), checks)
+
+
 def production_feasibility(
     batches: DataFrame, recipe_items: DataFrame, stock: DataFrame, checks: DataFrame
 ) -> DataFrame:
-    """Dry run of every batch against the present stock, one row per batch and material.
+    """``feasibility_of_lots`` against the present stock."""
+    return feasibility_of_lots(batches, recipe_items, gated_lots(stock, checks))
+
+
+def feasibility_of_lots(batches: DataFrame, recipe_items: DataFrame, lots: DataFrame) -> DataFrame:
+    """Dry run of every batch against the lots (``gated_lots``), one row per batch and material.
 
     ``verdict`` is ok, not_quality_approved, insufficient, or no_recipe (then
     without a material).
     """
     demand = batch_demand(recipe_requirement(batches, recipe_items))
-    left = stock_from_day(gated_lots(stock, checks), demand)
+    left = stock_from_day(lots, demand)
     verdict = (
         F.when((F.col("ungated_left") > 0) & (F.col("gated_left") == 0), "not_quality_approved")
         .when(F.col("gated_left") < F.col("quantity"), "insufficient")
@@ -99,14 +112,14 @@ def _cut_by_depth(starts: DataFrame) -> DataFrame:
     return cut_lineage(ranged.withColumn("chunk", F.spark_partition_id()))
 
 
-def _overlaps(lots: DataFrame, demand: DataFrame) -> DataFrame:
+def _overlaps(lots: DataFrame, demand: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """Pairs of overlapping intervals on the axis of each material, with the overlap.
 
     Neither side overlaps itself, so walking the starts of both sides in order
     and remembering the latest start of each side meets every overlapping pair
     once: the output grows with lots + demands, never with their product. The
-    axes are cut into chunks of about as many starts; what is open at a chunk's edge comes
-    from the chunk summaries.
+    axes of materials with many rows in ``among``, by default in the starts themselves, are cut into chunks of about as many
+    starts; what is open at a chunk's edge comes from the chunk summaries.
     """
     lot = F.struct("stock_id", F.col("end_at").alias("end_at"))
     need = F.struct("request_id", F.col("end_at").alias("end_at"))
@@ -115,6 +128,31 @@ def _overlaps(lots: DataFrame, demand: DataFrame) -> DataFrame:
     ).unionByName(
         demand.select("resource_id", "start_at", F.lit(1).alias("side"), F.lit(None).alias("lot"), need.alias("need"))
     )
+    crowded = crowded_keys(starts if among is None else among, "resource_id")
+    upto = Window.partitionBy("resource_id").orderBy("start_at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    walked = (starts if crowded is None else starts.join(crowded, "resource_id", "left_anti")).select(
+        "resource_id",
+        "start_at",
+        F.last("lot", ignorenulls=True).over(upto).alias("lot"),
+        F.last("need", ignorenulls=True).over(upto).alias("need"),
+    )
+    if crowded is not None:
+        walked = walked.unionByName(_walked_in_chunks(starts.join(crowded, "resource_id", "left_semi")))
+    return walked.select(
+        F.col("need.request_id").alias("request_id"),
+        "resource_id",
+        F.col("lot.stock_id").alias("stock_id"),
+        (F.least("lot.end_at", "need.end_at") - F.col("start_at")).cast(AMOUNT).alias("take_qty"),
+    ).filter(
+        F.col("resource_id").isNotNull()
+        & F.col("request_id").isNotNull()
+        & F.col("stock_id").isNotNull()
+        & (F.col("take_qty") > 0)
+    )
+
+
+def _walked_in_chunks(starts: DataFrame) -> DataFrame:
+    """(resource_id, start_at, lot, need): at each start, the latest lot and need of the material."""
     placed = _cut_by_depth(starts)
 
     latest = {
@@ -132,7 +170,7 @@ def _overlaps(lots: DataFrame, demand: DataFrame) -> DataFrame:
         .orderBy("start_at", "side")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    walked = placed.join(
+    return placed.join(
         carried, (F.col("resource_id") == F.col("k_resource")) & (F.col("chunk") == F.col("k_chunk"))
     ).select(
         "resource_id",
@@ -140,12 +178,53 @@ def _overlaps(lots: DataFrame, demand: DataFrame) -> DataFrame:
         F.coalesce(F.last("lot", ignorenulls=True).over(upto), F.col("open_lot")).alias("lot"),
         F.coalesce(F.last("need", ignorenulls=True).over(upto), F.col("open_need")).alias("need"),
     )
-    return walked.select(
-        F.col("need.request_id").alias("request_id"),
+
+
+def _expired_by_day(usable: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each (resource_id, day) of ``wanted``: skip, the quantity that expired before, and capacity, that of all days.
+
+    Lots are first added up per expiry day, so a window holds at most one row per calendar day on either side.
+    """
+    daily = usable.groupBy("resource_id", F.col("expiry_date").alias("day")).agg(F.sum("gated").cast(AMOUNT).alias("gated"))
+    asked = wanted.select("resource_id", "day").distinct()
+    rows = daily.withColumn("is_lot", F.lit(1)).unionByName(
+        asked.select("*", F.lit(None).cast(AMOUNT).alias("gated"), F.lit(0).alias("is_lot"))
+    )
+    axis = Window.partitionBy("resource_id")
+    before = axis.orderBy("day", "is_lot").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
         "resource_id",
-        F.col("lot.stock_id").alias("stock_id"),
-        (F.least("lot.end_at", "need.end_at") - F.col("start_at")).cast(AMOUNT).alias("take_qty"),
-    ).filter(F.col("request_id").isNotNull() & F.col("stock_id").isNotNull() & (F.col("take_qty") > 0))
+        "day",
+        "is_lot",
+        F.coalesce(F.sum("gated").over(before), F.lit(0)).cast(AMOUNT).alias("skip"),
+        F.coalesce(F.sum("gated").over(axis), F.lit(0)).cast(AMOUNT).alias("capacity"),
+    ).filter(F.col("is_lot") == 0).drop("is_lot")
+
+
+def _shelves(usable: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """(resource_id, stock_id, start_at, end_at) of the lots, in expiry order on the axis of their material."""
+
+    def ends(lots: DataFrame) -> DataFrame:
+        until = Window.partitionBy("resource_id").orderBy("expiry_date", "stock_id").rowsBetween(Window.unboundedPreceding, 0)
+        # Lots without a day or an id have no place on an axis.
+        placed = lots.filter(F.col("expiry_date").isNotNull())
+        return placed.withColumn("end_at", F.sum("gated").over(until))
+
+    def ends_by_chunk(lots: DataFrame) -> DataFrame:
+        return running_total(lots, ["resource_id"], ["expiry_date", "stock_id"], {"gated": "end_at"}, group_by_day="expiry_date")
+
+    if crowded is None:
+        placed = ends(usable)
+    else:
+        placed = ends(usable.join(crowded, "resource_id", "left_anti")).unionByName(
+            ends_by_chunk(usable.join(crowded, "resource_id", "left_semi")).select(*usable.columns, "end_at")
+        )
+    return placed.select(
+        "resource_id",
+        "stock_id",
+        (F.col("end_at") - F.col("gated")).cast(AMOUNT).alias("start_at"),
+        F.col("end_at").cast(AMOUNT).alias("end_at"),
+    )
 
 
 def fefo_allocate(demand: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,40 +240,24 @@ def fefo_allocate(demand: DataFrame, lots: DataFrame) -> tuple[DataFrame, DataFr
 
     Lots in expiry order and batches in day order lie on one axis per material.
     Expired stock is always a prefix of that axis, so it only pushes a batch's
-    start forward.
+    start forward. Both stay whole in one task per material unless it is crowded.
     """
-    lots, demand = cut_lineage(lots), cut_lineage(demand)
-    usable = lots.filter(F.col("gated") > 0).select(
+    demand = cut_lineage(demand)
+    wanted = demand.filter(F.col("quantity") > 0).withColumnRenamed("material_id", "resource_id")
+    approved = lots.filter(F.col("gated") > 0).select(
         F.col("material_id").alias("resource_id"),
         "expiry_date",
         "stock_id",
         F.col("gated").cast(AMOUNT).alias("gated"),
     )
-    supply = usable.groupBy("resource_id").agg(F.sum("gated").cast(AMOUNT).alias("capacity"))
-    wanted = demand.filter(F.col("quantity") > 0)
-    left = stock_from_day(lots, wanted).select("material_id", "day", "gated_left")
-    needs = (
-        wanted.join(left, ["material_id", "day"])
-        .withColumnRenamed("material_id", "resource_id")
-        .join(supply, "resource_id", "left")
-        .select(
-            F.col("production_batch_id").alias("request_id"),
-            "resource_id",
-            "day",
-            "quantity",
-            F.coalesce(F.col("capacity") - F.col("gated_left"), F.lit(0)).alias("skip"),
-        )
-    )
-    accepted, rejected = admit(needs, supply)
-    shelves = running_total(
-        usable, ["resource_id"], ["expiry_date", "stock_id"], {"gated": "end_at"}, group_by_day="expiry_date"
-    ).select(
-        "resource_id",
-        "stock_id",
-        (F.col("end_at") - F.col("gated")).cast(AMOUNT).alias("start_at"),
-        F.col("end_at").cast(AMOUNT).alias("end_at"),
+    usable = cut_lineage(approved)
+    needs = wanted.join(_expired_by_day(usable, wanted), ["resource_id", "day"]).select(
+        F.col("production_batch_id").alias("request_id"), "resource_id", "day", "quantity", "skip", "capacity"
     )
-    takes = _overlaps(shelves, accepted).select(
+    accepted, rejected = admit(needs)
+    among = usable.select("resource_id").unionAll(wanted.select("resource_id"))
+    shelves = _shelves(usable, crowded_keys(usable, "resource_id"))
+    takes = _overlaps(shelves, accepted, among).select(
         F.col("request_id").alias("production_batch_id"),
         F.col("resource_id").alias("material_id"),
         "stock_id",

@@ -210,3 +210,39 @@ def test_consumption_guard(spark, small):
     after, short = movements.apply_consumption(lots, takes("100000"), "finished_stock_id", now)
     assert after.filter(F.col("finished_stock_id") == key).first().quantity_current == one.quantity_current
     assert [r.finished_stock_id for r in short.collect()] == [key]
+
+
+def _allocation_inputs(spark):
+    """Forty batches that contest lots of three materials, some expired or of other materials."""
+    rng = random.Random(5)
+    demand = [(b, DAY + timedelta(days=b % 4), m, D(rng.randrange(1, 9))) for b in range(40) for m in rng.sample(range(3), 2)]
+    lots = [(f"s{i:03d}", i % 5, DAY + timedelta(days=rng.randrange(-1, 6)), D(rng.randrange(1, 12)), D(0)) for i in range(60)]
+    return (
+        spark.createDataFrame(demand, "production_batch_id bigint, day date, material_id bigint, quantity decimal(28,10)"),
+        spark.createDataFrame(
+            lots, "stock_id string, material_id bigint, expiry_date date, gated decimal(12,3), ungated decimal(12,3)"
+        ),
+    )
+
+
+def test_crowded_materials_are_allocated_as_others(spark, monkeypatch):
+    from stockweave.functions import scan
+
+    demand, lots = _allocation_inputs(spark)
+    found = []
+    for rows in (200_000, 30):
+        monkeypatch.setattr(scan, "WINDOW_ROWS", rows)
+        takes, refused = fefo.fefo_allocate(demand, lots)
+        found.append((sorted(map(tuple, takes.collect())), sorted(map(tuple, refused.collect()))))
+    assert found[0] == found[1] and found[0][0] and found[0][1]
+
+
+def test_needs_move_once_along_their_axis(spark):
+    """Without a crowded material, positions take one shuffle of the needs and no join."""
+    needs = spark.createDataFrame(
+        [(1, 1, DAY, D(1), D(0), D(5), False)],
+        "request_id bigint, resource_id bigint, day date, quantity decimal(38,10), skip decimal(38,10), "
+        "capacity decimal(38,10), accepted boolean",
+    )
+    plan = admission._positions(needs, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
