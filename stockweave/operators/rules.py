@@ -62,33 +62,67 @@ def not_null_rules(t: TableSet, tables: Iterable[str]) -> DataFrame:
 def unique_rules(t: TableSet, tables: Iterable[str]) -> DataFrame:
     """(table_name, rule, key_values, row_count) for every key that occurs more than once.
 
-    A table is read once: each row gives an entry per rule, and one aggregate counts the entries of all rules.
-    Counting needs no row to move beyond one per rule, key and task.
+    Keys are counted by their hashes first, for all rules of a table in one pass; the hashes that occur more than once are
+    written as a table in the shared folder. Only keys of rules with such hashes are read again and counted themselves, so
+    the columns of the other keys, which are most, never move.
     """
-    return _union(_repeated_keys(t[n], n, RULES[n].unique) for n in tables if RULES[n].unique)
+    names = [n for n in tables if RULES[n].unique]
+    repeated = cut_lineage(_union(_repeated_hashes(t[n], n, RULES[n].unique) for n in names))
+    nothing = F.col("table_name").alias("rule"), F.col("table_name").alias("key_values"), F.col("key_hash").alias("row_count")
+    parts = [repeated.limit(0).select("table_name", *nothing)]
+    found = sorted(map(tuple, repeated.select("table_name", "number").distinct().collect()))
+    for name in names:
+        numbers = [number for table, number in found if table == name]
+        if numbers:
+            hashes = repeated.filter(F.col("table_name") == name).select("number", "key_hash")
+            parts.append(_repeated_keys(t[name], name, {i: RULES[name].unique[i] for i in numbers}, hashes))
+    return _union(parts)
+
+
+def _counted(rule: Unique) -> Column:
+    """Whether the rule counts a row."""
+    counts = F.expr(rule.where) if rule.where else F.lit(True)
+    return counts if rule.nulls_equal else reduce(lambda a, c: a & F.col(c).isNotNull(), rule.columns, counts)
+
+
+def _repeated_hashes(df: DataFrame, table: str, rules: Sequence[Unique]) -> DataFrame:
+    """(table_name, number, key_hash) of the rules' keys that share their hash with the key of another row."""
+    entries = [
+        F.struct(F.when(_counted(rule), F.lit(number)).alias("number"), F.xxhash64(*rule.columns).alias("key_hash"))
+        for number, rule in enumerate(rules)
+    ]
+    return (
+        df.select(F.explode(F.array(*entries)).alias("entry"))
+        .select("entry.*")
+        .filter(F.col("number").isNotNull())
+        .groupBy("number", "key_hash")
+        .agg(F.count("*").alias("row_count"))
+        .filter(F.col("row_count") > 1)
+        .select(F.lit(table).alias("table_name"), "number", "key_hash")
+    )
 
 
-def _repeated_keys(df: DataFrame, table: str, rules: Sequence[Unique]) -> DataFrame:
-    columns = sorted({c for rule in rules for c in rule.columns})
-    entries, texts = [], F.lit(None)
-    for number, rule in enumerate(rules):
-        counts = F.expr(rule.where) if rule.where else F.lit(True)
-        if not rule.nulls_equal:
-            counts = reduce(lambda a, c: a & F.col(c).isNotNull(), rule.columns, counts)
-        kinds = {c: df.schema[c].dataType for c in columns}
+def _repeated_keys(df: DataFrame, table: str, rules: Mapping[int, Unique], hashes: DataFrame) -> DataFrame:
+    """The keys that occur more than once, among those with one of the ``hashes``."""
+    columns = sorted({c for rule in rules.values() for c in rule.columns})
+    kinds = {c: df.schema[c].dataType for c in columns}
+    entries, names, texts = [], F.lit(None), F.lit(None)
+    for number, rule in rules.items():
         keys = [F.col(c) if c in rule.columns else F.lit(None).cast(kinds[c]) for c in columns]
-        number_of = F.when(counts, F.lit(number)).alias("number")
-        entries.append(F.struct(number_of, *[key.alias(c) for key, c in zip(keys, columns)]))
+        number_of = F.when(_counted(rule), F.lit(number)).alias("number")
+        key_hash = F.xxhash64(*rule.columns).alias("key_hash")
+        entries.append(F.struct(number_of, key_hash, *[key.alias(c) for key, c in zip(keys, columns)]))
+        names = F.when(F.col("number") == number, F.lit(rule.name)).otherwise(names)
         texts = F.when(F.col("number") == number, record_id(*rule.columns)).otherwise(texts)
-    names = F.array(*[F.lit(rule.name) for rule in rules])
     return (
         df.select(F.explode(F.array(*entries)).alias("entry"))
         .select("entry.*")
         .filter(F.col("number").isNotNull())
+        .join(hashes, ["number", "key_hash"], "left_semi")
         .groupBy("number", *columns)
         .agg(F.count("*").alias("row_count"))
         .filter(F.col("row_count") > 1)
-        .select(F.lit(table).alias("table_name"), F.get(names, F.col("number")).alias("rule"), texts.alias("key_values"), "row_count")
+        .select(F.lit(table).alias("table_name"), names.alias("rule"), texts.alias("key_values"), "row_count")
     )
 
 

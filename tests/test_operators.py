@@ -387,3 +387,28 @@ def test_a_repeated_batch_adds_nothing(spark, small, tmp_path):
     plan = month._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
     assert month.count() == rows.filter("date_format(order_date, 'yyyy-MM') = '1996-02'").count() > 0
+
+
+def test_wave_compares_only_open_requests_with_the_stock(small, monkeypatch):
+    """Requests that an earlier check refuses ask for no lots, and the lots are looked up once."""
+    from stockweave.plans import production_wave as plan
+
+    asked, looked = [], []
+    keep, keep_lots = plan.feasibility_of_lots, plan.lots_for
+    monkeypatch.setattr(plan, "feasibility_of_lots", lambda b, *rest: asked.append(b) or keep(b, *rest))
+    monkeypatch.setattr(plan, "lots_for", lambda *a: looked.append(1) or keep_lots(*a))
+    wave = plan.run_production_wave(small, small["production_status_requests"], datetime(1998, 1, 15, 12, 0))
+    refused = wave.judged.filter(F.col("reject_reason").isin("transition_not_allowed", "responsible_not_technologist"))
+    assert refused.count() > 0 and len(looked) == 1
+    assert asked[0].join(refused, "production_batch_id", "left_semi").count() == 0
+
+
+def test_unique_rules_read_again_only_keys_with_repeated_hashes(spark, monkeypatch):
+    read, keep = [], rules._repeated_keys
+    monkeypatch.setattr(rules, "_repeated_keys", lambda df, table, some, *rest: read.append((table, len(some))) or keep(df, table, some, *rest))
+    layout = "tech_card_id bigint, product_id bigint, card_number string, version int, status_code string"
+    single = spark.createDataFrame([(i, i, f"TC-{i}", 1, "draft") for i in range(50)], layout)
+    assert rules.unique_rules({"tech_cards": single}, ["tech_cards"]).count() == 0 and not read
+    twice = single.unionByName(spark.createDataFrame([(90, 90, "TC-7", 1, "draft")], layout))
+    got = rules.unique_rules({"tech_cards": twice}, ["tech_cards"]).collect()
+    assert [(r.key_values, r.row_count) for r in got] == [("card_number=TC-7", 2)] and read == [("tech_cards", 1)]
