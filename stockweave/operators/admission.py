@@ -64,18 +64,19 @@ def _along_resources(needs: DataFrame) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     until = order.rowsBetween(Window.unboundedPreceding, 0)
     counted = F.when(F.col("accepted"), F.col("quantity")).otherwise(0)
-    # A need without a resource or a day has no place on an axis.
-    offsets = needs.dropna(subset=["resource_id", "day"]).select(
+    offsets = needs.filter(F.col("resource_id").isNotNull()).select(
         "*",
         F.coalesce(F.sum("quantity").over(before), F.lit(0)).cast(_SUM).alias("o_high"),
         F.coalesce(F.sum(counted).over(before), F.lit(0)).cast(_SUM).alias("o_low"),
     )
     quantity, skip = F.col("quantity").cast(_SUM), F.col("skip").cast(_SUM)
-    return offsets.select(
+    placed = offsets.select(
         *needs.columns,
         (F.col("o_high") + quantity + F.max(skip - F.col("o_high")).over(until)).cast(AMOUNT).alias("high"),
         (F.col("o_low") + quantity + F.max(skip - F.col("o_low")).over(until)).cast(AMOUNT).alias("low"),
     )
+    # A need without a day takes its part of the axis, but no place on it.
+    return placed.filter(F.col("day").isNotNull())
 
 
 def _along_chunks(needs: DataFrame) -> DataFrame:

@@ -206,9 +206,8 @@ def _shelves(usable: DataFrame, crowded: DataFrame | None) -> DataFrame:
 
     def ends(lots: DataFrame) -> DataFrame:
         until = Window.partitionBy("resource_id").orderBy("expiry_date", "stock_id").rowsBetween(Window.unboundedPreceding, 0)
-        # Lots without a day or an id have no place on an axis.
-        placed = lots.filter(F.col("expiry_date").isNotNull())
-        return placed.withColumn("end_at", F.sum("gated").over(until))
+        # Lots without a day are the first on an axis and serve nobody.
+        return lots.withColumn("end_at", F.sum("gated").over(until)).filter(F.col("expiry_date").isNotNull())
 
     def ends_by_chunk(lots: DataFrame) -> DataFrame:
         return running_total(lots, ["resource_id"], ["expiry_date", "stock_id"], {"gated": "end_at"}, group_by_day="expiry_date")

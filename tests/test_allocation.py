@@ -217,6 +217,7 @@ def _allocation_inputs(spark):
     rng = random.Random(5)
     demand = [(b, DAY + timedelta(days=b % 4), m, D(rng.randrange(1, 9))) for b in range(40) for m in rng.sample(range(3), 2)]
     lots = [(f"s{i:03d}", i % 5, DAY + timedelta(days=rng.randrange(-1, 6)), D(rng.randrange(1, 12)), D(0)) for i in range(60)]
+    lots += [("none0", 0, None, D(3), D(0)), ("none1", 1, None, D(2), D(0))]
     return (
         spark.createDataFrame(demand, "production_batch_id bigint, day date, material_id bigint, quantity decimal(28,10)"),
         spark.createDataFrame(
