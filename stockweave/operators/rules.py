@@ -126,23 +126,41 @@ def _repeated_keys(df: DataFrame, table: str, rules: Mapping[int, Unique], hashe
     )
 
 
-#: References that one pass tells apart by the bits of a number; one more bit says that the parent has the key.
+#: References that one pass tells apart by the bits of a number; the next bit says that the parent has the key.
 BITS = 62
 
+#: What stands in keys that are numbers, days, times or ids made of them, beside digits; each has a hex digit instead.
+SIGNS = {"-": "A", "\u0001": "B", ".": "D", ":": "E", " ": "F"}
+
+
+def short_key(text: Column) -> Column:
+    """The text as bytes, two characters to a byte where it has only digits and ``SIGNS``; other texts keep their length.
+
+    Different texts stay different: short ones begin with a byte from C0 to CF, others with 00.
+    """
+    known = "^[0-9" + "".join(rf"\x{ord(sign):02x}" for sign in SIGNS) + r"]*\z"
+    digits = reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit(SIGNS[sign])), SIGNS, text)
+    lead = F.when(F.octet_length(text) % 2 == 1, F.lit("C")).otherwise(F.lit("CC"))
+    plain = F.concat(F.lit(b"\0"), text.cast("binary"))
+    return F.when(text.rlike(known), F.unhex(F.concat(lead, digits))).otherwise(plain)
+
 
 def _target(rule: Reference) -> str:
     return ".".join([rule.parent, *rule.parent_columns])
 
 
 def _reference_key(t: TableSet, rule: Reference, of_parent: bool) -> tuple[str, Column]:
-    """The kind of the key, whole or text, and the key in the types of the parent; NULL where a part is NULL."""
+    """The kind of the key, whole or text, and the key in the types of the parent; NULL where a part is NULL.
+
+    Texts, and keys of several columns, are bytes of ``short_key``.
+    """
     kinds = [t[rule.parent].schema[p].dataType for p in rule.parent_columns]
     names = rule.parent_columns if of_parent else rule.columns
     if len(kinds) == 1 and isinstance(kinds[0], IntegralType):
         return "whole", F.col(names[0]).cast("bigint")
     parts = [F.col(c).cast(kind).cast("string") for c, kind in zip(names, kinds)]
     joined = [x for part in parts for x in (F.lit("\u0001"), part)]
-    return "text", F.concat(*joined[1:])
+    return "text", short_key(F.concat(*joined[1:]))
 
 
 def _references(t: TableSet, tables: Iterable[str]) -> list[tuple[str, Reference]]:
@@ -150,30 +168,29 @@ def _references(t: TableSet, tables: Iterable[str]) -> list[tuple[str, Reference
 
 
 def reference_keys(t: TableSet, references: Sequence[tuple[str, Reference]]) -> DataFrame:
-    """(target, whole, text, held, copies) of every key that a parent has or a child refers to.
+    """(target, whole, text, held) of every key that a parent has or a child refers to.
 
     The key is a whole number or a text. ``held`` has a bit for each of ``references``, of at most ``BITS``, that uses
-    the key, and ``copies`` is the number of rows of the parent that have it. Each table is read once for all keys of
-    one kind that it has and refers to, and one aggregate for each kind serves all parents. A key that many rows refer
-    to is one row per task before it moves.
+    the key, and bit ``BITS`` if the parent has it. Each table is read once for all keys of one kind that it has and
+    refers to, and one aggregate for each kind serves all parents. A key that many rows refer to is one row per task
+    before it moves, and nothing but the key and the bits does.
     """
     targets = sorted({_target(rule) for _, rule in references})
     entries: dict[tuple[str, str], list[Column]] = {}
 
-    def add(name: str, rule: Reference, of_parent: bool, held: int) -> None:
+    def add(name: str, rule: Reference, of_parent: bool, bit: int) -> None:
         kind, key = _reference_key(t, rule, of_parent)
         entry = F.struct(
             F.lit(targets.index(_target(rule))).alias("target"),
             key.alias("key"),
-            F.lit(held).cast("bigint").alias("held"),
-            F.lit(int(of_parent)).cast("bigint").alias("copies"),
+            F.lit(1 << bit).cast("bigint").alias("held"),
         )
         entries.setdefault((kind, name), []).append(entry)
 
     for number, (name, rule) in enumerate(references):
-        add(name, rule, False, 1 << number)
+        add(name, rule, False, number)
     for rule in {_target(rule): rule for _, rule in references}.values():
-        add(rule.parent, rule, True, 0)
+        add(rule.parent, rule, True, BITS)
     parts = []
     for kind in sorted({kind for kind, _ in entries}):
         rows = _union(
@@ -181,11 +198,11 @@ def reference_keys(t: TableSet, references: Sequence[tuple[str, Reference]]) ->
             for (k, n), found in entries.items()
             if k == kind
         )
-        key = {"whole": F.lit(None).cast("bigint"), "text": F.lit(None).cast("string"), kind: F.col("key")}
+        key = {"whole": F.lit(None).cast("bigint"), "text": F.lit(None).cast("binary"), kind: F.col("key")}
         parts.append(
             rows.groupBy("target", "key")
-            .agg(F.bit_or("held").alias("held"), F.sum("copies").alias("copies"))
-            .select("target", key["whole"].alias("whole"), key["text"].alias("text"), "held", "copies")
+            .agg(F.bit_or("held").alias("held"))
+            .select("target", key["whole"].alias("whole"), key["text"].alias("text"), "held")
         )
     return _union(parts)
 
@@ -206,10 +223,10 @@ def fk_rules(t: TableSet, tables: Iterable[str]) -> DataFrame:
         references = every[start : start + BITS]
         missing = cut_lineage(
             reference_keys(t, references)
-            .filter(F.col("copies") == 0)
+            .filter(F.getbit("held", F.lit(BITS)) == 0)
             .select(F.explode(_held_numbers(references)).alias("number"), "whole", "text")
         )
-        nothing = F.lit("").alias("table_name"), F.lit("").alias("rule"), F.col("text").alias("record_id")
+        nothing = F.lit("").alias("table_name"), F.lit("").alias("rule"), F.col("text").cast("string").alias("record_id")
         parts.append(missing.limit(0).select(*nothing))
         for (number,) in sorted(missing.select("number").distinct().collect()):
             name, rule = references[number]
