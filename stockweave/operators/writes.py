@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockweave.functions.joins import in_parts
+
 
 def _match(columns: list[str], blank_as_null: list[str]) -> list:
     """Equality per key column; in ``blank_as_null`` columns NULL and '' are the same."""
@@ -62,21 +64,25 @@ def update_by_key(
     return apply_update(existing, changes.join(rejects.select(key), key, "left_anti"), key), rejects
 
 
-def update_rejects(existing: DataFrame, changes: DataFrame, key: str, unique_by: list[str]) -> DataFrame:
+def update_rejects(
+    existing: DataFrame, changes: DataFrame, key: str, unique_by: list[str], parts: int | None = None
+) -> DataFrame:
     """(key, reject_reason) of the changes whose key is unknown, or whose values in ``unique_by`` another row already has.
 
-    ``changes`` has one row per key.
+    ``changes`` has one row per key. Keys are looked up in ``parts`` tasks if given (``joins.parts_of``).
     """
     others = existing.select(F.col(key).alias("other_key"), *[F.col(c).alias(f"o_{c}") for c in unique_by])
     clash = changes.join(
         others,
         [F.col(c) == F.col(f"o_{c}") for c in unique_by] + [F.col(key) != F.col("other_key")],
         "left_semi",
-    ).select(key, F.lit("taken_by_other_row").alias("reject_reason"))
-    unknown = changes.join(existing.select(key), key, "left_anti").select(
-        key, F.lit("row_missing").alias("reject_reason")
+    ).select(key)
+    known = in_parts(existing.select(key).filter(F.col(key).isNotNull()), parts, key)
+    taken = in_parts(clash, parts, key).join(known, key, "left_semi")
+    unknown = in_parts(changes.select(key), parts, key).join(known, key, "left_anti")
+    return taken.withColumn("reject_reason", F.lit("taken_by_other_row")).unionByName(
+        unknown.withColumn("reject_reason", F.lit("row_missing"))
     )
-    return clash.join(unknown.select(key), key, "left_anti").unionByName(unknown)
 
 
 def apply_update(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:

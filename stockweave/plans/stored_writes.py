@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stockweave.functions.joins import parts_of
 from stockweave.operators import writes
 from stockweave.operators.audit import audit_diff
 from stockweave.session import cut_lineage
@@ -34,7 +35,8 @@ def update_stored(
     """
     spark = changes.sparkSession
     fixed = cut_lineage(changes)
-    rejects = cut_lineage(writes.update_rejects(stored.read(spark, folder), fixed, key, unique_by))
+    rows = stored.read(spark, folder)
+    rejects = cut_lineage(writes.update_rejects(rows, fixed, key, unique_by, parts_of(rows)))
     good = cut_lineage(fixed.join(rejects.select(key), key, "left_anti"))
     version = stored.rewrite(folder, good, [key], lambda rows: writes.apply_update(rows, good, key), **options)
     return version, rejects

@@ -412,3 +412,31 @@ def test_unique_rules_read_again_only_keys_with_repeated_hashes(spark, monkeypat
     twice = single.unionByName(spark.createDataFrame([(90, 90, "TC-7", 1, "draft")], layout))
     got = rules.unique_rules({"tech_cards": twice}, ["tech_cards"]).collect()
     assert [(r.key_values, r.row_count) for r in got] == [("card_number=TC-7", 2)] and read == [("tech_cards", 1)]
+
+
+def test_reference_keys_of_digits_move_in_half_the_bytes(spark):
+    from stockweave.integrity import RULES
+
+    lots = [(1, "31521-6-9346-437-12"), (2, "31521-6-9346-437-1"), (3, "315A2"), (4, "315-2"), (5, "C7"), (6, "7"), (7, None)]
+    checks = [(n, i, None, None, None) for n, i in [*lots, (8, "31521-6-9346-437-123"), (9, "315B2"), (10, "0315-2"), (11, "CC7"), (12, "")]]
+    t = {
+        "delivery_items": spark.createDataFrame(lots, "row bigint, delivery_item_id string"),
+        "quality_checks": spark.createDataFrame(checks, "quality_check_id bigint, delivery_item_id string, production_batch_id bigint, inspector_user_id bigint, result_code string"),
+    }
+    lost = {r.record_id for r in rules.fk_rules(t, ["quality_checks"]).collect()}
+    assert lost == {f"quality_check_id={n}" for n in (8, 9, 10, 11, 12)}
+    rule = next(x for x in RULES["quality_checks"].references if x.parent == "delivery_items")
+    keys = rules.reference_keys(t, [("quality_checks", rule)]).select("text").collect()
+    assert len({bytes(r.text) for r in keys}) == len(keys) == 11
+    assert max(len(r.text) for r in keys) == 11
+
+
+def test_update_rejects_in_parts_are_the_same(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2), (None, 3), ("d", None)], "id string, place int")
+    changes = spark.createDataFrame([("a", 2), ("b", 9), ("d", 3), ("x", 1), (None, 1), ("y", None)], "id string, place int")
+    for parts in (None, 7):
+        found = writes.update_rejects(rows, changes, "id", ["place"], parts)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(
+            [("a", "taken_by_other_row"), ("x", "row_missing"), ("y", "row_missing"), (None, "row_missing")],
+            key=str,
+        )

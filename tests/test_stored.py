@@ -73,6 +73,27 @@ def test_update_and_deactivate_equal_the_whole_table_forms(spark, folder):
     assert deactivate_stored(folder, ids.where("id > 50000"), "id") == 3
 
 
+def test_lookups_of_a_write_are_cut_by_rows(spark, folder, monkeypatch):
+    """Tasks hold a number of rows, however well their ids compress; a file is looked up by its number."""
+    from stockweave.functions import joins
+    from stockweave.sources.stored import files_with
+
+    monkeypatch.setattr(joins, "PART_ROWS", 300)
+    dealt, keep = [], joins.in_parts
+    for module in (stored, writes):
+        monkeypatch.setattr(module, "in_parts", lambda rows, parts, *c: dealt.append((rows, parts)) or keep(rows, parts, *c))
+    keys = spark.createDataFrame([(7, None), (7, None), (2001, "m002001"), (None, "m000004"), (90001, "x")], "id long, name string")
+    whole = [f for f in stored._listed(spark, folder, 1)[0]]
+    hit = files_with(spark, folder, keys, ["id"])
+    assert len(hit) == 2 and set(hit) < set(whole)
+    assert {r.id for r in stored._read(spark, folder, hit).collect()} >= {7, 2001}
+    assert [parts for _, parts in dealt] == [14, 14] and dict(dealt[0][0].dtypes) == {"k0": "bigint", "number": "int"}
+    changes = spark.createDataFrame([(5, 90), (6, 91), (-1, 92)], "id long, supplier long")
+    _, rejects = update_stored(folder, changes, "id", ["supplier"], file_rows=100)
+    assert rows_of(rejects) == [(-1, "row_missing")]
+    assert {parts for _, parts in dealt} == {14} and len(dealt) == 7
+
+
 def test_audit_of_versions_reads_only_their_own_files(spark, folder):
     changes = offers(spark).where("id IN (11, 12, 3000)").withColumns({"supplier": F.lit(77).cast("long"), "sent": F.lit(1)})
     more = spark.createDataFrame([(-1, 1, "n", True, 1)], "id long, supplier long, name string, is_active boolean, sent int")
