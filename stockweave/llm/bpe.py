@@ -190,33 +190,54 @@ class Vocabulary:
         return self.data[np.repeat(self.starts[ids] - ends + lengths, lengths) + np.arange(total)]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, ids) of batches (doc_id, text), of about ``SLICE_CHARS`` each."""
+    import regex
+
+    split = regex.compile(pattern).findall
+    known: dict[str, bytes] = {}
+
+    def ids_of(texts: list[str]) -> list[bytes]:
+        pieces = [split(t) for t in texts]
+        if len(known) > CACHED_PIECES:
+            known.clear()
+        new = list(set().union(*pieces).difference(known))
+        known.update(zip(new, vocabulary.encode([p.encode() for p in new])))
+        return [b"".join(map(known.__getitem__, found)) for found in pieces]
+
+    for batch in batches:
+        for part in slices(batch, "text", SLICE_CHARS):
+            got = ids_of([t or "" for t in part.column("text").to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(got), np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"]
+            )
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, ids, data) of batches (doc_id, ids)."""
+    for batch in batches:
+        for part in slices(batch, "ids", SLICE_CHARS):
+            column = part.column("ids")
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            data = vocabulary.decode(ids)
+            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            sums = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])
+            ends = sums[np.concatenate([[0], np.cumsum(counts)])]
+            made = pa.Array.from_buffers(
+                pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+            )
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, made], names=["doc_id", "ids", "data"])
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the token ids of each text, without special tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        vocabulary, split = Vocabulary(shared.value), regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
-
-        def ids_of(texts: list[str]) -> list[bytes]:
-            pieces = [split(t) for t in texts]
-            if len(known) > CACHED_PIECES:
-                known.clear()
-            new = list(set().union(*pieces).difference(known))
-            known.update(zip(new, vocabulary.encode([p.encode() for p in new])))
-            return [b"".join(map(known.__getitem__, found)) for found in pieces]
-
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_CHARS):
-                got = ids_of([t or "" for t in part.column("text").to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(got), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"]
-                )
+        return _encoded(batches, Vocabulary(shared.value), pattern)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, ids array<int>")
 
@@ -227,29 +248,35 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     id_type = encoded.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        for batch in batches:
-            for part in slices(batch, "ids", SLICE_CHARS):
-                column = part.column("ids")
-                ids = column.flatten().to_numpy(zero_copy_only=False)
-                data = vocabulary.decode(ids)
-                counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                sums = np.concatenate([[0], np.cumsum(vocabulary.lengths[ids])])
-                ends = sums[np.concatenate([[0], np.cumsum(counts)])]
-                made = pa.Array.from_buffers(
-                    pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
-                )
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), column, made], names=["doc_id", "ids", "data"])
+        return _decoded(batches, Vocabulary(shared.value))
 
     return encoded.select("doc_id", "ids").mapInArrow(
         run, f"doc_id {id_type.simpleString()}, ids array<int>, data binary"
     )
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, data): what ``decode`` makes of ``encode``, with both steps in one Python worker a task.
+
+    Chained, the two would run in two workers a task at once, each with its own vocabulary, and the ids of whole
+    Arrow batches would go through the executor in between.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    id_type = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(shared.value)
+        return _decoded(_encoded(batches, vocabulary, pattern), vocabulary)
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {id_type.simpleString()}, ids array<int>, data binary"
+    )
+
+
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and decoded_sha256 (of the decoded bytes)."""
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs, ranks_path, pattern), ranks_path).select(
+    return round_trip(docs, ranks_path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),

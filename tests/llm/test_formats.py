@@ -134,6 +134,19 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(table(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_digests_take_one_python_worker_a_task(spark):
+    """Two Python steps in one stage are two workers a task at once, each with a vocabulary of its own."""
+    rows = [(i, t, "s") for i, t in enumerate(bpe_texts())] + [(9000, None, "s"), (None, "a b", None), (None, "a b", None)]
+    docs = table(spark, rows)
+    both = bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN)
+    chained = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
+    assert both.columns == chained.columns and both.dtypes == chained.dtypes
+    key = lambda r: (str(r.doc_id), list(r.ids), bytes(r.data))
+    assert sorted(map(key, both.collect())) == sorted(map(key, chained.collect()))
+    for digests in (bpe.digests(docs, RANKS, public_tokenizers.PATTERN), corpus_pipeline.encoded(spark, docs, "")):
+        assert digests._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_bpe_long_pieces_merge_like_short_ones():
     vocabulary = bpe.Vocabulary(bpe.read_ranks(RANKS))
     rng = random.Random(3)
