@@ -15,7 +15,7 @@ from stockweave.operators.movements import apply_consumption, judge_ship_lines,
 from stockweave.operators.transitions import apply_status
 from stockweave.plans.delivery_wave import run_delivery_wave
 from stockweave.plans.production_wave import run_production_wave
-from stockweave.session import cut_lineage
+from stockweave.session import counted_broadcasts, cut_lineage
 from stockweave.sources.stored_set import Transaction
 
 
@@ -26,16 +26,19 @@ def commit_production_wave(
 
     Returns the version and the judged requests. A repeated run finds the batches in their new status.
     """
-    change = Transaction(spark, folder, **options)
-    wave = run_production_wave(change.tables, cut_lineage(requests), now)
-    judged, takes = cut_lineage(wave.judged), wave.takes
-    moved = judged.filter(F.col("reject_reason").isNull())
-    key = "production_batch_id"
-    change.rewrite("production_batches", moved, [key], lambda rows: apply_status(rows, judged, key))
-    change.rewrite("raw_material_stock", takes, ["stock_id"], lambda rows: apply_consumption(rows, takes, "stock_id", now)[0])
-    change.insert("finished_goods_stock", wave.new_lots.withColumn("updated_at", F.lit(now)), key)
-    change.audit(now, user_id)
-    return change.commit(), judged
+    with counted_broadcasts(spark):
+        change = Transaction(spark, folder, **options)
+        wave = run_production_wave(change.tables, cut_lineage(requests), now)
+        judged, takes = cut_lineage(wave.judged), wave.takes
+        moved = judged.filter(F.col("reject_reason").isNull())
+        key = "production_batch_id"
+        change.rewrite("production_batches", moved, [key], lambda rows: apply_status(rows, judged, key))
+        change.rewrite(
+            "raw_material_stock", takes, ["stock_id"], lambda rows: apply_consumption(rows, takes, "stock_id", now)[0]
+        )
+        change.insert("finished_goods_stock", wave.new_lots.withColumn("updated_at", F.lit(now)), key)
+        change.audit(now, user_id)
+        return change.commit(), judged
 
 
 def commit_delivery_wave(

@@ -189,6 +189,37 @@ def test_of_two_transactions_one_commits(spark, suppliers):
     assert "two" in names and "one" not in names
 
 
+def test_wave_never_broadcasts_by_the_size_of_packed_files(spark, t, folder, monkeypatch):
+    """The files of the requests take under 10 MB, the default limit, and their rows over that."""
+
+    class Seen(Exception):
+        pass
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def plan_of(tables, requests, _):
+        limits = [spark.conf.get(f"spark.sql.{kind}autoBroadcastJoinThreshold") for kind in ("", "adaptive.")]
+        raise Seen(
+            limits,
+            plan(tables["production_batches"].join(requests, "production_batch_id", "left_semi")),
+            plan(requests.join(tables["production_statuses"].withColumnRenamed("status_code", "new_status"), "new_status")),
+        )
+
+    monkeypatch.setattr(stored_waves, "run_production_wave", plan_of)
+    before = [spark.conf.get(f"spark.sql.{kind}autoBroadcastJoinThreshold", None) for kind in ("", "adaptive.")]
+    requests = spark.range(400_000).select(
+        F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("production_batch_id"), F.lit("completed").alias("new_status")
+    )
+    with pytest.raises(Seen) as found:
+        stored_waves.commit_production_wave(spark, folder, requests, NOW)
+    limits, large, small = found.value.args
+    assert "Broadcast" not in large and "BroadcastHashJoin" in small
+    assert limits == [str(10 * 2**20 // 100), str(10 * 2**20)]
+    after = [spark.conf.get(f"spark.sql.{kind}autoBroadcastJoinThreshold", None) for kind in ("", "adaptive.")]
+    assert after == before
+
+
 def test_compaction_is_a_commit_without_audit_rows(spark, t, tmp_path):
     folder = created(t, tmp_path, "suppliers audit_log")
     for name in ("one", "two"):
