@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stockweave.functions.joins import left_lookup
 from stockweave.functions.scalars import clean_text, document_number, line_amount
@@ -18,12 +19,17 @@ from stockweave.operators.gates import (
     shipped_so_far,
     without_active_invoice,
 )
+from stockweave.operators.rules import key_text, short_key
 from stockweave.schemas import INVOICEABLE_ORDER_STATUSES, MONEY, QUANTITY, STOCKED_DELIVERY_STATUSES
 from stockweave.session import cut_lineage
 
 #: States of a shipment that lines are added to.
 _OPEN, _CLOSED, _NO_INVOICE, _UNPAID = range(4)
 
+#: Why a shipping request is refused by its shipment, and by its lot.
+_BY_SHIPMENT = ("shipment_missing", "shipment_closed", "quantity_not_positive", "no_invoice", "invoice_not_paid")
+_BY_LOT = ("lot_expired", "lot_too_small", "lot_not_approved")
+
 
 def apply_consumption(lots: DataFrame, takes: DataFrame, key: str, now: datetime) -> tuple[DataFrame, DataFrame]:
     """Lots after taking ``take_qty``; lots that hold less than asked are returned untouched as rejects.
@@ -260,10 +266,28 @@ def judge_ship_lines(
     checks: DataFrame,
     shipment_items: DataFrame,
     as_of: date,
+    in_steps: bool = False,
 ) -> DataFrame:
-    """Every shipping request on its own against the present state, with a reject reason or NULL."""
+    """Every shipping request on its own against the present state, with a reject reason or NULL.
+
+    With ``in_steps``, requests are written as a table in the shared folder before their order lines are looked up, so that
+    what was shuffled until then need not stay on disk beside the order lines.
+    """
     # The tables beside the requests are joined with each other first, and the widest comes last, so that the requests move
-    # once for each of their three keys and carry little.
+    # once for each of their three keys. They carry little: ids of text as short bytes, the first refusal as a number, and
+    # what later checks compare only where there is none.
+    packs_request = _is_text(requests, "request_id")
+    packs_line = all(_is_text(df, "order_item_id") for df in (requests, order_items, shipment_items))
+    if packs_request:
+        requests = requests.withColumn("request_id", short_key(F.col("request_id")))
+    if packs_line:
+        line_id = short_key(F.col("order_item_id"))
+        requests = requests.withColumn("order_item_id", line_id)
+        # Spark tests again for NULLs what it joins with, and would make the bytes twice, unless it knows that there are none.
+        order_items, shipment_items = (
+            df.filter(F.col("order_item_id").isNotNull()).withColumn("order_item_id", F.coalesce(line_id, F.lit(b"")))
+            for df in (order_items, shipment_items)
+        )
     paid = payment_status(orders, invoices).select(F.col("order_id").alias("shipment_order"), "payment_state")
     headers = (
         shipments.select(
@@ -302,37 +326,64 @@ def judge_ship_lines(
             (F.col("quantity") - F.coalesce(F.col("shipped_quantity"), F.lit(0))).alias("line_remaining"),
         )
     )
+    asked = ["request_id", "shipment_id", "order_item_id", "finished_stock_id", "quantity"]
+    is_open = F.col("refusal").isNull()
+    by_shipment = _first(
+        F.col("shipment_state").isNull(),
+        F.col("shipment_state") == _CLOSED,
+        F.col("quantity") <= 0,
+        F.col("shipment_state") == _NO_INVOICE,
+        F.col("shipment_state") == _UNPAID,
+    )
+    by_lot = _first(F.col("is_expired"), F.col("lot_quantity") < F.col("quantity"), F.col("is_approved").isNull())
+    headed = (
+        requests.join(headers, "shipment_id", "left")
+        .withColumn("refusal", by_shipment)
+        .select(*asked, "refusal", F.when(is_open, F.col("shipment_order")).alias("shipment_order"))
+    )
+    looked = left_lookup(headed, lots, "finished_stock_id", "request_id").select(
+        *asked,
+        "shipment_order",
+        "lot_quantity",
+        F.when(is_open, F.col("lot_product")).alias("lot_product"),
+        F.when(is_open, by_lot + len(_BY_SHIPMENT)).otherwise(F.col("refusal")).cast("tinyint").alias("refusal"),
+    )
+    if in_steps:
+        looked = cut_lineage(looked)
+    refusal = F.get(F.array(*map(F.lit, _BY_SHIPMENT + _BY_LOT)), F.col("refusal").cast("int"))
     reason = (
-        F.when(F.col("shipment_state").isNull(), "shipment_missing")
-        .when(F.col("shipment_state") == _CLOSED, "shipment_closed")
-        .when(F.col("quantity") <= 0, "quantity_not_positive")
-        .when(F.col("shipment_state") == _NO_INVOICE, "no_invoice")
-        .when(F.col("shipment_state") == _UNPAID, "invoice_not_paid")
+        F.when(F.col("refusal") < len(_BY_SHIPMENT), refusal)
         .when(F.col("line_order").isNull() | (F.col("line_order") != F.col("shipment_order")), "line_of_other_order")
         .when(F.col("lot_product").isNull(), "lot_missing")
         .when(F.col("lot_product") != F.col("line_product"), "lot_of_other_product")
-        .when(F.col("is_expired"), "lot_expired")
-        .when(F.col("lot_quantity") < F.col("quantity"), "lot_too_small")
-        .when(F.col("is_approved").isNull(), "lot_not_approved")
+        .when(F.col("refusal").isNotNull(), refusal)
         .when(F.col("quantity") > F.col("line_remaining"), "exceeds_order")
     )
-    return (
-        left_lookup(requests.join(headers, "shipment_id", "left"), lots, "finished_stock_id", "request_id")
-        .join(lines, "order_item_id", "left")
-        .select(
-            "request_id",
-            "shipment_id",
-            "order_item_id",
-            F.col("line_product").alias("product_id"),
-            "finished_stock_id",
-            "quantity",
-            "lot_quantity",
-            "line_remaining",
-            reason.alias("reject_reason"),
-        )
+    return looked.join(lines, "order_item_id", "left").select(
+        (key_text(F.col("request_id")) if packs_request else F.col("request_id")).alias("request_id"),
+        "shipment_id",
+        (key_text(F.col("order_item_id")) if packs_line else F.col("order_item_id")).alias("order_item_id"),
+        F.col("line_product").alias("product_id"),
+        "finished_stock_id",
+        "quantity",
+        "lot_quantity",
+        "line_remaining",
+        reason.alias("reject_reason"),
     )
 
 
+def _is_text(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, StringType)
+
+
+def _first(*conditions: Column) -> Column:
+    """The number of the first condition that holds, or NULL."""
+    found = F
+    for number, condition in enumerate(conditions):
+        found = found.when(condition, F.lit(number))
+    return found.cast("tinyint")
+
+
 def _judged_once(judged: DataFrame) -> DataFrame:
     """``judged`` as a table in the shared folder, as its accepted and its refused requests are read several times.
 

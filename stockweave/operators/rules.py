@@ -145,6 +145,14 @@ def short_key(text: Column) -> Column:
     return F.when(text.rlike(known), F.unhex(F.concat(lead, digits))).otherwise(plain)
 
 
+def key_text(key: Column) -> Column:
+    """The text that ``short_key`` made the bytes of."""
+    digits = F.hex(key)
+    short = F.substr(digits, F.when(digits.startswith("CC"), F.lit(3)).otherwise(F.lit(2)))
+    short = reduce(lambda x, sign: F.replace(x, F.lit(SIGNS[sign]), F.lit(sign)), SIGNS, short)
+    return F.when(digits.startswith("C"), short).otherwise(F.substr(key, F.lit(2)).cast("string"))
+
+
 def _target(rule: Reference) -> str:
     return ".".join([rule.parent, *rule.parent_columns])
 

@@ -403,7 +403,7 @@ _PAID_PLANNED = """
 SELECT order_id, order_id AS invoice_id, 'paid' AS status_code FROM {shipments}"""
 
 
-def _ship_judged(t, as_of=date(1995, 6, 1)):
+def _ship_judged(t, as_of=date(1995, 6, 1), in_steps=False):
     return movements.judge_ship_lines(
         t["shipment_line_requests"],
         t["shipments"],
@@ -414,10 +414,13 @@ def _ship_judged(t, as_of=date(1995, 6, 1)):
         t["quality_checks"],
         t["shipment_items"],
         as_of,
+        in_steps,
     )
 
 
-query("m12_judge_ship_lines", _SHIP_JUDGED, decimals="quantity lot_quantity line_remaining")(lambda t: _ship_judged(t))
+query("m12_judge_ship_lines", _SHIP_JUDGED, decimals="quantity lot_quantity line_remaining")(
+    lambda t: _ship_judged(t, in_steps=True)
+)
 
 
 def _with_payments(t):
