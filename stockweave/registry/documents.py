@@ -443,14 +443,14 @@ query(
 SELECT request_id, shipment_id, order_item_id, product_id, finished_stock_id, quantity FROM judged
 WHERE request_id IN (SELECT request_id FROM decided WHERE status = 'yes')""",
     decimals="quantity",
-)(lambda t: movements.ship_lines(_ship_judged(_with_payments(t)))[0])
+)(lambda t: movements.ship_lines(_ship_judged(_with_payments(t), in_steps=True))[0])
 
 query(
     "m12_ship_rejects",
     f"""{_SHIP_ADMISSION}
 SELECT request_id, coalesce(reject_reason, 'taken_by_earlier_request') AS reject_reason FROM judged
 WHERE reject_reason IS NOT NULL OR request_id IN (SELECT request_id FROM decided WHERE status = 'no')""",
-)(lambda t: movements.ship_lines(_ship_judged(_with_payments(t)))[1])
+)(lambda t: movements.ship_lines(_ship_judged(_with_payments(t), in_steps=True))[1])
 
 query(
     "m13_number_documents",
