@@ -103,7 +103,7 @@ def _repeated_hashes(df: DataFrame, table: str, rules: Sequence[Unique]) -> Data
 
 
 def _repeated_keys(df: DataFrame, table: str, rules: Mapping[int, Unique], hashes: DataFrame) -> DataFrame:
-    """The keys that occur more than once, among those with one of the ``hashes``."""
+    """The keys that occur more than once, among those with one of the ``hashes``, which are written to the shared folder."""
     columns = sorted({c for rule in rules.values() for c in rule.columns})
     kinds = {c: df.schema[c].dataType for c in columns}
     entries, names, texts = [], F.lit(None), F.lit(None)
@@ -114,11 +114,15 @@ def _repeated_keys(df: DataFrame, table: str, rules: Mapping[int, Unique], hashe
         entries.append(F.struct(number_of, key_hash, *[key.alias(c) for key, c in zip(keys, columns)]))
         names = F.when(F.col("number") == number, F.lit(rule.name)).otherwise(names)
         texts = F.when(F.col("number") == number, record_id(*rule.columns)).otherwise(texts)
-    return (
+    shared = (
         df.select(F.explode(F.array(*entries)).alias("entry"))
         .select("entry.*")
         .filter(F.col("number").isNotNull())
         .join(hashes, ["number", "key_hash"], "left_semi")
+        .select("number", *columns)
+    )
+    return (
+        cut_lineage(shared)
         .groupBy("number", *columns)
         .agg(F.count("*").alias("row_count"))
         .filter(F.col("row_count") > 1)
